@@ -1,0 +1,69 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from oracle import same_rows
+from tidegate.llm import quality, queries
+
+W = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
+
+
+def brute(text):
+    text = text or ""
+    w = W.findall(text)
+    seen, hit = {}, set()
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {i + k for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if W.search(x)]
+    base = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    n_symbols = sum(c in "#*$%&|<>" for c in text)
+    dup = len(lines) - len(set(lines))
+    chars = sum(map(len, w))
+    bad = n_symbols * 10 > len(w) or len(re.findall(r"[!?]{2,}", text)) * 5 > len(w) or dup * 2 > len(lines) or chars < 2 * len(w) or chars > 20 * len(w)
+    return len(w), chars, n_symbols, dup, len(hit), base, not base and not bad
+
+
+def texts():
+    rng = random.Random(3)
+    out = [None, "", " \t\n", "a b c", "a a a a", "x " * 70, "  é é 𝒳 \x1c", "one two three\none two three\n\n \n", "### *** !!!"]
+    for _ in range(80):
+        out.append(rng.choice([" ", "\n"]).join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) + rng.choice(["", "", "", "!!", "**", "\n"]) for _ in range(rng.randint(0, 200))))
+    return out + [" ".join(str(i % 9000) for i in range(20000))]
+
+
+def test_against_brute_force(spark):
+    rows = [(i, t, "x") for i, t in enumerate(texts())] + [(None, "a b c", "y"), (1, "", None)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, n_words string")).collect()
+    want = sorted(((i if i is not None else -1), *brute(t)) for i, t, _ in rows)
+    assert sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in got) == want
+
+
+def test_order_changes_nothing(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    want = {i for i, t in enumerate(texts()) if brute(t)[-1]}
+    assert {r.doc_id for r in quality.kept_rows(df).collect()} == want
+    t, w = F.coalesce("text", F.lit("")), quality.words(F.coalesce("text", F.lit("")))
+    assert {r.doc_id for r in df.where(quality.cascade(list(reversed(quality.RULES)), t, w)).collect()} == want
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.quality(df).collect() == [] and quality.kept_rows(df).collect() == []
+
+
+def test_oracle(spark):
+    same_rows(spark, SF, queries.QUERIES["op3_quality_rules"], queries.ORACLES["op3_quality_rules"])
+
+
+def test_labels(spark):
+    """Rows labelled good that the base rules pass are kept."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    n = quality.quality(docs).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()
+    found = {(r.quality, r.base_failed, r.kept): r["count"] for r in n}
+    print(found)
+    assert found.get((1, False, False), 0) == 0
