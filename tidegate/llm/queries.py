@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import mixing, pii, quality, tokens
+from tidegate.llm import mixing, pii, quality, tokens, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_replaced", "text")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL}
