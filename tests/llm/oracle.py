@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def same_rows(spark, sf_dir, query, sql, digits=9):
@@ -18,9 +19,9 @@ def same_rows(spark, sf_dir, query, sql, digits=9):
 
     def rows(df):
         def cell(x):
-            if isinstance(x, float):
-                return None if math.isnan(x) else float(f"{x:.{digits}g}")
-            return None if x is None else x if isinstance(x, (int, str, bool)) else str(x)
+            if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+                return None
+            return float(f"{x:.{digits}g}") if isinstance(x, float) else x if isinstance(x, (int, str, bool)) else str(x)
 
         return sorted((tuple(cell(x) for x in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
 

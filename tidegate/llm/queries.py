@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import mixing, pii, quality, tokens, vectors
+from tidegate.llm import mixing, pii, quality, tokens, vectors, warc
+from tidegate.llm._scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,24 @@ def _tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    out = warc.read_archives(spark, path, payload=False)
+    return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT page_id, h, top, sha1(h) AS x FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM d
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -60,5 +79,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL}
+QUERIES = {"op1_warc": op1_warc, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": OP3_SQL}
