@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import mixing, pii, quality, tokens, vectors, warc
+from tidegate.llm import mixing, pieces, pii, quality, tokens, vectors, warc
 from tidegate.llm._scratch import new_path
 
 
@@ -71,6 +72,14 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decoded(pieces.encoded(docs, path), path)
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,5 +88,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_warc": op1_warc, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": OP3_SQL}
