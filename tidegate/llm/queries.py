@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import mixing, pieces, pii, quality, tokens, vectors, warc
+from tidegate.llm import mixing, pieces, pii, quality, superkmers, tokens, vectors, warc
 from tidegate.llm._scratch import new_path
 
 
@@ -37,6 +37,24 @@ FROM d
 """
 
 
+def op2_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.without_repeats(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS d FROM x),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM m, (SELECT unnest(range(50)) AS k) WHERE d < doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+k AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS kept, count(*) AS n
+      FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p WHERE c.p IS NULL GROUP BY e.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -88,5 +106,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": OP3_SQL}
+QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_superkmers": OP2_SQL, "op3_quality_rules": OP3_SQL}
