@@ -19,11 +19,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import _text
-from tidegate.llm._scratch import written
+from tidegate.llm._scratch import small_batches, written
 
 WINDOW, SEED_WORDS, MOST_RUNS = 50, 8, 200
 
@@ -211,9 +211,18 @@ def _removed(window: int):
     return run
 
 
+def _intervals(offs: str) -> Column:
+    """Runs of consecutive numbers in an array of at most a run's windows, as structs of at and n."""
+    x = F.col(offs)
+    starts = F.array_sort(F.filter(x, lambda o: ~F.array_contains(x, o - 1)))
+    ends = F.array_sort(F.filter(x, lambda o: ~F.array_contains(x, o + 1)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n")))
+
+
 def covered_windows(df: DataFrame, id: str, text: str, window: int, k: int, most_runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts: id, fp, n_words, sha), (covered: id, fp, at, n: windows at .. at + n - 1) and (id, fp, blob) of the
     texts that have a run which may be shared."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("fp"), "text")
     scan = written(docs.mapInArrow(_scanned(window, k), _SCAN), "runs")
     own = scan.where("mini IS NOT NULL").select("mini", "id", "fp", "at", "n")
@@ -231,11 +240,13 @@ def covered_windows(df: DataFrame, id: str, text: str, window: int, k: int, most
     hot = packed(True)
     strings = written(hot.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("least")), "strings")
     windows = written(strings.mapInArrow(_windows(window), "wid binary, sid binary, off int, least long"), "windows")
-    least = windows.groupBy("wid").agg(F.min("least").alias("d"))
-    by_string = windows.join(least, "wid").groupBy("sid").agg(F.collect_list(F.struct("off", "d")).alias("offs"))
-    hit = hot.select("sid", "id", "fp", "at").join(by_string, "sid").select("id", "fp", "at", F.filter("offs", lambda x: x["d"] < F.col("id")).alias("offs")).where("size(offs) > 0")
-    hit = hit.select("id", "fp", F.explode(F.transform("offs", lambda x: F.col("at") + x["off"])).alias("at"), F.lit(1).alias("n"))
-    found = found.unionByName(hit)
+    # a window's least document is its string's own or, where another string has the window, a smaller one
+    better = windows.groupBy("wid").agg(F.min("least").alias("d"), F.max("least").alias("m")).where("d < m").select("wid", "d")
+    earlier = windows.join(better, (windows.wid == better.wid) & (F.col("d") < F.col("least"))).groupBy("sid").agg(F.collect_set("off").alias("offs"))
+    occurs = hot.select("sid", "id", "fp", "at", "n").join(strings.select("sid", "least"), "sid")
+    found = found.unionByName(occurs.where("id > least").select("id", "fp", "at", "n"))
+    first = occurs.where("id = least").join(earlier, "sid").select("id", "fp", "at", F.explode(_intervals("offs")).alias("i"))
+    found = found.unionByName(first.select("id", "fp", (F.col("at") + F.col("i.at")).alias("at"), F.col("i.n").alias("n")))
     return scan.where("mini IS NULL").select("id", "fp", "n_words", "sha"), found, subset.select("id", "fp", "blob")
 
 
