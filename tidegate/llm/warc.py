@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.llm._scratch import small_batches
+
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 1 << 16, 1 << 13, 20_000
 #: The format's own words.
 _END, _PROFILE = b"\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,6 +77,7 @@ def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "ur
     the largest id of a payload are responses all; a null id is smaller than any other. Other columns are ignored;
     an empty table makes archives without pages.
     """
+    small_batches(df.sparkSession)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     pages = df.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     narrow = pages.where(F.octet_length("payload") >= min_bytes).select("id", "key")
@@ -136,7 +139,7 @@ def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del buffer[: at + 4 + n]
 
 
-def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+def inflated(data: bytes, size: int = 1 << 16) -> Iterator[bytes]:
     """The content of gzip members, or of plain data."""
     if data[:2] != b"\x1f\x8b":
         yield from (data[i : i + size] for i in range(0, len(data), size))
@@ -306,6 +309,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     ``valid`` is false where segments are missing, the total length differs, the framing is broken or the
     stated digest is another; such records are returned all the same. Archives may be gzipped.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(_rows(payload), _DDL)
     met = rows.repartition(F.col("origin"), F.col("salt")).sortWithinPartitions("origin", "salt", "segment")
