@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidegate.llm._scratch import small_batches
+
 MARK = "▁"
 #: Characters of text handled at a time; words and piece pairs remembered by a worker.
-BLOCK_CHARS, WORDS_KEPT, PAIRS_KEPT = 1 << 20, 300_000, 1_000_000
+BLOCK_CHARS, WORDS_KEPT, PAIRS_KEPT = 1 << 22, 300_000, 400_000
 #: Kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -59,8 +61,19 @@ class Model:
         self.word = re.compile(f"[{apart}]|{MARK}*[^{MARK}{apart}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: words can't be told apart")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {-1: {}}  # by left piece, -1 for none, and right piece
+        self.n_pairs = 0
         self.known: dict[str, tuple[int, ...]] = {}
+        self.backward: list = [{}, -1]  # pieces from last character to first: children and id
+        for p, k in self.ids.items():
+            node = self.backward
+            for c in reversed(p):
+                node = node[0].setdefault(c, [{}, -1])
+            node[1] = k
+        self.piece = {k: p for p, k in self.ids.items()}
+        self.n_strange = 0
+        for c in sorted(self.chars - set(self.ids)):
+            self._strange(c)
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -81,83 +94,122 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays(self, u: str, t: str) -> bool:
-        """Whether u and t, or t alone where u is empty, come out of merging as they are."""
-        found = self.pairs.get((u, t))
+    def _strange(self, char: str) -> None:
+        """Gives a character that is no piece a number beyond the ids and a place among the pieces."""
+        k = len(self.scores) + self.n_strange
+        self.n_strange += 1
+        self.piece[k] = char
+        self.backward[0].setdefault(char, [{}, -1])[1] = k
+
+    def stays(self, u: int, t: int) -> bool:
+        """Whether pieces u and t, or t alone where u is -1, come out of merging as they are."""
+        row = self.pairs.setdefault(u, {})
+        found = row.get(t)
         if found is None:
-            if len(self.pairs) > PAIRS_KEPT:
-                self.pairs.clear()
-            if u:
-                found = u + t not in self.ids and self.stays("", u) and self.stays("", t) and self.merged(u + t) == [u, t]
+            b = self.piece[t]
+            if u < 0:
+                found = len(b) == 1 or self.merged(b) == [b]
             else:
-                found = len(t) == 1 or self.merged(t) == [t]
-            self.pairs[u, t] = found
+                a = self.piece[u]
+                found = a + b not in self.ids and self.stays(-1, u) and self.stays(-1, t) and self.merged(a + b) == [a, b]
+            row[t] = found
+            self.n_pairs += 1
         return found
 
-    def _bpe_step(self, word: str, i: int, start: list[int]) -> int:
-        for j in range(max(0, i - self.longest), i):
-            t = word[j:i]
-            if (i - j == 1 or t in self.ids) and self.stays(word[start[j] : j], t):
-                return j
-        raise AssertionError("some last piece always fits")
-
-    def _unigram_step(self, word: str, i: int, best: list[float]) -> tuple[int, float]:
-        top, at = -np.inf, i - 1
-        for j in range(max(0, i - self.longest), i):
-            k = self.ids.get(word[j:i])
-            if k is None and i - j > 1:
-                continue
-            score = best[j] + (self.lowest if k is None else self.scores[k])
-            if score > top:
-                top, at = score, j
-        return at, top
+    def _bpe_forward(self, word: str, same: int, start: list[int], last: list[int]) -> None:
+        """Extends the states of word[:same], start and number of the last piece, to the whole word."""
+        children, pairs, rows = self.backward[0], self.pairs, [self.pairs[k] for k in last]
+        for i in range(same + 1, len(word) + 1):
+            j = i - 1
+            try:
+                below, k = children[word[j]]
+            except KeyError:
+                self._strange(word[j])
+                below, k = children[word[j]]
+            while True:
+                if k >= 0:
+                    ok = rows[j].get(k)
+                    if self.stays(last[j], k) if ok is None else ok:
+                        break
+                j -= 1
+                below, k = below[word[j]]  # some last piece always fits
+            start.append(j)
+            last.append(k)
+            if k not in pairs:
+                pairs[k] = {}
+            rows.append(pairs[k])
+
+    def _unigram_forward(self, word: str, same: int, start: list[int], best: list[float]) -> None:
+        """Viterbi: extends start of the last piece and best score."""
+        for i in range(same + 1, len(word) + 1):
+            top, at = -np.inf, i - 1
+            for j in range(max(0, i - self.longest), i):
+                k = self.ids.get(word[j:i])
+                if k is None and i - j > 1:
+                    continue
+                score = best[j] + (self.lowest if k is None else self.scores[k])
+                if score > top:
+                    top, at = score, j
+            start.append(at)
+            best.append(top)
+
+    def _spelt(self, char: str) -> list[int]:
+        return [self.bytes_of[x] for x in char.encode()] if self.bytes_of else [self.unknown]
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Words with their ids, in sorted order."""
-        start, best, before = [0], [0.0], ""
+        start, best, last, before, ids = [0], [0.0], [-1], "", len(self.scores)
+        if self.n_pairs > PAIRS_KEPT:
+            self.pairs, self.n_pairs = {-1: {}}, 0
         for word in sorted(words):
             same = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
+            while before[: same + 1] == word[: same + 1] and same < len(word):
                 same += 1
-            del start[same + 1 :], best[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                if self.kind == BPE:
-                    start.append(self._bpe_step(word, i, start))
-                else:
-                    j, score = self._unigram_step(word, i, best)
-                    start.append(j)
-                    best.append(score)
-            spans, i = [], len(word)
-            while i:
-                spans.append((start[i], i))
-                i = start[i]
-            yield word, self._ids(word, spans[::-1])
-            before = word
-
-    def _ids(self, word: str, spans: list[tuple[int, int]]) -> tuple[int, ...]:
-        out: list[int] = []
-        for a, b in spans:
-            if (k := self.ids.get(word[a:b])) is not None:
-                out.append(k)
-            elif self.bytes_of:
-                out += [self.bytes_of[x] for x in word[a:b].encode()]
+            del start[same + 1 :], best[same + 1 :], last[same + 1 :]
+            before, i = word, len(word)
+            if self.kind == BPE:
+                self._bpe_forward(word, same, start, last)
+                found = []
+                while i:
+                    found.append(last[i])
+                    i = start[i]
+                found.reverse()
+                if max(found) >= ids:
+                    found = list(chain.from_iterable([k] if k < ids else self._spelt(self.piece[k]) for k in found))
             else:
-                out.append(self.unknown)
-        return tuple(out)
+                self._unigram_forward(word, same, start, best)
+                spans = []
+                while i:
+                    spans.append(word[start[i] : i])
+                    i = start[i]
+                found = list(chain.from_iterable([k] if (k := self.ids.get(p)) is not None else self._spelt(p) for p in reversed(spans)))
+            yield word, tuple(found)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds, ids): the ids of text i are ids[bounds[i] : bounds[i + 1]]."""
         parted = [self.words(t) for t in texts]
-        new = set(chain.from_iterable(parted)).difference(self.known)
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known = {}
-            new = set(chain.from_iterable(parted))
-        self.known.update(self.encode_words(new))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in parted]
-        if not self.bytes_of:  # the library makes one unknown of several in a row
-            out = [[k for i, k in enumerate(ids) if not (i and k == self.unknown == ids[i - 1])] for ids in out]
-        return out
+        coded = pa.array(chain.from_iterable(parted), pa.large_string(), size=sum(map(len, parted))).dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        now, old = {}, self.known
+        now.update(self.encode_words(w for w in distinct if w not in old))
+        found = [old[w] if w in old else now[w] for w in distinct]
+        self.known = old | now if len(old) + len(now) <= WORDS_KEPT else dict(zip(distinct, found, strict=True))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, size.sum())
+        begin = np.cumsum(size) - size
+        length = size[place]
+        end = np.cumsum(length)
+        ids = flat[np.repeat(begin[place] - (end - length), length) + np.arange(length.sum())]
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        upto = np.concatenate([np.zeros(1, np.int64), end])
+        bounds[1:] = upto[np.cumsum([len(p) for p in parted])]
+        if not self.bytes_of and len(ids):  # the library makes one unknown of several in a row
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            again[bounds[:-1][bounds[:-1] < len(ids)]] = False
+            bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(~again)])[bounds]
+            ids = ids[~again]
+        return bounds, ids
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -184,6 +236,7 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the piece ids of ``text``; null and empty texts have none. A column named like ``ids`` is
     replaced. ``path`` names the model's file, which every executor has. Rows are encoded alone."""
+    small_batches(df.sparkSession)
     schema = df.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +245,17 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
             table = pa.Table.from_batches([batch])
             column = table.column(text).to_pylist()
             for lo, hi in _slices([len(t or "") for t in column], BLOCK_CHARS):
-                got = m.encode([t or "" for t in column[lo:hi]])
-                offsets = np.zeros(hi - lo + 1, np.int32)
-                np.cumsum([len(x) for x in got], out=offsets[1:])
-                values = np.fromiter(chain.from_iterable(got), np.int32, offsets[-1])
+                offsets, values = m.encode([t or "" for t in column[lo:hi]])
                 part = table.slice(lo, hi - lo)
                 part = part.drop_columns([ids]) if ids in part.column_names else part
-                yield from part.append_column(ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))).combine_chunks().to_batches()
+                yield from part.append_column(ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))).combine_chunks().to_batches()
 
     return df.mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids``; null for null. A column named like ``text`` is replaced."""
+    small_batches(df.sparkSession)
     schema = df.drop(text).schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
