@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm._scratch import small_batches
+from tidegate.llm._scratch import small_batches, written
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 1 << 16, 1 << 13, 20_000
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 1 << 16, 1 << 13, 1 << 25
 #: The format's own words.
 _END, _PROFILE = b"\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -70,20 +71,24 @@ def records(id: int | None, url: str | None, payload: bytes, key: bytes, refers_
         yield _record(block[at : at + segment], WARC_Type="continuation", WARC_Record_ID=f"<{own}:{k}>", WARC_Date=_DATE, WARC_Segment_Origin_ID=f"<{own}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=total)
 
 
-def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
+def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record, with its continuations, for each row.
 
     A null payload is empty. Equal payloads of at least ``min_bytes`` bytes share one response. Rows that repeat
-    the largest id of a payload are responses all; a null id is smaller than any other. Other columns are ignored;
-    an empty table makes archives without pages.
+    the largest id of a payload are responses all; a null id is smaller than any other. An archive takes about
+    ``archive_bytes`` of payload. Other columns are ignored; an empty table makes archives without pages.
     """
     small_batches(df.sparkSession)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     pages = df.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
-    narrow = pages.where(F.octet_length("payload") >= min_bytes).select("id", "key")
+    narrow = written(pages.select("id", "key", F.octet_length("payload").cast("long").alias("n")), "payloads")
+    archives = max(1, math.ceil((narrow.agg(F.sum("n")).first()[0] or 0) / archive_bytes))
+    narrow = narrow.where(F.col("n") >= min_bytes).select("id", "key")
     tops = narrow.groupBy("key").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top IS NOT NULL").drop("n")
     revisits = narrow.join(tops, "key").where("id IS NULL OR id < top").distinct()
     revisits = revisits.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "top")
+    # revisits are a hash table a partition: page ids deal them out evenly, and the payloads need no sort
+    revisits = revisits.hint("shuffle_hash")
     wide = pages.join(revisits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("id", "url", "payload", "key", "top")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +106,8 @@ def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "ur
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = wide.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = wide.coalesce(archives).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
