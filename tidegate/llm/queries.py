@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import mixing, pieces, pii, quality, superkmers, tokens, vectors, warc
+from tidegate.llm import jaccard, mixing, pieces, pii, quality, superkmers, tokens, vectors, warc
 from tidegate.llm._scratch import new_path
 
 
@@ -81,6 +81,10 @@ FROM m
 """
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymised(_table(spark, sf_dir, "documents"), count="n_replaced")
     return out.select("doc_id", "n_replaced", "text")
@@ -106,5 +110,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_superkmers": OP2_SQL, "op3_quality_rules": OP3_SQL}
