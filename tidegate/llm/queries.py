@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import jaccard, mixing, pieces, pii, quality, superkmers, tokens, vectors, warc
+from tidegate.llm import jaccard, mixing, pieces, pii, quality, suffixes, superkmers, tokens, vectors, warc
 from tidegate.llm._scratch import new_path
 
 
@@ -94,6 +94,10 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,5 +114,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op7_suffixes": op7_suffixes, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_superkmers": OP2_SQL, "op3_quality_rules": OP3_SQL}
