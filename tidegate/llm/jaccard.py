@@ -80,9 +80,9 @@ def _scanned(n: int, lower: bool):
                 fp.append(_digest(s))
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), *none], names=["id", "n", "fp", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), *none], names=["id", "key", "n", "fp", "part", "counts"])
         parts = [p.astype(np.int64).tobytes() for p in np.split(sketch, 64)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=["id", "n", "fp", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(64, pa.int64()) for _ in range(3)), pa.nulls(64, pa.binary()), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=["id", "key", "n", "fp", "part", "counts"])
 
     return run
 
@@ -238,20 +238,21 @@ def _crossing(postings: DataFrame, member: DataFrame, bounds: Bounds) -> DataFra
     return left.join(right, on).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, lower: bool = True) -> DataFrame:
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, lower: bool = True, keyed: bool = False) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Two rows link when den * |I| >= num * |U| of their sets of n-word shingles, (num, den) being the threshold. A row
     with fewer words has one shingle, of them all; one without words or text has none and links with nothing.
     Equal rows link. A row with a null id links like any other and names a component only if none has an id. Other columns
-    are left out; an empty table gives an empty table.
+    are left out; an empty table gives an empty table. ``keyed`` adds text_key, a 64-bit hash of the text.
     """
     spark = df.sparkSession
     small_batches(spark)
     bounds = Bounds(*threshold)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scan = written(docs.mapInArrow(_scanned(n, lower), "id long, n long, fp binary, part int, counts binary"), "sets")
-    rows = scan.where("part IS NULL").select("id", "n", "fp")
+    keys = docs.select("id", F.xxhash64("text").alias("key"), "text")
+    scan = written(keys.mapInArrow(_scanned(n, lower), "id long, key long, n long, fp binary, part int, counts binary"), "sets")
+    rows = scan.where("part IS NULL").select("id", "key", "n", "fp")
     # 64 rows of a fixed size, whatever the input
     parts = scan.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     sketch = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(1 << SKETCH_BITS, np.int64)
@@ -284,4 +285,16 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     of = member.join(name, "root").select("node", "component")
     named = classes.join(of, F.col("c") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL").select(F.col("fp").alias("__fp"), F.coalesce("component", "least").alias("component"))
     out = rows.join(named, F.col("fp") == F.col("__fp"), "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *([F.col("key").alias("text_key")] if keyed else []))
+
+
+def without_copies(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that stay when one of each component does, the one of smallest id.
+
+    Rows without words stay, as do those of components without any id; rows that repeat an id and a text count once.
+    """
+    found = similar(df, id, text, n, threshold, keyed=True)
+    stay = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    own = df.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = own.join(stay, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates([id, "__own"]).drop("__own")

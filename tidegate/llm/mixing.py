@@ -101,8 +101,15 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column
     decided on its own. Sources are few: one row for each comes to the driver. Other columns are left
     out; an empty table gives an empty table.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id), F.col(source).alias("source"), (words_in(text) if size is None else size).alias("size"), F.xxhash64(F.col(id), F.col(text)).alias("__tie"))
+    return _decided(_sized(df, id, source, size, text), id, weights, most, seed, chunk_rows, fan_in).drop("__tie")
+
+
+def _sized(df: DataFrame, id: str, source: str, size: Column | None, text: str) -> DataFrame:
+    return df.select(F.col(id), F.col(source).alias("source"), (words_in(text) if size is None else size).alias("size"), F.xxhash64(F.col(id), F.col(text)).alias("__tie"))
+
+
+def _decided(rows: DataFrame, id: str, weights: Sequence[float], most: float, seed: int, chunk_rows: int, fan_in: int) -> DataFrame:
+    spark = rows.sparkSession
     rows = written(rows, "sizes")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
     goal = targets([(r.source, r.n) for r in found], weights, most)
@@ -136,11 +143,11 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column
     return out.select(id, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "__tie")
 
 
-def mixed_rows(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **parameters) -> DataFrame:
+def mixed_rows(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column | None = None, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: int = 17, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, text: str = "text") -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it. Rows equal in id, text and source share a decision."""
-    keys = [F.xxhash64(F.col(id), F.col(text)), F.col(source)]
-    own = df.withColumn("__tie", keys[0])
-    units = own.select(id, source, text).distinct()
-    taken = mix(units, id, source, text=text, **parameters).where("copies > 0").select(F.col(id).alias("__id"), F.col("source").alias("__source"), "__tie", "copies")
-    out = own.join(taken.withColumnRenamed("__tie", "__t"), (F.col("__tie") == F.col("__t")) & F.col(id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(df.columns)
+    units = _sized(df, id, source, size, text).distinct()
+    taken = _decided(units, id, weights, most, seed, chunk_rows, fan_in).where("copies > 0")
+    taken = taken.select(F.col(id).alias("__id"), F.col("source").alias("__source"), F.col("__tie").alias("__of"), "copies")
+    own = df.withColumn("__tie", F.xxhash64(F.col(id), F.col(text)))
+    out = own.join(taken, (F.col("__tie") == F.col("__of")) & F.col(id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(df.columns)

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer_path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -99,7 +99,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer_path("piece_bpe_32k.model")
+    path = tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.decoded(pieces.encoded(docs, path), path)
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
@@ -111,7 +111,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer_path("word_bpe_49k.json"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op7_suffixes": op7_suffixes, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
