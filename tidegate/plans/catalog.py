@@ -1,16 +1,522 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL, over the driver's tables in the service's roles.
+
+``events`` is the request log (event_id, ts, user_id as client or session), ``conversations`` requests and responses,
+``pages.url`` origins and request targets, ``orders`` and ``part`` registries to page through, ``documents`` resources.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.functions import jsonrpc, urls
+from tidegate.operators import correlate, paging, predicates, state, status, usercode
 from tidegate.sources.tables import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Pages of a registry
+
+
+_ORDERS = ("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN (SELECT count(*) FROM orders) > 50 THEN '50' END AS next_cursor
+FROM orders ORDER BY o_orderkey LIMIT 50""")
+def list_page_first(spark, sf_dir):
+    return paging.page(table(spark, sf_dir, "orders").select(*_ORDERS), ["o_orderkey"], 0)
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN (SELECT count(*) FROM orders) > 150 THEN '150' END AS next_cursor
+FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100""")
+def list_page_next(spark, sf_dir):
+    return paging.page(table(spark, sf_dir, "orders").select(*_ORDERS), ["o_orderkey"], 100)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS next_cursor FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 999999999")
+def list_page_past_end(spark, sf_dir):
+    return paging.page(table(spark, sf_dir, "orders").select(*_ORDERS), ["o_orderkey"], 999_999_999)
+
+
+@query("""WITH p AS (SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 50 AS page, count(*) OVER () AS total FROM part)
+SELECT page::BIGINT AS page, count(*)::BIGINT AS n_items, min(p_partkey) AS first_key, max(p_partkey) AS last_key,
+       CASE WHEN (page + 1) * 50 < max(total) THEN CAST((page + 1) * 50 AS VARCHAR) END AS next_cursor
+FROM p GROUP BY page""")
+def list_cursor_chain(spark, sf_dir):
+    return paging.cursor_chain(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "p_partkey")
+
+
+_CURSORS = ["50", "", "invalid", "-5", "10abc", " 7", "99999999999", "+5", "\t12", "3.9"]
+
+
+@query("""SELECT c AS cursor, greatest(coalesce(try_cast(regexp_extract(c, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER), 0), 0) AS cursor_offset
+FROM (VALUES ('50'), (''), ('invalid'), ('-5'), ('10abc'), (' 7'), ('99999999999'), ('+5'), (chr(9) || '12'), ('3.9')) AS v(c)""")
+def cursor_parse(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in _CURSORS], "cursor string").select("cursor", paging.parsed_cursor(F.col("cursor")).alias("cursor_offset"))
+
+
+@query("SELECT event_id, 'req_' || row_number() OVER (ORDER BY ts, event_id) AS request_id FROM events")
+def request_ids(spark, sf_dir):
+    placed = paging.positions(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"])
+    return placed.select("event_id", F.concat(F.lit("req_"), (F.col("pos") + 1).cast("string")).alias("request_id"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50)
+SELECT '{"id":1,"jsonrpc":"2.0","result":{"nextCursor":"50","tools":[' ||
+       string_agg('{"description":"' || o_orderstatus || '","name":"' || o_orderkey || '"}', ',' ORDER BY o_orderkey) || ']}}' AS message
+FROM p""")
+def list_tools_message(spark, sf_dir):
+    rows = paging.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 0)
+    # one page: fifty rows at most
+    tool = F.struct(F.col("o_orderstatus").alias("description"), F.col("o_orderkey").cast("string").alias("name"))
+    tools = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", tool.alias("tool")))), lambda x: x["tool"])
+    return rows.agg(tools.alias("tools"), F.max("next_cursor").alias("next")).select(jsonrpc.result(F.lit(1), F.struct(F.col("next").alias("nextCursor"), F.col("tools"))).alias("message"))
+
+
+# Admission
+
+
+_ORIGIN_SQL = """(coalesce(o, '') = '' OR contains(o, '://localhost') OR contains(o, '://127.0.0.1') OR contains(o, '://[::1]')
+ OR starts_with(o, 'vscode-webview://') OR starts_with(o, 'vscode-file://'))"""
+_ORIGINS = [
+    "", "http://localhost", "http://localhost:3000", "http://localhost:8888", "https://localhost", "http://127.0.0.1", "http://127.0.0.1:5173", "http://[::1]", "http://[::1]:9090",
+    "vscode-webview://extid", "vscode-file://vscode-app/something", "http://evil.example.com", "http://attacker.local", "https://google.com", "http://192.168.1.1:8888", "http://localhost.evil.example",
+]
+
+
+@query(f"SELECT page_id, url, {_ORIGIN_SQL} AS allowed FROM (SELECT page_id, url, url AS o FROM pages)")
+def origin_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", predicates.allowed_origin(F.col("url")).alias("allowed"))
+
+
+@query(f"SELECT o AS origin, {_ORIGIN_SQL} AS allowed FROM (VALUES {', '.join(f'({o!r})' for o in _ORIGINS)}, (NULL)) AS v(o)")
+def origin_cases(spark, sf_dir):
+    return spark.createDataFrame([(o,) for o in [*_ORIGINS, None]], "origin string").select("origin", predicates.allowed_origin(F.col("origin")).alias("allowed"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Bearer click' WHEN 1 THEN 'Bearer ' || event_type WHEN 2 THEN 'bearer click' ELSE '' END = 'Bearer click' AS authorized FROM events""")
+def bearer_filter(spark, sf_dir):
+    k = F.col("event_id") % 4
+    header = F.when(k == 0, F.lit("Bearer click")).when(k == 1, F.concat(F.lit("Bearer "), "event_type")).when(k == 2, F.lit("bearer click")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", predicates.authorized(header, "click").alias("authorized"))
+
+
+@query("""SELECT event_id, event_id % 3 = 0 AS accepts, event_id % 3 = 0 AND event_id % 2 = 0 AS streams FROM events""")
+def accept_mode(spark, sf_dir):
+    accept = F.when(F.col("event_id") % 3 == 0, F.lit("application/json, text/event-stream")).otherwise(F.lit("application/json"))
+    token = F.when(F.col("event_id") % 2 == 0, F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", predicates.accepts_events(accept).alias("accepts"), predicates.streams_answer(accept, token).alias("streams"))
+
+
+@query("""WITH r AS (SELECT page_id, ['GET', 'POST', 'DELETE', 'OPTIONS', 'HEAD', 'TRACE'][1 + page_id % 6] AS verb,
+    CASE page_id % 4 WHEN 0 THEN '/mcp' WHEN 1 THEN '/health' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path FROM pages)
+SELECT page_id, verb, path, CASE WHEN verb IN ('GET', 'HEAD') AND path = '/health' THEN 'health' WHEN verb IN ('GET', 'HEAD') AND path = '/mcp' THEN 'events'
+  WHEN verb = 'POST' AND path = '/mcp' THEN 'rpc' WHEN verb = 'DELETE' AND path = '/mcp' THEN 'close' WHEN verb = 'OPTIONS' THEN 'preflight'
+  WHEN verb IN ('GET', 'HEAD', 'POST', 'PUT', 'DELETE', 'PATCH') THEN 'forward' END AS route FROM r""")
+def route_dispatch(spark, sf_dir):
+    verbs = F.array(*map(F.lit, ["GET", "POST", "DELETE", "OPTIONS", "HEAD", "TRACE"]))
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.lit("/mcp")).when(k == 1, F.lit("/health")).otherwise(urls.path(F.col("url")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.get(verbs, (F.col("page_id") % 6).cast("int")).alias("verb"), path.alias("path"))
+    return rows.withColumn("route", predicates.route(F.col("verb"), F.col("path")))
+
+
+_BUCKET_SQL = """WITH RECURSIVE q AS (SELECT {key} AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM {rows}),
+b AS (SELECT k, event_id, n, t, CASE WHEN {most} >= 1.0 THEN {most} - 1.0 ELSE {most} END AS tokens, {most} >= 1.0 AS allowed FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.k, q.event_id, q.n, q.t, CASE WHEN least({most}, b.tokens + (q.t - b.t) / 1e6 * {rate}) >= 1.0 THEN least({most}, b.tokens + (q.t - b.t) / 1e6 * {rate}) - 1.0
+    ELSE least({most}, b.tokens + (q.t - b.t) / 1e6 * {rate}) END, least({most}, b.tokens + (q.t - b.t) / 1e6 * {rate}) >= 1.0
+  FROM b JOIN q ON q.k = b.k AND q.n = b.n + 1)
+"""
+
+
+@query(_BUCKET_SQL.format(key="user_id", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + "SELECT k AS user_id, event_id, allowed FROM b")
+def token_bucket_by_user(spark, sf_dir):
+    out = state.token_bucket(table(spark, sf_dir, "events"), "ts", "event_id", "user_id", 3.0, 0.00005)
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "allowed")
+
+
+@query(_BUCKET_SQL.format(key="0", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.002 AS DOUBLE)") + "SELECT event_id, allowed FROM b")
+def token_bucket_global(spark, sf_dir):
+    return state.token_bucket(table(spark, sf_dir, "events"), "ts", "event_id", None, 3.0, 0.002).select(F.col("id").alias("event_id"), "allowed")
+
+
+@query(_BUCKET_SQL.format(key="user_id", rows="(SELECT * FROM events WHERE event_id % 5 <> 0 AND event_id % 4 <> 0)", most="CAST(2.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + """
+SELECT e.event_id, CASE WHEN e.event_id % 5 = 0 THEN 403 WHEN e.event_id % 4 = 0 THEN 401 WHEN b.allowed THEN 200 ELSE 429 END AS http
+FROM events e LEFT JOIN b ON e.event_id = b.event_id""")
+def admission_chain(spark, sf_dir):
+    """Origin, then token, then rate: only requests that pass the first two take from the bucket."""
+    origin = F.when(F.col("event_id") % 5 == 0, F.lit("http://evil.example.com")).otherwise(F.lit("http://localhost"))
+    header = F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.lit("Bearer t"))
+    asked = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", predicates.allowed_origin(origin).alias("local"), predicates.authorized(header, "t").alias("known"))
+    passed = state.token_bucket(asked.where("local AND known"), "ts", "event_id", "user_id", 2.0, 0.00005)
+    out = asked.join(passed, F.col("event_id") == F.col("id"), "left")
+    return out.select("event_id", F.when(~F.col("local"), 403).when(~F.col("known"), 401).when(F.col("allowed"), 200).otherwise(429).alias("http"))
+
+
+# Sessions and registries
+
+
+_SESSIONS = "SELECT user_id, max_by(event_type, (ts, event_id)) AS last_event, max(ts) AS last_activity FROM events GROUP BY user_id"
+
+
+def _sessions(spark, sf_dir):
+    return state.session_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", F.col("event_type") == "error")
+
+
+@query(f"SELECT user_id, last_event, last_activity, last_event <> 'error' AS active FROM ({_SESSIONS})")
+def session_state(spark, sf_dir):
+    return _sessions(spark, sf_dir)
+
+
+@query(f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS sid FROM ({_SESSIONS}) WHERE last_event <> 'error'),
+r AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'none-' || user_id ELSE CAST(user_id AS VARCHAR) END AS sid FROM events)
+SELECT event_id, r.sid, CASE WHEN r.sid = '' OR s.sid IS NOT NULL THEN 200 ELSE 404 END AS http FROM r LEFT JOIN s ON r.sid = s.sid""")
+def session_validate(spark, sf_dir):
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    asked = table(spark, sf_dir, "events").select("event_id", F.when(e % 10 == 0, F.lit("")).when(e % 7 == 0, F.concat(F.lit("none-"), user)).otherwise(user).alias("sid"))
+    return state.session_check(asked, _sessions(spark, sf_dir).withColumn("sid", F.col("user_id").cast("string")), "sid")
+
+
+@query(f"""WITH s AS (SELECT user_id FROM ({_SESSIONS}) WHERE last_event <> 'error'),
+r AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS sid FROM events WHERE event_type = 'error')
+SELECT event_id, CASE WHEN sid IS NULL THEN 400 WHEN s.user_id IS NULL THEN 404 ELSE 200 END AS http FROM r LEFT JOIN s ON r.sid = s.user_id""")
+def session_close(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id")).alias("sid"))
+    active = _sessions(spark, sf_dir).where("active").select("user_id")
+    known = asked.join(active, F.col("sid") == F.col("user_id"), "left")
+    return known.select("event_id", state.close_outcome(F.col("sid").cast("string"), F.col("user_id").isNotNull()).alias("http"))
+
+
+_VERSIONS = """SELECT role AS registry, conv_id, turn, CASE turn % 3 WHEN 0 THEN '[{"name":"t' || conv_id || '"},{"name":"u"}]' WHEN 1 THEN '{"name":"t' || conv_id || '"}' ELSE '[{"name"' END AS payload FROM conversations"""
+
+
+def _versions(spark, sf_dir):
+    k, conv = F.col("turn") % 3, F.col("conv_id").cast("string")
+    payload = F.when(k == 0, F.concat(F.lit('[{"name":"t'), conv, F.lit('"},{"name":"u"}]'))).when(k == 1, F.concat(F.lit('{"name":"t'), conv, F.lit('"}'))).otherwise(F.lit('[{"name"'))
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("registry"), "conv_id", "turn", payload.alias("payload"))
+
+
+@query(f"""SELECT registry, max_by(payload, (conv_id, turn)) AS payload, max_by(json_array_length(payload), (conv_id, turn))::INTEGER AS n_items
+FROM ({_VERSIONS}) WHERE turn % 3 = 0 GROUP BY registry""")
+def registry_latest(spark, sf_dir):
+    out = state.registry_latest(_versions(spark, sf_dir), "registry", ["conv_id", "turn"], "payload")
+    return out.select("registry", "payload", jsonrpc.array_length(F.col("payload")).alias("n_items"))
+
+
+@query(f"""SELECT conv_id, turn, '{{"jsonrpc":"2.0","method":"notifications/' || registry || '/list_changed"}}' AS message FROM ({_VERSIONS}) WHERE turn % 3 = 0""")
+def registry_changes(spark, sf_dir):
+    return _versions(spark, sf_dir).where(state.is_registry(F.col("payload"))).select("conv_id", "turn", jsonrpc.changed(F.col("registry")).alias("message"))
+
+
+# Requests and answers
+
+
+def _turns(spark, sf_dir, role):
+    return table(spark, sf_dir, "conversations").where(F.col("role") == role)
+
+
+@query("SELECT u.conv_id, u.turn FROM conversations u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1)")
+def unanswered_requests(spark, sf_dir):
+    answers = _turns(spark, sf_dir, "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return _turns(spark, sf_dir, "user").select("conv_id", "turn").join(answers, ["conv_id", "turn"], "left_anti")
+
+
+@query("SELECT a.conv_id, a.turn FROM conversations a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1)")
+def orphan_responses(spark, sf_dir):
+    requests = _turns(spark, sf_dir, "user").select("conv_id", (F.col("turn") + 1).alias("turn"))
+    return _turns(spark, sf_dir, "assistant").select("conv_id", "turn").join(requests, ["conv_id", "turn"], "left_anti")
+
+
+def _log(spark, sf_dir, kind, id):
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("event_id").alias(id), F.col("ts").alias("at"))
+
+
+@query("""WITH p AS (SELECT r.event_id AS request_id, s.event_id AS answer_id, s.ts FROM (SELECT * FROM events WHERE event_type = 'click') r
+  LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR)
+SELECT request_id, min_by(answer_id, (ts, answer_id)) AS answer_id, CASE WHEN min(answer_id) IS NULL THEN 'timeout' ELSE 'answered' END AS outcome FROM p GROUP BY request_id""")
+def response_correlation(spark, sf_dir):
+    return correlate.correlated(_log(spark, sf_dir, "click", "request_id"), _log(spark, sf_dir, "purchase", "answer_id"), 3600)
+
+
+@query("""SELECT r.event_id AS request_id, s.event_id AS progress_id FROM events r JOIN events s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR
+WHERE r.event_type = 'click' AND s.event_type = 'view' AND r.event_id % 2 = 0""")
+def progress_for_request(spark, sf_dir):
+    """Progress counts only for a request that streams and gave a token: here one with an even id."""
+    asked = _log(spark, sf_dir, "click", "request_id").where("request_id % 2 = 0")
+    return correlate.within(asked, _log(spark, sf_dir, "view", "answer_id"), 3600, "inner").select("request_id", F.col("answer_id").alias("progress_id"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+SELECT user_id, session_no::BIGINT AS session_no, min(ts) AS started, max(ts) AS ended, count(*)::BIGINT AS n FROM s GROUP BY user_id, session_no""")
+def idle_timeout(spark, sf_dir):
+    return correlate.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
+
+
+def _fanned(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    messages = events.where("event_type = 'error'").select(F.col("event_id").alias("message_id"), F.col("ts").alias("at"))
+    streams = events.where("event_type = 'signup'").select(F.col("event_id").alias("stream_id"), F.col("ts").alias("opened"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("closed"))
+    return correlate.fanned_out(messages, streams, 7200)
+
+
+_FAN_SQL = """SELECT s.event_id AS stream_id, m.event_id AS message_id, m.ts AS sent_at FROM events s JOIN events m
+ON m.ts >= s.ts AND m.ts < s.ts + INTERVAL 2 HOUR WHERE s.event_type = 'signup' AND m.event_type = 'error'"""
+
+
+@query(f"SELECT stream_id, count(*)::BIGINT AS n_messages, min(message_id) AS least_id FROM ({_FAN_SQL}) GROUP BY stream_id")
+def broadcast_fanout(spark, sf_dir):
+    return _fanned(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_messages"), F.min("message_id").alias("least_id"))
+
+
+@query(f"SELECT stream_id, message_id, row_number() OVER (PARTITION BY stream_id ORDER BY sent_at, message_id)::INTEGER AS seq FROM ({_FAN_SQL})")
+def fifo_delivery(spark, sf_dir):
+    return correlate.delivery_order(_fanned(spark, sf_dir)).select("stream_id", "message_id", "seq")
+
+
+# Messages
+
+
+_BODY_SQL = """CASE event_id % 8 WHEN 0 THEN 'NOT A JSON' WHEN 1 THEN '{"jsonrpc":"2.0","id":' || event_id || ',"method":"tools/call","params":{"name":"' || event_type || '"}}'
+  WHEN 2 THEN '{"jsonrpc":"2.0","method":"notifications/' || event_type || '"}' WHEN 3 THEN '{"jsonrpc":"2.0","id":"' || event_id || '","method":"unknown/' || event_type || '"}'
+  WHEN 4 THEN '{"jsonrpc":"2.0","id":null,"method":"unknown/method"}' WHEN 5 THEN '[1,2]' WHEN 6 THEN '{"jsonrpc":"2.0","id":1,"method":"ping"}' ELSE '' END"""
+
+
+def _body():
+    e, kind, k = F.col("event_id").cast("string"), F.col("event_type"), F.col("event_id") % 8
+    return (
+        F.when(k == 0, F.lit("NOT A JSON")).when(k == 1, F.concat(F.lit('{"jsonrpc":"2.0","id":'), e, F.lit(',"method":"tools/call","params":{"name":"'), kind, F.lit('"}}')))
+        .when(k == 2, F.concat(F.lit('{"jsonrpc":"2.0","method":"notifications/'), kind, F.lit('"}'))).when(k == 3, F.concat(F.lit('{"jsonrpc":"2.0","id":"'), e, F.lit('","method":"unknown/'), kind, F.lit('"}')))
+        .when(k == 4, F.lit('{"jsonrpc":"2.0","id":null,"method":"unknown/method"}')).when(k == 5, F.lit("[1,2]")).when(k == 6, F.lit('{"jsonrpc":"2.0","id":1,"method":"ping"}')).otherwise(F.lit(""))
+    )
+
+
+@query(f"""WITH b AS (SELECT event_id, {_BODY_SQL} AS body FROM events),
+m AS (SELECT event_id, json_valid(body) AND body <> '' AND NOT starts_with(body, '[') AS ok, CASE WHEN json_valid(body) AND body <> '' THEN json_extract_string(body, '$.method') END AS method,
+  contains(body, '"id":') AS has_id, CASE WHEN json_valid(body) AND body <> '' THEN json_extract_string(body, '$.params.name') END AS tool FROM b)
+SELECT event_id, method, tool, CASE WHEN NOT ok THEN 'parse_error' WHEN method IN ('ping', 'tools/call') THEN method WHEN NOT has_id THEN 'notification' ELSE 'method_not_found' END AS outcome,
+  CASE WHEN NOT ok THEN -32700 WHEN method IN ('ping', 'tools/call') OR NOT has_id THEN NULL ELSE -32601 END AS code FROM m""")
+def rpc_classify(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", _body().alias("body"))
+    body = F.col("body")
+    rows = rows.select("event_id", F.coalesce(jsonrpc.kind(body) == "OBJECT", F.lit(False)).alias("ok"), jsonrpc.field(body, "$.method").alias("method"), jsonrpc.has_key(body, "id").alias("has_id"), jsonrpc.field(body, "$.params.name").alias("tool"))
+    outcome = F.when(~F.col("ok"), F.lit("parse_error")).otherwise(predicates.outcome(F.col("method"), F.col("has_id")))
+    code = F.when(~F.col("ok"), jsonrpc.PARSE_ERROR).when(outcome == "method_not_found", jsonrpc.METHOD_NOT_FOUND)
+    return rows.select("event_id", "method", "tool", outcome.alias("outcome"), code.alias("code"))
+
+
+@query("""SELECT event_id, to_json({error: {code: -32601, message: 'Method not found: ' || event_type}, id: event_id, jsonrpc: '2.0'})::VARCHAR AS message FROM events""")
+def rpc_error_envelope(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.error(F.col("event_id"), jsonrpc.METHOD_NOT_FOUND, F.concat(F.lit("Method not found: "), "event_type")).alias("message"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN to_json({content: [{text: text, type: 'text'}], isError: true})::VARCHAR
+  WHEN turn % 2 = 0 THEN '{"content":[]}' ELSE to_json({content: [{text: text, type: 'text'}]})::VARCHAR END AS message FROM conversations""")
+def tool_result_wrap(spark, sf_dir):
+    body = F.when(F.col("turn") % 2 == 0, F.lit('{"content":[]}')).otherwise(F.col("text"))
+    message = F.when(F.col("role") == "system", jsonrpc.text_result(F.col("text"), F.lit(True))).otherwise(jsonrpc.tool_result(body))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("message"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '{"contents":[]}' ELSE to_json({contents: [{mimeType: 'text/plain', text: text, uri: 'doc://' || doc_id}]})::VARCHAR END AS message FROM documents""")
+def resource_wrap(spark, sf_dir):
+    body = F.when(F.col("doc_id") % 5 == 0, F.lit('{"contents":[]}')).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", jsonrpc.resource_result(body, F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))).alias("message"))
+
+
+@query("""SELECT conv_id, turn, to_json({messages: [{content: {text: text, type: 'text'}, role: 'user'}]})::VARCHAR AS message FROM conversations""")
+def prompt_wrap(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", jsonrpc.prompt_result(F.col("text")).alias("message"))
+
+
+@query("SELECT event_id, 'event: message' || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def sse_frame(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.sse_frame(F.col("props")).alias("frame"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN to_json({jsonrpc: '2.0', method: 'notifications/progress', params: {message: event_type, progress: event_id % 100, progressToken: 't' || event_id, total: 100}})::VARCHAR
+  ELSE to_json({jsonrpc: '2.0', method: 'notifications/progress', params: {progress: event_id % 100, progressToken: 't' || event_id, total: 100}})::VARCHAR END AS message FROM events""")
+def progress_notification(spark, sf_dir):
+    token = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    note = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.progress(token, F.col("event_id") % 100, F.lit(100), note).alias("message"))
+
+
+@query("""SELECT event_id, CASE WHEN name = '' THEN to_json({error: {code: -32602, message: 'Missing required parameter: name'}, id: event_id, jsonrpc: '2.0'})::VARCHAR END AS message
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS name FROM events)""")
+def required_params(spark, sf_dir):
+    name = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(predicates.missing(name), jsonrpc.error(F.col("event_id"), jsonrpc.INVALID_PARAMS, F.lit("Missing required parameter: name"))).alias("message"))
+
+
+@query("""SELECT event_id, to_json({arguments: {k: event_id}, id: 'req_' || event_id, tool: event_type, type: 'tool_call'})::VARCHAR AS data FROM events""")
+def host_event(spark, sf_dir):
+    data = F.struct(F.struct(F.col("event_id").alias("k")).alias("arguments"), F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("tool"), F.lit("tool_call").alias("type"))
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.dumped(data).alias("data"))
+
+
+@query("""SELECT event_id, to_json({result: event_type, value: event_id})::VARCHAR AS body FROM events""")
+def strip_envelope(spark, sf_dir):
+    """The body of an answer that has none is the answer without its own fields."""
+    message = F.create_map(F.lit("id"), F.lit('"x"'), F.lit("result"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("status"), F.lit("200"), F.lit("value"), F.col("event_id").cast("string"))
+    left = F.map_entries(F.map_filter(message, lambda k, v: ~k.isin("id", "status", "content_type")))
+    parts = F.transform(F.array_sort(left), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"]))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("body"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('click', 'button'), ('view', 'page'), ('Purchase', 'shop')) AS v(name, handler))
+SELECT event_id, event_type, coalesce((SELECT handler FROM r WHERE r.name = event_type), (SELECT handler FROM r WHERE upper(r.name) = upper(event_type)), 'Unknown tool: ' || event_type) AS handler FROM events""")
+def tool_dispatch(spark, sf_dir):
+    """Handlers by exact name, else by upper-case name; the registry is three literal rows."""
+    registry = spark.createDataFrame([("click", "button"), ("view", "page"), ("Purchase", "shop")], "name string, handler string")
+    exact = F.broadcast(registry.select(F.col("name").alias("n1"), F.col("handler").alias("h1")))
+    upper = F.broadcast(registry.select(F.upper("name").alias("n2"), F.col("handler").alias("h2")))
+    out = table(spark, sf_dir, "events").join(exact, F.col("event_type") == F.col("n1"), "left").join(upper, F.upper("event_type") == F.col("n2"), "left")
+    return out.select("event_id", "event_type", F.coalesce("h1", "h2", F.concat(F.lit("Unknown tool: "), "event_type")).alias("handler"))
+
+
+@query("SELECT event_id, '[' || (epoch_us(ts) // 1000) || '] ' || substr(event_type || ' ' || props, 1, 12) AS line FROM events")
+def log_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.log_line(F.col("ts"), F.concat("event_type", F.lit(" "), "props"), 12).alias("line"))
+
+
+@query("""SELECT conv_id, to_json({messages: [{content: {text: 'Analyze: ' || coalesce(nullif(topic, ''), 'general overview') || chr(10) || 'Tables: 14' || chr(10), type: 'text'}, role: 'user'}]})::VARCHAR AS message
+FROM (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN role ELSE '' END AS topic FROM conversations WHERE turn = 0)""")
+def analyze_prompt(spark, sf_dir):
+    topic = F.when(F.col("conv_id") % 2 == 0, F.col("role")).otherwise(F.lit("general overview"))
+    text = F.concat(F.lit("Analyze: "), topic, F.lit(f"\nTables: {len(TABLES)}\n"))
+    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", jsonrpc.prompt_result(text).alias("message"))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN to_json({error: {code: -32602, message: 'Missing required argument: task'}, id: conv_id, jsonrpc: '2.0'})::VARCHAR
+  ELSE to_json({messages: [{content: {text: 'Write code: ' || text, type: 'text'}, role: 'user'}]})::VARCHAR END AS message FROM conversations WHERE turn = 0""")
+def code_prompt(spark, sf_dir):
+    text = F.concat(F.lit("Write code: "), "text")
+    message = F.when(F.col("conv_id") % 3 == 0, jsonrpc.error(F.col("conv_id"), jsonrpc.INVALID_PARAMS, F.lit("Missing required argument: task"))).otherwise(jsonrpc.prompt_result(text))
+    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", message.alias("message"))
+
+
+@query("""SELECT event_id, to_json({id: event_id, jsonrpc: '2.0', result: {capabilities: {prompts: {listChanged: true}, resources: {listChanged: true}, tools: {listChanged: true}}, protocolVersion: '2025-03-26', serverInfo: {name: 'tidegate', version: '1.0'}}})::VARCHAR AS message
+FROM events WHERE event_type = 'signup'""")
+def initialize_result(spark, sf_dir):
+    yes = F.struct(F.lit(True).alias("listChanged"))
+    value = F.struct(F.struct(yes.alias("prompts"), yes.alias("resources"), yes.alias("tools")).alias("capabilities"), F.lit(jsonrpc.PROTOCOL_VERSION).alias("protocolVersion"), F.struct(F.lit("tidegate").alias("name"), F.lit("1.0").alias("version")).alias("serverInfo"))
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", jsonrpc.result(F.col("event_id"), value).alias("message"))
+
+
+# Request targets
+
+
+@query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS p FROM pages)
+SELECT page_id, url_decode(replace(split_part(p, '=', 1), '+', ' ')) AS key, url_decode(replace(split_part(p, '=', 2), '+', ' ')) AS value FROM q WHERE split_part(p, '=', 1) <> ''""")
+def query_params(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(urls.query_params(urls.query_string(F.col("url")))).alias("p"))
+    return rows.select("page_id", "p.key", "p.value")
+
+
+@query("""SELECT s, d AS decoded FROM (VALUES ('a%20b', 'a b'), ('a+b', 'a b'), ('100%', '100%'), ('%zz', '%zz'), ('%D0%96', 'Ж'), ('%u0416x', 'Жx'), ('', ''), ('a%2Bb', 'a+b')) AS v(s, d)""")
+def url_decode(spark, sf_dir):
+    rows = spark.createDataFrame([(s,) for s in ["a%20b", "a+b", "100%", "%zz", "%D0%96", "%u0416x", "", "a%2Bb"]], "s string")
+    return rows.select("s", urls.url_decode(F.col("s")).alias("decoded"))
+
+
+@query("""SELECT page_id, to_json({body: '', content_type: '', id: 'req_' || page_id, method: 'GET', path: regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)})::VARCHAR AS data FROM pages""")
+def legacy_request(spark, sf_dir):
+    data = F.struct(F.lit("").alias("body"), F.lit("").alias("content_type"), F.concat(F.lit("req_"), F.col("page_id").cast("string")).alias("id"), F.lit("GET").alias("method"), urls.path(F.col("url")).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", jsonrpc.dumped(data).alias("data"))
+
+
+# Status
+
+
+def _status(spark, sf_dir):
+    return status.one_row(
+        pending_requests=unanswered_requests(spark, sf_dir), tools_registered=table(spark, sf_dir, "part"), resources_registered=table(spark, sf_dir, "documents"),
+        prompts_registered=table(spark, sf_dir, "benchmark"), active_sessions=_sessions(spark, sf_dir).where("active"),
+    )
+
+
+_STATUS_SQL = f"""SELECT (SELECT count(*) FROM ({ORACLES['unanswered_requests']})) AS pending_requests, (SELECT count(*) FROM part) AS tools_registered,
+(SELECT count(*) FROM documents) AS resources_registered, (SELECT count(*) FROM benchmark) AS prompts_registered,
+(SELECT count(*) FROM ({_SESSIONS}) WHERE last_event <> 'error') AS active_sessions"""
+
+
+@query(_STATUS_SQL)
+def service_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query("SELECT 'ok' AS status, true AS running, 8765 AS port, count(*)::BIGINT AS pending_requests FROM (" + ORACLES["unanswered_requests"] + ")")
+def health(spark, sf_dir):
+    return status.one_row(pending_requests=unanswered_requests(spark, sf_dir)).select(F.lit("ok").alias("status"), F.lit(True).alias("running"), F.lit(8765).alias("port"), "pending_requests")
+
+
+_RUNTIME = "SELECT user_id, max_by(event_type, (ts, event_id)) AS last_event, max_by(props, (ts, event_id)) AS progress_message FROM events GROUP BY user_id"
+
+
+@query(f"SELECT user_id, last_event IN ('click', 'view') AS is_busy, last_event, progress_message FROM ({_RUNTIME})")
+def runtime_status(spark, sf_dir):
+    last = state.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    return last.select("user_id", F.col("event_type").isin("click", "view").alias("is_busy"), F.col("event_type").alias("last_event"), F.col("props").alias("progress_message"))
+
+
+@query(f"""WITH s AS ({_STATUS_SQL}), r AS (SELECT count(*) FILTER (last_event IN ('click', 'view')) AS busy FROM ({_RUNTIME}))
+SELECT to_json({{active_sessions: active_sessions, busy: busy, pending_requests: pending_requests, running: true}})::VARCHAR AS message FROM s, r""")
+def combined_status(spark, sf_dir):
+    busy = runtime_status(spark, sf_dir).agg(F.count_if("is_busy").alias("busy"))
+    both = _status(spark, sf_dir).crossJoin(busy)
+    return both.select(jsonrpc.dumped(F.struct("active_sessions", "busy", "pending_requests", F.lit(True).alias("running"))).alias("message"))
+
+
+def _metadata(spark, sf_dir):
+    return status.catalog_metadata(spark, {name: table(spark, sf_dir, name) for name in TABLES})
+
+
+_METADATA_SQL = f"""SELECT table_name AS name, upper(table_name[1]) || table_name[2:] AS synonym, count(*)::INTEGER AS attributeCount, 0 AS tabularsCount
+FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))}) GROUP BY table_name"""
+
+
+@query(_METADATA_SQL)
+def catalog_metadata(spark, sf_dir):
+    return _metadata(spark, sf_dir)
+
+
+@query(f"""SELECT 'Tables: ' || count(*) || chr(10) || string_agg(name || ': ' || attributeCount || ' attributes' || chr(10), '' ORDER BY name) AS summary FROM ({_METADATA_SQL})""")
+def metadata_summary(spark, sf_dir):
+    return status.metadata_summary(_metadata(spark, sf_dir))
+
+
+@query("SELECT s AS step, (SELECT sum(k % 97)::BIGINT FROM range(1, 4000001) AS t(k)) AS total FROM range(1, 6) AS r(s)")
+def long_task_sum(spark, sf_dir):
+    return status.long_task(spark)
+
+
+# Caller's code
+
 
-def list_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderkey").limit(50)
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def execute_sql(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("tidegate_events")
+    return usercode.execute_sql(spark, "SELECT event_type, count(*) AS n FROM tidegate_events GROUP BY event_type")
 
 
-QUERIES = {"list_page_first": list_page_first}
-ORACLES = {"list_page_first": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50"}
+@query("SELECT event_id, CAST(event_id * 2 + 1 AS VARCHAR) AS result FROM events")
+def evaluate_expr(spark, sf_dir):
+    return usercode.evaluate(table(spark, sf_dir, "events").select("event_id"), "event_id * 2 + 1")
