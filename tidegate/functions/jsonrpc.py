@@ -91,3 +91,15 @@ def sse_frame(json: Column) -> Column:
 def log_line(at: Column, text: Column, longest: int = 300) -> Column:
     """A line of the log: epoch milliseconds and the beginning of a text."""
     return F.format_string("[%d] %s", F.unix_millis(at.cast("timestamp")), F.substring(text, 1, longest))
+
+
+def tool(name: Column, description: Column, parameters: dict[str, tuple[str, str]], required: list[str], read_only: bool = True) -> Column:
+    """A tool's definition: parameters are name -> (type, description)."""
+    properties = F.struct(*[F.struct(F.lit(d).alias("description"), F.lit(t).alias("type")).alias(p) for p, (t, d) in sorted(parameters.items())])
+    schema = F.struct(properties.alias("properties"), F.array(*map(F.lit, required)).alias("required"), F.lit("object").alias("type"))
+    return dumped(F.struct(F.struct(F.lit(read_only).alias("readOnlyHint")).alias("annotations"), description.alias("description"), schema.alias("inputSchema"), name.alias("name")))
+
+
+def reply(id: Column, status: int, body: Column) -> Column:
+    """The answer to a forwarded request."""
+    return dumped(F.struct(body.alias("body"), F.lit("application/json").alias("content_type"), id.alias("id"), F.lit(status).alias("status")))

@@ -60,3 +60,11 @@ def outcome(method: Column, has_id: Column) -> Column:
 def missing(value: Column) -> Column:
     """A required parameter that is absent or empty."""
     return F.coalesce(value, F.lit("")) == ""
+
+
+def handled(name: Column, handlers: dict[str, str], kind: str) -> Column:
+    """The handler of a name, by first match; else what an unknown one is answered."""
+    out = F.concat(F.lit(f"Unknown {kind}: "), F.coalesce(name, F.lit("")))
+    for known, handler in reversed(handlers.items()):
+        out = F.when(name == known, F.lit(handler)).otherwise(out)
+    return out

@@ -421,6 +421,43 @@ def initialize_result(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", jsonrpc.result(F.col("event_id"), value).alias("message"))
 
 
+@query("""SELECT p_partkey, to_json({annotations: {readOnlyHint: true}, description: p_type, inputSchema: {properties: {expression: {description: 'What to evaluate', type: 'string'}}, required: ['expression'], type: 'object'}, name: p_name})::VARCHAR AS definition FROM part""")
+def tool_definitions(spark, sf_dir):
+    definition = jsonrpc.tool(F.col("p_name"), F.col("p_type"), {"expression": ("string", "What to evaluate")}, ["expression"])
+    return table(spark, sf_dir, "part").select("p_partkey", definition.alias("definition"))
+
+
+@query("""SELECT page_id, to_json({body: '{"error":"Not found"}', content_type: 'application/json', id: 'req_' || page_id, status: 404})::VARCHAR AS message FROM pages""")
+def legacy_reply(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", jsonrpc.reply(F.concat(F.lit("req_"), F.col("page_id").cast("string")), 404, F.lit('{"error":"Not found"}')).alias("message"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'catalogs' WHEN 'view' THEN 'documents' ELSE 'Unknown resource: ' || event_type END AS resource,
+CASE event_type WHEN 'purchase' THEN 'analyze' WHEN 'signup' THEN 'code' ELSE 'Unknown prompt: ' || event_type END AS prompt FROM events""")
+def resource_prompt_dispatch(spark, sf_dir):
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_id", predicates.handled(kind, {"click": "catalogs", "view": "documents"}, "resource").alias("resource"), predicates.handled(kind, {"purchase": "analyze", "signup": "code"}, "prompt").alias("prompt"))
+
+
+@query("""SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view', 'purchase', 'signup') GROUP BY event_type""")
+def event_dispatch(spark, sf_dir):
+    """Only events of the one known source, and of the four known kinds, are taken."""
+    rows = table(spark, sf_dir, "events").withColumn("source", F.when(F.col("event_id") % 3 == 0, F.lit("server")).otherwise(F.lit("other")))
+    taken = rows.where((F.col("source") == "server") & F.col("event_type").isin("click", "view", "purchase", "signup"))
+    return taken.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, max_by(role, turn) = 'assistant' AS completed FROM conversations GROUP BY conv_id")
+def completion_marker(spark, sf_dir):
+    return correlate.completed(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant")
+
+
+@query("""SELECT event_id AS stream_id, c::INTEGER AS cycle, ts + to_seconds(c * 30) AS sent_at FROM (SELECT * FROM events WHERE event_type = 'signup') e, (SELECT unnest(range(1, 21)) AS c)""")
+def keepalive_cycles(spark, sf_dir):
+    streams = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("stream_id"), F.col("ts").alias("opened"), (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("closed"))
+    return correlate.keepalives(streams).withColumnRenamed("at", "sent_at")
+
+
 # Request targets
 
 
