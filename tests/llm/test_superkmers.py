@@ -52,6 +52,13 @@ def test_against_brute_force(spark, window, k, most):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, window)
 
 
+def test_joined_where_too_many_to_look_up(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "LOOKUP_ROWS", 0)
+    rows = corpus(8)
+    got = superkmers.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=10, k=3, most_runs=2).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, 10)
+
+
 def test_empty(spark):
     assert superkmers.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

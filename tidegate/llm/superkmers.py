@@ -26,6 +26,8 @@ from tidegate.llm import _text
 from tidegate.llm._scratch import small_batches, written
 
 WINDOW, SEED_WORDS, MOST_RUNS = 50, 8, 200
+#: Windows of hot minimisers that another string has earlier, up to which tasks look them up; more are joined.
+LOOKUP_ROWS = 1 << 17
 
 
 def _sliding_min(a: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +184,7 @@ def _windows(window: int):
                 for s, p, d in zip(*(part.column(c).to_pylist() for c in ("sid", "packed", "least")), strict=True):
                     w = p.split(b" ")
                     n = len(w) - window + 1
-                    wid += [hashlib.blake2b(b" ".join(w[j : j + window]), digest_size=16).digest() for j in range(n)]
+                    wid += [_wid(w[j : j + window]) for j in range(n)]
                     sid += [s] * n
                     off += range(n)
                     least += [d] * n
@@ -191,6 +193,27 @@ def _windows(window: int):
     return run
 
 
+def _looked_up(window: int, known: dict[bytes, int]):
+    """Windows of each string that another string has in an earlier document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, offs = [], []
+            for s, p, least in zip(*(batch.column(c).to_pylist() for c in ("sid", "packed", "least")), strict=True):
+                w = p.split(b" ")
+                hit = [j for j in range(len(w) - window + 1) if known.get(_wid(w[j : j + window]), least) < least]
+                if hit:
+                    sid.append(s)
+                    offs.append(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(offs, pa.list_(pa.int32()))], names=["sid", "offs"])
+
+    return run
+
+
+def _wid(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,11 +262,18 @@ def covered_windows(df: DataFrame, id: str, text: str, window: int, k: int, most
     found = cold.mapInArrow(_counted(window), "id long, fp long, at int, n int")
     hot = packed(True)
     strings = written(hot.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("least")), "strings")
-    windows = written(strings.mapInArrow(_windows(window), "wid binary, sid binary, off int, least long"), "windows")
+    windows = strings.mapInArrow(_windows(window), "wid binary, sid binary, off int, least long")
     # a window's least document is its string's own or, where another string has the window, a smaller one
     better = windows.groupBy("wid").agg(F.min("least").alias("d"), F.max("least").alias("m")).where("d < m").select("wid", "d")
-    earlier = windows.join(better, (windows.wid == better.wid) & (F.col("d") < F.col("least"))).groupBy("sid").agg(F.collect_set("off").alias("offs"))
+    better = written(better, "earlier")
+    if better.count() <= LOOKUP_ROWS:
+        known = {r.wid: r.d for r in better.toLocalIterator()}
+        earlier = strings.mapInArrow(_looked_up(window, {bytes(w): d for w, d in known.items()}), "sid binary, offs array<int>")
+    else:
+        own = windows.select(F.col("wid").alias("own"), "sid", "off", "least")
+        earlier = own.join(better, (F.col("own") == F.col("wid")) & (F.col("d") < F.col("least"))).groupBy("sid").agg(F.collect_set("off").alias("offs"))
     occurs = hot.select("sid", "id", "fp", "at", "n").join(strings.select("sid", "least"), "sid")
+    # of a string's later documents every window is covered, of its first those that are earlier elsewhere
     found = found.unionByName(occurs.where("id > least").select("id", "fp", "at", "n"))
     first = occurs.where("id = least").join(earlier, "sid").select("id", "fp", "at", F.explode(_intervals("offs")).alias("i"))
     found = found.unionByName(first.select("id", "fp", (F.col("at") + F.col("i.at")).alias("at"), F.col("i.n").alias("n")))
