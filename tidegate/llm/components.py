@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidegate.llm._scratch import written
 
 
+#: Edges that one task writes: rounds over a small graph need few tasks and files.
+TASK_EDGES = 100_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0]
     return r.n, r.s
@@ -38,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now = written(_small_star(_large_star(now).distinct()).where("a <> b").distinct(), "edges")
+        parts = -(-mark[0] // TASK_EDGES)
+        now = written(_small_star(_large_star(now).distinct()).where("a <> b").distinct().coalesce(parts), "edges")
         new = _mark(now)
         if new == mark:
             break

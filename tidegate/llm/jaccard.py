@@ -1,7 +1,7 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once per pair.
 
 A text's set is its distinct word shingles, as 64-bit hashes. Texts with the same set (a 128-bit digest of all
-of it) are one class. Shingles are ordered by an estimated frequency, rarest first; the estimate is a count sketch of
+of it, whose first half numbers it) are one class. Shingles are ordered by an estimated frequency, rarest first; the estimate is a count sketch of
 fixed size, and any order that all texts share is right. Two sets that are similar enough share a shingle in
 short prefixes of that order, so classes meet by prefix shingles, and pairs pass
 
@@ -30,10 +30,12 @@ from tidegate.llm._scratch import small_batches, written
 from tidegate.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (80, 100)
-#: log2 of the sketch's counters; rows of a shingle's group compared at a time; neighbours tried in either order.
+#: log2 of the sketch's counters; rows of a shingle kept to compare with those that follow; neighbours tried in either order.
 SKETCH_BITS, GROUP_ROWS, NEIGHBOURS = 18, 2000, 3
 #: A shingle estimated more frequent than this is dealt to several groups.
 HOT = 20_000
+#: Rows that a task writes of classes, and of texts.
+TASK_CLASSES, TASK_BODIES = 50_000, 5_000
 
 
 def _ceil(a, b):
@@ -68,21 +70,37 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+_SCAN = "id long, key long, n long, fp binary, c long, b0 long, b1 long, b2 long, b3 long, part int, counts binary"
+_SCAN_ARROW = pa.schema([*((x, pa.int64()) for x in ("id", "key", "n")), ("fp", pa.binary()), *((x, pa.int64()) for x in ("c", "b0", "b1", "b2", "b3")), ("part", pa.int32()), ("counts", pa.binary())])
+
+
+def _class(fp: bytes | None) -> int | None:
+    return None if fp is None else int.from_bytes(fp[:8], "big", signed=True)
+
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _scanned(n: int, lower: bool):
-    """A row for each text, and at the end the task's part of the sketch."""
+    """A row for each text, with its class and parity bitmap, and at the end the task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            size, fp = [], []
-            for s in _sets(batch.column("text"), n, lower):
+            size, fp, bits = [], [], np.zeros((batch.num_rows, 256), np.uint8)
+            for i, s in enumerate(_sets(batch.column("text"), n, lower)):
                 size.append(len(s))
                 fp.append(_digest(s))
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            none = pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), *none], names=["id", "key", "n", "fp", "part", "counts"])
-        parts = [p.astype(np.int64).tobytes() for p in np.split(sketch, 64)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(64, pa.int64()) for _ in range(3)), pa.nulls(64, pa.binary()), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=["id", "key", "n", "fp", "part", "counts"])
+                bits[i] = np.bincount((_text.mix(s, 7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                np.add.at(sketch, _slot(s), 1)
+            packed, m = np.packbits(bits, axis=1).view(np.int64), len(size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array([_class(f) for f in fp], pa.int64()), *(pa.array(packed[:, k]) for k in range(4)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                schema=_SCAN_ARROW,
+            )
+        parts = [p.tobytes() for p in np.split(sketch, 64)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(64, f.type) for f in list(_SCAN_ARROW)[:-2]), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], schema=_SCAN_ARROW)
 
     return run
 
@@ -92,46 +110,56 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _prefixes(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
-    """Prefix shingles in order, and the parity bitmap, of each text that has words."""
+def _postings(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
+    """(shingle, class, group << 56 | set size << 28 | place) of the prefixes; a task sends each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            fp, tokens, hot, bits = [], [], [], []
+            token, c, word = [], [], []
             for s in _sets(batch.column("text"), n, lower):
-                if not len(s):
+                if not len(s) or (own := _class(_digest(s))) in seen:
                     continue
-                often = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                seen.add(own)
+                often = sketch[_slot(s)]
                 first = np.lexsort((s, often))[: bounds.probe(len(s))]
-                fp.append(_digest(s))
-                tokens.append(s[first].view(np.int64))
-                hot.append(np.minimum(often[first] // HOT, 200).astype(np.int32))
-                bits.append((np.bincount((_text.mix(s, 7) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8))
-            if fp:
-                packed = np.packbits(np.stack(bits), axis=1).view(np.int64)
-                at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x))) for x in (tokens, hot)]
-                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), *lists, *(pa.array(packed[:, k]) for k in range(4))], names=["fp", "tokens", "hot", "b0", "b1", "b2", "b3"])
+                groups = np.minimum(often[first] // HOT, 100)
+                group = np.where(groups > 0, 1 + own % np.maximum(groups, 1), 0)
+                token.append(s[first].view(np.int64))
+                c.append(np.full(len(first), own))
+                word.append(group << 56 | len(s) << 28 | np.arange(len(first)))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, c, word)], names=["token", "c", "w"])
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, sorted by shingle, whose shingle another class has too; those dealt to several groups all stay."""
+    """Postings, sorted by shingle and class, without repeats, whose shingle another class has too; those dealt to
+    several groups all stay."""
     held, stays = None, False
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token = batch.column("token").to_numpy()
+        token, c, w = (batch.column(k).to_numpy() for k in ("token", "c", "w"))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+        token, c, w = token[new], c[new], w[new]
         same = token[1:] == token[:-1]
-        keep = batch.column("hot").to_numpy() > 0
+        keep = w >> 56 > 0
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= stays
-        held, stays = batch.slice(len(token) - 1), bool(keep[-1])
-        yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
+        held, stays = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (token, c, w)], names=["token", "c", "w"]), bool(keep[-1])
+        k = np.flatnonzero(keep[:-1])
+        yield _posting_batch(token[k], c[k], w[k])
     if held is not None and stays:
-        yield held
+        yield _posting_batch(*(held.column(k).to_numpy() for k in ("token", "c", "w")))
+
+
+def _posting_batch(token: np.ndarray, c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    low = (1 << 28) - 1
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, c, w >> 28 & low, w & low, w >> 56)], names=["token", "c", "n", "pos", "hot"])
 
 
 def _distance(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -139,43 +167,38 @@ def _distance(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _likely(bounds: Bounds):
-    """A few pairs of each group of a shingle that pass the filters: neighbours by size and by bitmap, and the first."""
+    """A few pairs of each shingle's classes that pass the filters: neighbours by size and by bitmap, and the first."""
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        c, n, pos = (t.column(k).to_numpy() for k in ("c", "n", "pos"))
+        token, c, n, pos = (t.column(k).to_numpy() for k in ("token", "c", "n", "pos"))
         bits = [t.column(f"b{k}").to_numpy() for k in range(4)]
-        m, left, right = len(c), [], []
-        by_size = np.lexsort((c, n))
-        for order in (by_size, np.lexsort((c, *reversed(bits)))):
-            for step in range(1, min(NEIGHBOURS, m - 1) + 1):
+        left, right = [], []
+        by_size = np.lexsort((c, n, token))
+        for order in (by_size, np.lexsort((c, *reversed(bits), token))):
+            for step in range(1, min(NEIGHBOURS, len(c) - 1) + 1):
                 left.append(order[:-step])
                 right.append(order[step:])
-        left.append(np.full(m - 1, by_size[0]))
-        right.append(by_size[1:])
+        new = np.flatnonzero(np.append(True, token[by_size][1:] != token[by_size][:-1]))
+        left.append(by_size[np.repeat(new, np.diff(np.append(new, len(c))))])
+        right.append(by_size)
         a, b = np.concatenate(left), np.concatenate(right)
+        same = (token[a] == token[b]) & (c[a] != c[b])
+        a, b = a[same], b[same]
         turn = (n[a] > n[b]) | ((n[a] == n[b]) & (c[a] > c[b]))
         a, b = np.where(turn, b, a), np.where(turn, a, b)  # a is the smaller set
         need = bounds.overlap(n[a], n[b])
-        ok = (c[a] != c[b]) & (bounds.den * n[a] >= bounds.num * n[b]) & (1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need)
+        ok = (bounds.den * n[a] >= bounds.num * n[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
         ok &= _distance([x[a] for x in bits], [x[b] for x in bits]) <= n[a] + n[b] - 2 * need
         return c[a[ok]], c[b[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
+        tail: pa.Table | None = None  # of the last shingle, which may go on
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])]).combine_chunks()
+            t = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])]).combine_chunks()
+            yield _pairs_batch(*pairs(t))
             token = t.column("token").to_numpy()
-            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1), len(token)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                while hi - lo >= GROUP_ROWS:
-                    yield _pairs_batch(*pairs(t.slice(lo, GROUP_ROWS).combine_chunks()))
-                    lo += GROUP_ROWS - 1  # the next part goes on from this one's last
-                if hi == len(token):
-                    waiting = t.slice(lo, hi - lo)
-                elif hi - lo > 1:
-                    yield _pairs_batch(*pairs(t.slice(lo, hi - lo).combine_chunks()))
-        if waiting is not None and len(waiting) > 1:
-            yield _pairs_batch(*pairs(waiting.combine_chunks()))
+            first = max(int(np.searchsorted(token == token[-1], True)), len(token) - GROUP_ROWS)
+            tail = t.slice(first).combine_chunks()
 
     return run
 
@@ -251,30 +274,30 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     bounds = Bounds(*threshold)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = docs.select("id", F.xxhash64("text").alias("key"), "text")
-    scan = written(keys.mapInArrow(_scanned(n, lower), "id long, key long, n long, fp binary, part int, counts binary"), "sets")
-    rows = scan.where("part IS NULL").select("id", "key", "n", "fp")
+    scan = written(keys.mapInArrow(_scanned(n, lower), _SCAN), "sets")
+    rows = scan.where("part IS NULL").select("id", "key", "n", "fp", "c", "b0", "b1", "b2", "b3")
     # 64 rows of a fixed size, whatever the input
     parts = scan.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     sketch = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(1 << SKETCH_BITS, np.int64)
-    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    prefix = docs.select("text").mapInArrow(_prefixes(n, lower, bounds, sketch), "fp binary, tokens array<long>, hot array<int>, b0 long, b1 long, b2 long, b3 long")
-    prefix = prefix.dropDuplicates(["fp"]).join(classes.select("fp", "c", "n"), "fp")
-    prefix = written(prefix.drop("fp"), "prefixes")
-    posting = prefix.select("c", "n", F.posexplode(F.arrays_zip("tokens", "hot")).alias("pos", "t")).select(F.col("t.tokens").alias("token"), "c", "n", "pos", F.col("t.hot").alias("hot"))
-    posting = posting.withColumn("hot", F.when(F.col("hot") > 0, 1 + F.pmod(F.xxhash64("c"), F.col("hot"))).otherwise(F.lit(0)).cast("int"))
-    met = posting.repartition("token", "hot").sortWithinPartitions("token", "hot").mapInArrow(_met, "token long, c long, n long, pos int, hot int")
-    met = written(met.join(prefix.select("c", "b0", "b1", "b2", "b3"), "c").select("token", "c", "n", "pos", "hot", "b0", "b1", "b2", "b3"), "postings")
+    bitmap = [f"b{k}" for k in range(4)]
+    classes = rows.where("fp IS NOT NULL").groupBy("fp", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(b).alias(b) for b in bitmap])
+    # by the number of texts: few tasks and files where they are few
+    n_texts = scan.count()
+    classes = written(classes.coalesce(max(1, n_texts // TASK_CLASSES)), "classes")
+    group = F.shiftright("w", 56)
+    posting = docs.select("text").mapInArrow(_postings(n, lower, bounds, sketch), "token long, c long, w long")
+    met = posting.repartition(F.col("token"), group).sortWithinPartitions(F.col("token"), group, F.col("c")).mapInArrow(_met, "token long, c long, n long, pos long, hot long")
+    met = written(met.join(classes.select("c", *bitmap), "c").select("token", "c", "n", "pos", "hot", *bitmap), "postings")
     wanted = met.select("c").distinct().join(classes.select("c", "fp", "least"), "c")
     bodies = docs.mapInArrow(_zipped, "id long, blob binary").join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("c", "fp", "blob").mapInArrow(_own(n, lower), "c long, blob binary")
-    bodies = written(bodies.dropDuplicates(["c"]), "bodies")
+    bodies = written(bodies.dropDuplicates(["c"]).coalesce(max(1, n_texts // TASK_BODIES)), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (bodies.select(F.col("c").alias(f"c_{x}"), F.col("blob").alias(f"blob_{x}")) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("c_a")).join(b, F.col("b") == F.col("c_b")).select("a", "b", "blob_a", "blob_b")
         return written(both.mapInArrow(_verified(n, lower, bounds), "a long, b long, linked boolean"), "verified")
 
-    grouped = met.repartition("token", "hot").sortWithinPartitions("token", "hot", "n", "c")
+    grouped = met.repartition("token", "hot").sortWithinPartitions("token", "n", "c")
     first = verified(grouped.mapInArrow(_likely(bounds), "a long, b long").distinct())
     member = components(first.where("linked").select("a", "b"))
     second = _crossing(met.drop("hot"), member, bounds).join(first.select("a", "b"), ["a", "b"], "left_anti")
@@ -284,7 +307,7 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     name = member.join(classes.select("c", "least"), F.col("node") == F.col("c")).groupBy("root").agg(F.min("least").alias("component"))
     of = member.join(name, "root").select("node", "component")
     named = classes.join(of, F.col("c") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL").select(F.col("fp").alias("__fp"), F.coalesce("component", "least").alias("component"))
-    out = rows.join(named, F.col("fp") == F.col("__fp"), "left")
+    out = rows.select("id", "key", "n", "fp").join(named, F.col("fp") == F.col("__fp"), "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), *([F.col("key").alias("text_key")] if keyed else []))
 
 
