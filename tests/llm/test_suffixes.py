@@ -68,3 +68,18 @@ def test_empty(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     compare(rows, queries.QUERIES["op7_suffixes"](spark, SF).collect(), 50, 0.99)
+
+
+@pytest.mark.parametrize("lookup", [0, 1 << 17])
+def test_two_share_more_than_a_hot_line(spark, monkeypatch, lookup):
+    monkeypatch.setattr(suffixes, "LOOKUP_ROWS", lookup, raising=False)
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 20)
+    rng = random.Random(2)
+    line, own = [f"l{i}" for i in range(30)], lambda n: [f"o{rng.random()}" for _ in range(n)]
+    rows = []
+    for i in range(0, 120, 2):  # pairs share the 25 words after the line too
+        more = own(25)
+        rows += [(j, " ".join(own(40) + line + more + own(40))) for j in (i, i + 1)]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    compare(rows, got, 50)
+    assert len(got) == 120 and all(r.other_id == r.doc_id ^ 1 and (r.start_word, r.n_words) == (40, 55) for r in got)

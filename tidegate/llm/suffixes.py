@@ -2,17 +2,18 @@
 
 Of all suffixes of the texts, in words, only those are kept that start at a minimiser: the k-word sequence of least hash in
 some window. Two texts that share a passage of a window's length keep a suffix at the same place in it. A first count
-over all texts drops suffixes whose k words occur in one document alone. The others are sorted; neighbours in that
-order share the longest continuations, and each is compared with a few neighbours of other documents, to the right from
-the common start and to the left of it. A second order, by what stands to the left, catches those whose common part lies
-mostly there. What is found is exact, word for word: matches of at least ``window`` words; a suffix with more partners than
-neighbours needs only one of them.
+over all texts drops suffixes whose k words occur in one document alone. The others are sorted, by what follows and by what
+stands to the left. The common lengths of neighbours in the two orders give, for each number of words to the left, the classes
+of suffixes that share these and the rest of a window to the right; a class with several documents is a match. No partner is
+left out. A start that very many have isn't brought together: the windows around it are counted by their 128-bit BLAKE2 digest,
+so that no task holds them all. What is found is exact, word for word, but for that digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import _text
 from tidegate.llm._scratch import small_batches, written
-from tidegate.llm.superkmers import _sliding_min, _words, _zipped
+from tidegate.llm.superkmers import _sliding_min, _words, _zipped, runs
 
-WINDOW, SEED_WORDS, NEIGHBOURS = 50, 8, 4
-#: Suffixes sorted together; a start that more have is dealt to several groups.
+WINDOW, SEED_WORDS = 50, 8
+#: Suffixes of one start that are sorted together; where more have a start, its windows are counted one by one.
 GROUP_ROWS = 2000
+#: Windows of such starts that several documents have, up to which tasks look them up; more are joined.
+LOOKUP_ROWS = 1 << 17
+#: Suffixes, of whole groups, that are compared at a time.
+BATCH_ROWS = 4000
 
 
 def anchors(words: _text.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,22 +73,82 @@ def _scanned(window: int, k: int):
     return run
 
 
-_SUFFIX = "seed long, salt int, ahead binary, behind binary, id long, fp long, at int"
-_SUFFIX_ARROW = pa.schema([("seed", pa.int64()), ("salt", pa.int32()), ("ahead", pa.binary()), ("behind", pa.binary()), ("id", pa.int64()), ("fp", pa.int64()), ("at", pa.int32())])
+def _hot_windows(hot: np.ndarray, window: int, k: int):
+    """Digest of each window whose start is among ``hot`` (sorted), with its places: one row for all that a
+    block of texts has of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _text.blocks(batch.column("text")):
+                text, first, n, mini = runs(block, window, k)
+                mini = mini.view(np.int64)
+                found = hot[np.minimum(np.searchsorted(hot, mini), len(hot) - 1)] == mini
+                text, first, n = text[found] + block.first, first[found], n[found]
+                cut = np.flatnonzero(np.diff(text, prepend=-1, append=-1)).tolist()
+                of: dict[bytes, list[int]] = {}
+                texts, places = [], []
+                for lo, hi in pairwise(cut):
+                    i = int(text[lo])
+                    w = batch.column("text")[i].as_py().encode().split()
+                    for f, m in zip(first[lo:hi].tolist(), n[lo:hi].tolist(), strict=True):
+                        for at in range(f, f + m):
+                            of.setdefault(hashlib.blake2b(b" ".join(w[at : at + window]), digest_size=16).digest(), []).append(len(places))
+                            texts.append(i)
+                            places.append(at)
+                if of:
+                    order = np.fromiter(chain.from_iterable(of.values()), np.int64, len(places))
+                    take = pa.array(np.array(texts)[order])
+                    id, fp = batch.column("id").take(take), batch.column("fp").take(take)
+                    bounds = np.cumsum([0, *map(len, of.values())])
+                    found = pa.StructArray.from_arrays([id, fp, pa.array(np.array(places, np.int32)[order])], names=["id", "fp", "at"])
+                    least, most = (f.reduceat(id.to_numpy(), bounds[:-1]) for f in (np.minimum, np.maximum))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.binary()), pa.array(least), pa.array(most), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), found)], names=["digest", "lo", "hi", "of"])
+
+    return run
+
+
+def _looked_up(window: int, known: dict[bytes, tuple[int, int]]):
+    """Windows that several documents have, those next to each other as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for digest, of in zip(batch.column("digest").to_pylist(), batch.column("of"), strict=True):
+                if digest in known:
+                    lo, hi = known[digest]
+                    hits += [(r["id"], r["fp"], r["at"], hi if r["id"] == lo else lo) for r in of.as_py()]
+            out = []
+            for id, fp, at, other in sorted(hits):
+                if out and out[-1][:2] == [id, fp] and at <= out[-1][2] + out[-1][3]:
+                    out[-1][3], out[-1][4] = at + window - out[-1][2], min(out[-1][4], other)
+                else:
+                    out.append([id, fp, at, window, other])
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "fp", "at", "n", "other"])
+
+    return run
+
+
+_SUFFIX = "seed long, ahead binary, behind binary, id long, fp long, places array<int>"
+_SUFFIX_ARROW = pa.schema([("seed", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("id", pa.int64()), ("fp", pa.int64()), ("places", pa.list_(pa.int32()))])
 
 
 def _suffixes(window: int, k: int):
-    """Each kept suffix, as far as a window reaches, and what stands before it, last word first."""
+    """Each kept suffix, as far as a window reaches, and what stands before it, last word first; one row for all that a
+    text has alike. A space ends each word, so that in byte order those with equal first words stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
             for id, fp, blob, found in zip(*(batch.column(c) for c in ("id", "fp", "blob", "seeds")), strict=True):
                 w, id, fp = _words(blob.as_py()), id.as_py(), fp.as_py()
-                for s, at in ((s, at) for s in found.as_py() for at in s["places"]):
-                    ahead, behind = b" ".join(w[at : at + window]), b" ".join(w[max(0, at - window + k) : at][::-1])
-                    out.append((s["seed"], s["salt"], ahead, behind, id, fp, at))
-                    held += len(ahead) + len(behind)
+                for s in found.as_py():
+                    alike: dict[tuple, list[int]] = {}
+                    for at in s["places"]:
+                        alike.setdefault((b" ".join([*w[at : at + window], b""]), b" ".join([*w[max(0, at - window + k) : at][::-1], b""])), []).append(at)
+                    for (ahead, behind), places in alike.items():
+                        out.append((s["seed"], ahead, behind, id, fp, places))
+                        held += len(ahead) + len(behind)
                 if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX_ARROW, strict=True)], schema=_SUFFIX_ARROW)
                     out, held = [], 0
@@ -93,65 +158,72 @@ def _suffixes(window: int, k: int):
     return run
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
+def _common(a: bytes, b: bytes) -> int:
+    """Words that both begin with."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n  # the first lo words are equal, the first hi aren't
+        return a.count(b" ", 0, n)
+    lo, hi = 0, n  # the first lo bytes are equal, the first hi aren't
     while hi - lo > 1:
         mid = (lo + hi) // 2
         if a[lo:mid] == b[lo:mid]:
             lo = mid
         else:
             hi = mid
-    return lo
-
-
-def _compared(window: int, neighbours: int):
-    def group(found: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
-        places: dict[tuple, list[int]] = {}  # a text that repeats itself has many suffixes alike
-        for r in found:
-            places.setdefault((r[2], r[4], r[3], r[5]), []).append(r[6])
-        rows = list(places)
-        ahead, behind, id = [r[0].split() for r in rows], [r[2].split() for r in rows], [r[1] for r in rows]
-        left, right, other = [0] * len(rows), [0] * len(rows), [None] * len(rows)
-        for order in (range(len(rows)), sorted(range(len(rows)), key=lambda i: (rows[i][2], id[i]))):
-            order, back = list(order), []  # back: the nearest place before of another document
-            for y, i in enumerate(order):
-                back.append(y - 1 if y and id[order[y - 1]] != id[i] else back[y - 1] if y else -1)
-                z, tried = back[y], 0
-                while z >= 0 and tried < neighbours:
-                    j = order[z]
-                    a, b = _common(behind[i], behind[j]), _common(ahead[i], ahead[j])
-                    if a + b >= window:
-                        for x, o in ((i, j), (j, i)):
-                            left[x], right[x] = max(left[x], a), max(right[x], b)
-                            other[x] = id[o] if other[x] is None else min(other[x], id[o])
-                    tried += 1
-                    z -= 1
-                    if z >= 0 and id[order[z]] == id[i]:
-                        z = back[z]
-        for i, r in enumerate(rows):
-            if right[i]:
-                for at in places[r]:
-                    yield id[i], r[3], at - left[i], left[i] + right[i], other[i]
+    return a.count(b" ", 0, lo)
+
+
+def _commons(seeds: list[int], texts: list[bytes], order: list[int]) -> np.ndarray:
+    """Common words of each with the one before it in the order; -1 where another start begins."""
+    return np.array([-1] + [_common(texts[i], texts[j]) if seeds[i] == seeds[j] else -1 for i, j in pairwise(order)], np.int64)
+
+
+def _compared(window: int, k: int):
+    """What each suffix shares with suffixes of other documents: for each number of words to the left, those with the
+    same words there and the rest of a window to the right are a class, by the two orders' common lengths."""
+
+    def groups(rows: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+        seeds, ahead, behind, ids, fps, places = zip(*rows, strict=True)
+        n, id = len(rows), np.array(ids, np.int64)
+        back = np.array(sorted(range(n), key=lambda i: (seeds[i], behind[i])))
+        right, left = _commons(seeds, ahead, range(n)), _commons(seeds, behind, back.tolist())
+        most = np.maximum(right, np.append(right[1:], -1))
+        most[back] += np.maximum(left, np.append(left[1:], -1))
+        some = np.flatnonzero(most >= window)
+        if not len(some):
+            return
+        low, high, other = np.full(n, window), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+        of = np.empty(n, np.int64)
+        for t in range(window - k + 1):
+            of[back] = np.cumsum(left < t)
+            of += np.cumsum(right < window - t) * (n + 1)
+            o = some[np.lexsort((id[some], of[some]))]
+            key, who = of[o], id[o]
+            first = np.append(True, key[1:] != key[:-1])
+            at = np.cumsum(first) - 1
+            least, second, two = who[first], np.zeros(at[-1] + 1, np.int64), np.zeros(at[-1] + 1, bool)
+            new = np.flatnonzero(~first & np.append(False, who[1:] != who[:-1]))[::-1]  # the first of a class is put last
+            second[at[new]], two[at[new]] = who[new], True
+            o, who, at = o[two[at]], who[two[at]], at[two[at]]
+            low[o], high[o] = np.minimum(low[o], t), t
+            other[o] = np.minimum(other[o], np.where(who == least[at], second[at], least[at]))
+        for i in np.flatnonzero(high >= 0).tolist():
+            a, b, c = int(high[i]), int(high[i] - low[i]) + window, int(other[i])
+            for at in places[i]:
+                yield ids[i], fps[i], at - a, b, c
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*group(rows), strict=True)) if len(rows) > 1 else []
+        cols = list(zip(*groups(rows), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols or [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "fp", "at", "n", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for key, same in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[:2]):
-                if held and held[0][:2] != key:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= BATCH_ROWS and held[-1][0] != r[0]:
                     yield out(held)
                     held = []
-                for r in same:
-                    held.append(r)
-                    if len(held) == GROUP_ROWS:  # the last ones are neighbours of what follows
-                        yield out(held)
-                        held = held[-4 * neighbours :]
+                held.append(r)
         if held:
             yield out(held)
 
@@ -173,11 +245,12 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "at", "n", "other"])
 
 
-def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS, neighbours: int = NEIGHBOURS) -> DataFrame:
+def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = SEED_WORDS) -> DataFrame:
     """One row per repeated passage of a document: id, start_word (from 0), n_words, other_id.
 
     A passage is a maximal span of words made of matches, each of at least ``window`` words, with documents of other
-    ids; other_id is the smallest id among the documents that it was compared with. Nulls, short texts and rows with a null id have none;
+    ids; other_id is the smallest id among those, but in a start that very many have the largest for the document with
+    the smallest. Nulls, short texts and rows with a null id have none;
     rows that repeat an id and a text count once. Other columns are left out; an empty table gives an empty table.
     """
     small_batches(df.sparkSession)
@@ -185,13 +258,23 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
     docs = docs.select("id", F.xxhash64("text").alias("fp"), "text")
     own = written(docs.mapInArrow(_scanned(window, k), "id long, fp long, seed long, places array<int>"), "anchors")
     shared = own.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.size("places")).alias("c")).where("lo < hi")
-    shared = shared.select("seed", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("groups"))
-    salt = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("salt")
-    wanted = own.join(shared, "seed").groupBy("id", "fp").agg(F.collect_set(F.struct("seed", "places", salt)).alias("seeds"))
+    shared = written(shared.select("seed", (F.col("c") > GROUP_ROWS).alias("hot")), "starts")
+    wanted = own.join(shared.where("NOT hot"), "seed").groupBy("id", "fp").agg(F.collect_set(F.struct("seed", "places")).alias("seeds"))
     zipped = docs.mapInArrow(_zipped, "id long, fp long, blob binary")
     subset = zipped.join(wanted, ["id", "fp"]).dropDuplicates(["id", "fp"])
-    kept = subset.mapInArrow(_suffixes(window, k), _SUFFIX).repartition("seed", "salt").sortWithinPartitions("seed", "salt", "ahead", "id")
-    found = kept.mapInArrow(_compared(window, neighbours), "id long, fp long, at int, n int, other long")
+    kept = subset.mapInArrow(_suffixes(window, k), _SUFFIX).repartition("seed").sortWithinPartitions("seed", "ahead", "id")
+    found = kept.mapInArrow(_compared(window, k), "id long, fp long, at int, n int, other long")
+    hot = np.sort(np.array([r.seed for r in shared.where("hot").select("seed").collect()], np.int64))
+    if len(hot):
+        windows = written(docs.mapInArrow(_hot_windows(hot, window, k), "digest binary, lo long, hi long, of array<struct<id: long, fp: long, at: int>>"), "hot")
+        several = written(windows.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"), "several")
+        if several.count() <= LOOKUP_ROWS:
+            known = {bytes(r.digest): (r.lo, r.hi) for r in several.toLocalIterator()}
+            found = found.unionByName(windows.mapInArrow(_looked_up(window, known), "id long, fp long, at int, n int, other long"))
+        else:
+            other = F.when(F.col("r.id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
+            each = windows.select("digest", "of").join(several, "digest").select("lo", "hi", F.explode("of").alias("r"))
+            found = found.unionByName(each.select("r.id", "r.fp", "r.at", F.lit(window).alias("n"), other))
     spans = found.groupBy("id", "fp").agg(F.collect_set(F.struct("at", "n", "other")).alias("spans")).select("id", "spans")
     out = spans.mapInArrow(_united, "id long, at long, n long, other long")
     return out.select(F.col("id").alias(id), F.col("at").alias("start_word"), F.col("n").alias("n_words"), F.col("other").alias("other_id"))
