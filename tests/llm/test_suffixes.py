@@ -83,3 +83,20 @@ def test_two_share_more_than_a_hot_line(spark, monkeypatch, lookup):
     got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     compare(rows, got, 50)
     assert len(got) == 120 and all(r.other_id == r.doc_id ^ 1 and (r.start_word, r.n_words) == (40, 55) for r in got)
+
+
+def test_partner_between_many_of_the_same_start(spark):
+    rng = random.Random(3)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    texts = []
+    for k in range(3):
+        passage = [f"p{k}x{i}" for i in range(53)]
+        # many share 49 words up to one end, so that the two that share all are neighbours in neither order
+        for part in [passage] * 2 + [passage[4:]] * 200 + [passage[:49]] * 200:
+            texts.append(own(60) + part + own(60))
+    # a text that repeats itself very often, and one other
+    texts += [own(9) + ["u v w"] * 3000, ["u v w"] * 40 + own(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    compare(rows, suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 50)
+    del texts[-2:], rows[-2:]
+    assert len(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 6
