@@ -61,6 +61,20 @@ def test_wide_group_and_recall(spark):
     assert all(b[1] <= a[1] for a, b in zip(sorted(want), sorted(have), strict=True))
 
 
+def test_dense_region(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 128)))
+    dense = np.sqrt(0.9) * unit(1) + np.sqrt(0.1) * unit(6000)  # near 0.9 to each other
+    pairs = dense[:100] + np.sqrt(2 * 0.04) * unit(100)
+    vs = np.concatenate([dense, pairs, unit(2000)])
+    x = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    have = {r.vec_id: r.n_links for r in vectors.near_vectors(df, window=16).collect()}
+    assert want.sum() >= 150
+    assert all(have[i] <= n for i, n in enumerate(want)) and sum(have.values()) >= 0.99 * want.sum()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(df).collect() == []

@@ -2,9 +2,11 @@
 
 In each pass the vectors are put in the lexicographic order of 64 concatenated random sign hashes and
 compared, exactly, with a bounded window of neighbours in that order; verified pairs of all passes are
-united. The number of passes follows from the number of vectors, so that a pair at ``AIM`` cosine is met
-in one of them with the asked probability. Equal vectors are one class throughout, with its size. Inside a
-component the links are then counted block by block, so a group wider than the window loses none.
+united. The number of passes follows from the number of vectors, so that among evenly spread ones a pair at the threshold
+is met in one of them with the asked probability. How crowded the order is around each vector is measured in each pass;
+vectors whose chance of meeting a partner remains lower, as in a dense region, are compared with each other exactly, block
+by block. Equal vectors are one class throughout, with its size. Inside a component the links are then counted block by
+block, so a group wider than the window loses none.
 """
 
 from __future__ import annotations
@@ -21,18 +23,46 @@ from pyspark.sql import functions as F
 from tidegate.llm._scratch import written
 from tidegate.llm.components import components
 
-THRESHOLD, AIM, RECALL, WINDOW, BLOCK, LEAST_PASSES = 0.95, 0.97, 0.99, 256, 512, 6
+THRESHOLD, RECALL, WINDOW, BLOCK, LEAST_PASSES = 0.95, 0.99, 256, 512, 6
+#: Crowded vectors in a block.
+CROWD_ROWS = 2048
 #: Vectors, times passes, that one task orders.
 TASK_ROWS = 1 << 16
 
 
-def passes_for(n: int, window: int, aim: float = AIM, recall: float = RECALL) -> int:
-    """A pair is met in a pass if it agrees in as many leading bits as tell a window of n vectors apart."""
-    bits = max(1.0, math.log2(max(2, n) / window))
-    met = (1 - math.acos(aim) / math.pi) ** bits
+def _agree(aim: float) -> float:
+    """Chance that two vectors at that cosine agree in a bit."""
+    return 1 - math.acos(max(-1.0, min(1.0, aim))) / math.pi
+
+
+def passes_for(n: int, window: int, aim: float = THRESHOLD, recall: float = RECALL) -> int:
+    """A pair is met in a pass if it agrees in as many leading bits as tell a window of n vectors apart; two bits more
+    leave room for uneven places, so that few vectors count as crowded."""
+    bits = max(1.0, math.log2(max(2, n) / window)) + 2
+    met = min(_agree(aim) ** bits, 1 - 1e-9)
     return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
+def _bits_needed(key: np.ndarray, window: int) -> np.ndarray:
+    """Leading bits in which a partner of each of the sorted keys has to agree to stand within the window.
+
+    Those too near to an end of the part take the value of the nearest that isn't.
+    """
+    bits = (key.view(np.uint64) ^ np.uint64(1 << 63)).copy()
+
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d, n = x ^ y, np.zeros(len(x), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):
+            n = np.where((d >> (np.uint64(64) - (n + step).astype(np.uint64))) == 0, n + step, n)
+        return n
+
+    if len(bits) <= 2 * window:
+        return np.full(len(bits), 1 + shared(bits[:1], bits[-1:])[0] if len(bits) > window else 0)
+    far = shared(bits[window:], bits[:-window])
+    inner = 1 + np.maximum(far[:-window], far[window:])
+    return np.concatenate([np.full(window, inner[0]), inner, np.full(window, inner[-1])])
+
+
 def _matrix(cells: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(cells), np.float64).reshape(len(cells), -1)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -106,15 +136,17 @@ class _Window:
         return [(cid[i], cid[k]) for i, k in enumerate(label) if i != k]
 
 
-_FOUND = "a binary, b binary, edge int, at int, pass int, size int, key long, cid binary, v binary"
+_FOUND = "a binary, b binary, edge int, at int, pass int, size int, key long, cid binary, v binary, credit double"
 
 
 def _windows(threshold: float, window: int):
-    """Links within a partition, and its first and last rows for the boundaries to its neighbours."""
+    """Links within a partition, its first and last rows for the boundaries to its neighbours, and for each row the
+    credit of the pass: minus the logarithm of the chance that a partner at the threshold isn't met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, me, seen, last = _Window(threshold, window), TaskContext.get().partitionId(), 0, []
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("edge", pa.int32()), ("at", pa.int32()), ("pass", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("cid", pa.binary()), ("v", pa.binary())])
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("edge", pa.int32()), ("at", pa.int32()), ("pass", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("cid", pa.binary()), ("v", pa.binary()), ("credit", pa.float64())])
+        of, keys, cids = [], [], []
         blank = dict.fromkeys(schema.names)
         for batch in batches:
             rows = batch.to_pylist()
@@ -124,10 +156,17 @@ def _windows(threshold: float, window: int):
                 out += [blank | {"a": a, "b": b} for a, b in w.add((part[0]["pass"], part[0]["size"]), [r["cid"] for r in part], [r["v"] for r in part])]
             if seen < window:
                 out += [r | {"a": None, "b": None, "edge": me - 1, "at": 1} for r in rows[: window - seen]]
+            of += [(r["pass"], r["size"]) for r in rows]
+            keys += [r["key"] for r in rows]
+            cids += [r["cid"] for r in rows]
             seen += len(rows)
             last = (last + rows)[-window:]
             yield pa.RecordBatch.from_pylist(out, schema)
         yield pa.RecordBatch.from_pylist([r | {"a": None, "b": None, "edge": me, "at": 0} for r in last], schema)
+        for lo, hi in _runs(of, len(of)):
+            met = np.minimum(_agree(threshold) ** _bits_needed(np.array(keys[lo:hi], np.int64), window), 1 - 1e-9)
+            cols = {"cid": pa.array(cids[lo:hi], pa.binary()), "credit": pa.array(-np.log1p(-met))}
+            yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(hi - lo, f.type)) for f in schema], schema=schema)
 
     return run
 
@@ -158,6 +197,21 @@ def _across(threshold: float, window: int):
     return run
 
 
+def _crowd(threshold: float):
+    """Links of two blocks of crowded vectors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, x = table.column("cid").to_pylist(), _matrix(table.column("v").to_pylist())
+        near = np.eye(len(x), dtype=bool)
+        for lo in range(0, len(x), BLOCK):
+            near[lo : lo + BLOCK] |= x[lo : lo + BLOCK] @ x.T >= threshold
+        near |= near.T
+        out = [(cid[i], cid[k]) for i, k in enumerate(_joined(near)) if i != k]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return run
+
+
 def _counted(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         cid, n, side = table.column("cid").to_pylist(), table.column("n").to_numpy(), table.column("blk").to_numpy()
@@ -185,14 +239,21 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", t
     rows = written(packed.withColumn("cid", F.unhex(F.sha2("v", 256))), "vectors")
     classes = written(rows.where("v is not null").groupBy("cid").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("__id").alias("least")), "classes")
     n = classes.count()
-    passes = passes or passes_for(n, window)
+    passes = passes or passes_for(n, window, threshold)
     keyed = classes.select("cid", "v").mapInArrow(_keys(passes, seed), "pass int, size int, key long, cid binary, v binary")
     parts = max(1, math.ceil(n * passes / TASK_ROWS))
     parts = max(parts, min(12, math.ceil(n * passes / (8 * window))))
     ordered = keyed.repartitionByRange(parts, "pass", "size", "key", "cid").sortWithinPartitions("pass", "size", "key", "cid")
     found = written(ordered.mapInArrow(_windows(threshold, window), _FOUND), "windows")
-    across = found.where("edge is not null").drop("a", "b").groupBy("edge").applyInArrow(_across(threshold, window), "a binary, b binary")
+    across = found.where("edge is not null").drop("a", "b", "credit").groupBy("edge").applyInArrow(_across(threshold, window), "a binary, b binary")
     links = found.where("a is not null").select("a", "b").unionByName(across)
+    credit = found.where("credit is not null").groupBy("cid").agg(F.sum("credit").alias("credit"))
+    crowded = written(classes.join(credit.where(F.col("credit") < -math.log(1 - RECALL)), "cid").select("cid", "v", F.length("v").alias("size")), "crowded")
+    crowd_blocks = math.ceil(crowded.count() / CROWD_ROWS)
+    if crowd_blocks:
+        crowd = crowded.withColumn("blk", F.pmod(F.xxhash64("cid"), F.lit(crowd_blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(crowd_blocks - 1))))
+        crowd = crowd.select("size", "cid", "v", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+        links = links.unionByName(crowd.groupBy("size", "i", "j").applyInArrow(_crowd(threshold), "a binary, b binary"))
     member = written(components(links), "members")
     size = member.groupBy("root").agg(F.count(F.lit(1)).alias("g"))
     joined = member.join(size, "root").join(classes, F.col("node") == F.col("cid")).withColumn("blocks", F.ceil(F.col("g") / block).cast("int"))
