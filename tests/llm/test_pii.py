@@ -106,6 +106,19 @@ def test_formats_stay_valid_and_linked(spark):
     assert [got[k] for k in range(8, 14)] == [("29.02.2001", 0), ("1234567812345678", 0), ("900-12-1234", 0), ("DE88 3704 0044 0532 0130 00", 0), ("v1.2.3.4.5", 0), ("x1.2.3.4", 0)]
 
 
+def test_phones_of_any_code(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 171 555 2028", "(017) 055-1234", "+1 (217) 055-1234", "call +10175557713."]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i][1] == 1 and got[i][0] != t and re.sub(r"\d", "0", got[i][0]) == re.sub(r"\d", "0", t), t
+        assert got[i][0].startswith("+1") == t.startswith("+1")
+    same = {re.sub(r"\D", "", got[i][0])[-10:] for i in (0, 5)}
+    assert len(same) == 1 and not all(re.fullmatch(r"[2-9]..[2-9].*", x) for x in same)
+    lines = run(spark, [f"+1 (017) 555-{i:04}" for i in range(3000)])
+    assert len({t for t, _ in lines.values()}) == 3000
+    assert run(spark, ["017-555-7713", "132 555 1352", "217 055 1234"]) == {0: ("017-555-7713", 0), 1: ("132 555 1352", 0), 2: ("217 055 1234", 0)}
+
+
 def test_permutation(spark):
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(3000)]
     got = run(spark, days)

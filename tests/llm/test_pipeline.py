@@ -9,6 +9,7 @@ from tidegate.llm import jaccard, mixing, pieces
 from tidegate.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
+PHONE = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
 EMAIL = re.compile(r"[\w.]+@mail\d+\.example\.com")
 
 
@@ -32,6 +33,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i in alone:
         before = EMAIL.findall(rows[i].text)
         assert not any(e in shown[i].text for e in before)
+        assert not any(p in shown[i].text for p in PHONE.findall(rows[i].text))
         if not re.search(r"[\d@]", rows[i].text):
             assert shown[i].text == rows[i].text
     copies = {}

@@ -5,7 +5,8 @@ pseudonym is valid too and equal values get equal pseudonyms in every document:
 
 - payment card, 13 to 19 digits with a right Luhn digit: the first digit stays, the check digit is made anew
 - IBAN with right check digits: country and letters stay, check digits are made anew
-- North American phone number, with or without +1: area and exchange codes stay valid
+- North American phone number, with or without +1: area and exchange codes stay valid; with +1 or brackets any three digits
+  are taken as codes, and a number whose codes aren't valid is permuted among such numbers
 - IPv4 address: any other address
 - social security number (area not 000, 666 or 9xx, group not 00, serial not 0000)
 - date from 1900-01-01 to 2099-08-04, as y-m-d, d.m.y or m/d/y (d/m/y where that is no date)
@@ -29,7 +30,7 @@ _FROM, _TO = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 SHAPES = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": _FROM + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _TO,
-    "phone": r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?|(?<![\p{L}\p{N}+(]|\d[ .-]))(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\p{L}\p{N}]|-\d)",
+    "phone": r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?<![\p{L}\p{N}+(]|\d[ .-])(?:\(\d{3}\) ?\d{3}|[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4})(?![\p{L}\p{N}]|-\d)",
     "date": r"(?<![\p{L}\p{N}]|\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\p{L}\p{N}]|[./-]\d)",
     "ssn": r"(?<![\p{L}\p{N}]|\d-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "ip": r"(?<![\p{L}\p{N}]|\d\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
@@ -128,8 +129,15 @@ def _iban(m: Column, key: Column) -> Column:
 def _phone(m: Column, key: Column) -> Column:
     def new(d: Column) -> Column:
         area, exchange, line = (_long(F.substring(d, at, n)) for at, n in ((-10, 3), (-7, 3), (-4, 4)))
+        head, pad = F.substring(d, F.lit(1), F.length(d) - 10), lambda x, n: F.lpad(x.cast("string"), n, "0")
         p = _pair(area - 200, (exchange - 200) * 10_000 + line, 800, 8_000_000, key, "phone")
-        return let(p, lambda q: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), (q["x"] + 200).cast("string"), (F.floor(q["y"] / 10_000) + 200).cast("string"), F.lpad((q["y"] % 10_000).cast("string"), 4, "0")))
+        good = let(p, lambda q: F.concat(head, (q["x"] + 200).cast("string"), (F.floor(q["y"] / 10_000) + 200).cast("string"), pad(q["y"] % 10_000, 4)))
+        # the others in order: areas below 200 with any exchange, then areas from 200 with an exchange below 200
+        n = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        p = _pair(n, line, 360_000, 10_000, key, "phone other")
+        low = lambda q: q["x"] < 200_000
+        code = lambda q: F.when(low(q), q["x"]).otherwise((F.floor((q["x"] - 200_000) / 200) + 200) * 1000 + (q["x"] - 200_000) % 200)
+        return F.when((area >= 200) & (exchange >= 200), good).otherwise(let(p, lambda q: F.concat(head, pad(code(q), 6), pad(q["y"], 4))))
 
     return let(_digits(m), lambda d: _refill(m, new(d)))
 
