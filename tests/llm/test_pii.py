@@ -119,6 +119,17 @@ def test_phones_of_any_code(spark):
     assert run(spark, ["017-555-7713", "132 555 1352", "217 055 1234"]) == {0: ("017-555-7713", 0), 1: ("132 555 1352", 0), 2: ("217 055 1234", 0)}
 
 
+def test_cards_and_ibans_beside_other_groups(spark):
+    a, b = "7536784127813050", "4845168114407329"
+    other = lambda d: next(x for x in range(100, 999) if luhn(f"{d}{x}") % 10)
+    texts = [f"{a} {b}", f"{a} {other(a)}", f"{b} 12/27", f"7 {a}", f"{a} 219-09-9999", f"{b} 10.0.0.1", "DE89 3704 0044 0532 0130 00 BIC", "GB82WEST12345698765432 2024", "1 2 3 " * 40]
+    got = run(spark, texts)
+    assert [got[i] for i in range(4)] == [(f"{card(a)} {card(b)}", 2), (f"{card(a)} {other(a)}", 1), (f"{card(b)} 12/27", 1), (f"7 {card(a)}", 1)]
+    assert got[4][0].startswith(card(a) + " ") and got[4][1] == 2 and got[5][0] == f"{card(b)} {ip('10.0.0.1')}"
+    for i, tail in ((6, " BIC"), (7, " 2024")):
+        assert got[i][1] == 1 and got[i][0].endswith(tail) and got[i][0] != texts[i]
+
+
 def test_permutation(spark):
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(3000)]
     got = run(spark, days)

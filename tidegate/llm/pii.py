@@ -3,7 +3,7 @@
 A value that is found and proves valid is permuted within its format, so the text keeps its shape, the
 pseudonym is valid too and equal values get equal pseudonyms in every document:
 
-- payment card, 13 to 19 digits with a right Luhn digit: the first digit stays, the check digit is made anew
+- payment card, 13 to 19 digits with a right Luhn digit, as whole groups among other digits too: the first digit stays, the check digit is made anew
 - IBAN with right check digits: country and letters stay, check digits are made anew
 - North American phone number, with or without +1: area and exchange codes stay valid; with +1 or brackets any three digits
   are taken as codes, and a number whose codes aren't valid is permuted among such numbers
@@ -34,8 +34,9 @@ SHAPES = {
     "date": r"(?<![\p{L}\p{N}]|\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\p{L}\p{N}]|[./-]\d)",
     "ssn": r"(?<![\p{L}\p{N}]|\d-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "ip": r"(?<![\p{L}\p{N}]|\d\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}]|\d[ -])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}]|[ -]\d)",
 }
+#: Groups of digits, 13 digits or more from the first on, as far as none of the other shapes begins.
+SHAPES["card"] = _FROM + r"(?=\d(?:[ -]?\d){12})\d++" + _TO + "(?:[ -](?!" + "|".join(SHAPES[k] for k in ("email", "date", "ssn", "ip")) + r")\d++" + _TO + ")*+"
 ANY = "|".join(SHAPES.values())
 #: Days from 1900-01-01 that dates are permuted among: two halves of 270.
 _DAYS_HALF = 270
@@ -106,7 +107,24 @@ def _card(m: Column, key: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), _chars(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         return let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
-    return let(_digits(m), lambda d: F.when(_luhn(d) % 10 == 0, _refill(m, new(d))).otherwise(m))
+    def length(rest: Column) -> Column:
+        """Of the longest card that rest begins with and that ends with a group; null if there is none."""
+        near = F.substring(rest, 1, 38)  # 19 digits, each a group, and what parts them
+        ends = F.array_distinct(F.transform(F.sequence(F.lit(19), F.lit(1)), lambda g: F.length(F.call_function("substring_index", F.translate(near, "-", " "), F.lit(" "), g))))
+        valid = lambda e: let(_digits(F.substring(near, F.lit(1), e)), lambda d: F.length(d).between(13, 19) & (_luhn(d) % 10 == 0))
+        return F.get(F.filter(ends, valid), 0)
+
+    def step(s: Column, _: Column) -> Column:
+        def taken(n: Column) -> Column:
+            end = F.coalesce(n, F.length(F.regexp_extract(s["rest"], "^[0-9]*", 0)))
+            own = F.substring(s["rest"], F.lit(1), end)
+            made = F.when(n.isNotNull(), _refill(own, new(_digits(own)))).otherwise(own)
+            return F.struct(F.concat(s["out"], made, F.substring(s["rest"], end + 1, F.lit(1))).alias("out"), F.substring(s["rest"], end + 2, F.length(s["rest"])).alias("rest"), (s["n"] + (made != own).cast("int")).alias("n"))
+
+        return F.when(s["rest"] == "", s).otherwise(let(length(s["rest"]), taken))
+
+    groups = F.size(F.split(m, "[ -]"))
+    return F.aggregate(F.sequence(F.lit(1), groups), F.struct(F.lit("").alias("out"), m.alias("rest"), F.lit(0).alias("n")), step, lambda s: F.struct(s["out"].alias("new"), s["n"].alias("n")))
 
 
 def _mod97(s: Column) -> Column:
@@ -123,7 +141,10 @@ def _iban(m: Column, key: Column) -> Column:
         return let(rest, lambda b: F.concat(F.substring(s, 1, 2), F.lpad((98 - _mod97(F.concat(b, F.substring(s, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
 
     valid = lambda s: _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1
-    return let(F.regexp_replace(m, " ", ""), lambda s: F.when(valid(s), _refill(m, new(s), " ")).otherwise(m))
+    # the longest valid one that ends with a group: other words may follow
+    parts = F.transform(F.sequence(F.size(F.split(m, " ")), F.lit(1)), lambda g: F.call_function("substring_index", m, F.lit(" "), g))
+    longest = F.get(F.filter(parts, lambda p: let(F.regexp_replace(p, " ", ""), lambda s: (F.length(s) >= 12) & valid(s))), 0)
+    return let(longest, lambda p: F.when(p.isNotNull(), F.concat(_refill(p, new(F.regexp_replace(p, " ", "")), " "), F.substring(m, F.length(p) + 1, F.length(m)))).otherwise(m))
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -185,11 +206,12 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: Column) -> Column:
-    """The pseudonym of one found value; one that doesn't prove valid stays."""
+    """What one found value becomes (new) and how many values in it were replaced (n); one that doesn't prove valid stays."""
+    one = lambda x: let(x, lambda v: F.struct(v.alias("new"), (v != m).cast("int").alias("n")))
     whole = lambda kind: m.rlike(f"^(?:{SHAPES[kind]})$")
     return (
-        F.when(m.contains("@"), _email(m, key)).when(m.rlike("^[A-Z]"), _iban(m, key)).when(whole("phone"), _phone(m, key)).when(whole("date"), _date(m, key))
-        .when(whole("ssn"), _ssn(m, key)).when(whole("ip"), _ip(m, key)).otherwise(_card(m, key))
+        F.when(m.contains("@"), one(_email(m, key))).when(m.rlike("^[A-Z]"), one(_iban(m, key))).when(whole("phone"), one(_phone(m, key))).when(whole("date"), one(_date(m, key)))
+        .when(whole("ssn"), one(_ssn(m, key))).when(whole("ip"), one(_ip(m, key))).otherwise(_card(m, key))
     )
 
 
@@ -201,11 +223,11 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = "tidegate", coun
     is a secret of the caller: the same key links the same values across documents and runs.
     """
     own = "__found"
-    found = df.withColumn(own, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, F.lit(key)).alias("new"))))
+    found = df.withColumn(own, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.lit(key))))
     gaps = F.split(F.col(text), ANY)
     whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(own), i)["new"], F.lit("")))), "")
     new = F.when(F.size(own) > 0, whole).otherwise(F.col(text)).alias(text)
     out = [new if c == text else F.col(f"`{c}`") for c in df.columns]
     if count:
-        out.append(F.coalesce(F.size(F.filter(F.col(own), lambda x: x["old"] != x["new"])), F.lit(0)).cast("long").alias(count))
+        out.append(F.coalesce(F.aggregate(own, F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long").alias(count))
     return found.select(out)
