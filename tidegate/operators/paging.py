@@ -1,15 +1,23 @@
-"""Cursor pagination and positions in a total order."""
+"""Cursor pagination and positions in a total order.
+
+No task and no driver sees all rows of a deep page or of a numbering. A bounded sample gives boundaries that cut the
+order into ranges; they are literals of the plan, so every pass over the table puts a row into the same range whatever
+columns it reads. One count a range then tells how many rows stand before it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 50
-#: Beyond this offset a page is found by position; Spark's own offset would gather all rows before it.
+#: Rows before a page up to which top-k finds it in one pass; Spark's own offset gathers them. Both ways give the same rows.
 NEAR = 10_000
+#: Rows of the sample for each boundary.
+SAMPLE_FOR_EACH = 30
 
 
 def parsed_cursor(cursor: Column) -> Column:
@@ -17,33 +25,105 @@ def parsed_cursor(cursor: Column) -> Column:
     return F.greatest(F.coalesce(F.regexp_extract(cursor, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)), F.lit(0))
 
 
-def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE) -> DataFrame:
-    """The rows of a page, in order, with next_cursor: where the next page begins, null on the last."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    end = offset + size
-    if offset <= NEAR:
-        rows = df.orderBy(*order).offset(offset).limit(size)
-    else:
-        placed = positions(df, order, "__pos").where((F.col("__pos") >= offset) & (F.col("__pos") < end))
-        rows = placed.orderBy("__pos").limit(size).drop("__pos")
-    return rows.crossJoin(total).withColumn("next_cursor", F.when(F.col("__total") > end, F.lit(str(end)))).drop("__total")
+@dataclass
+class Ranges:
+    """Ranges of an order: the range of a row, and the rows in each."""
+
+    key: Column
+    bounds: Column  # ascending; range k holds keys from bounds[k - 1], itself included, to bounds[k]
+    of: Column
+    counts: list[int]
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts)
+
+    def before(self, k: int) -> int:
+        return sum(self.counts[:k])
+
+    def within(self, first: int, last: int) -> Column:
+        """Whether a row is in the ranges first .. last."""
+        out = F.lit(True)
+        if first:
+            out = out & (self.key >= F.get(self.bounds, first - 1))
+        if last < len(self.counts) - 1:
+            out = out & (self.key < F.get(self.bounds, last))
+        return out
+
+
+def ranges(df: DataFrame, order: Sequence[str], n: int) -> Ranges:
+    """At most n ranges of about equal size. The driver gets a sample of SAMPLE_FOR_EACH keys a range and a count of each."""
+    narrow = df.select(*order)
+    key = F.struct(*[F.col(c) for c in order])
+    total = narrow.count()
+    found = narrow.sample(min(1.0, SAMPLE_FOR_EACH * n / max(1, total)), seed=3).collect()
+    kinds = [narrow.schema[c].dataType for c in order]
+    literal = lambda r: F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order, strict=True)])
+    found.sort(key=lambda r: tuple((v is not None, v != v, v) if v is not None else (False, False, 0) for v in r))
+    cuts = list(dict.fromkeys(tuple(found[len(found) * i // n]) for i in range(1, n))) if found else []
+    bounds = F.sort_array(F.array(*map(literal, cuts))) if cuts else None
+    if bounds is None:
+        return Ranges(key, F.array(), F.lit(0), [total])
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        beyond = key >= F.get(bounds, mid)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(beyond, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(beyond, s["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    of = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halved, lambda s: s["lo"])
+    counted = {r.k: r.n for r in narrow.groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Ranges(key, bounds, of, [counted.get(k, 0) for k in range(len(cuts) + 1)])
+
+
+def _range_count(df: DataFrame) -> int:
+    return max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE, near: int = NEAR) -> DataFrame:
+    """The rows of a page, in order, with next_cursor: where the next page begins, null on the last.
+
+    A page that lies deep is looked for by counts: the ranges that hold it are read again, in finer ranges, until few rows
+    stand before it there.
+    """
+    end, left, rows, near = offset + size, offset, df, max(near, size)
+    if offset <= near:
+        total = F.col("__total")
+        rows = df.orderBy(*order).offset(offset).limit(size).crossJoin(df.agg(F.count(F.lit(1)).alias("__total")))
+        return rows.withColumn("next_cursor", F.when(total > end, F.lit(str(end)))).drop("__total")
+    known: int | None = None
+    while left > near:
+        cut = ranges(rows, order, _range_count(df))
+        known = cut.total if known is None else known
+        if left >= cut.total:
+            rows, left = rows.limit(0), 0
+            break
+        first = max(k for k in range(len(cut.counts)) if cut.before(k) <= left)
+        last = max(k for k in range(len(cut.counts)) if cut.before(k) < left + size)
+        if cut.counts[first] == cut.total:  # one key has all rows: nothing parts them
+            break
+        rows, left = rows.where(cut.within(first, max(first, last))), left - cut.before(first)
+    rows = rows.orderBy(*order).offset(left).limit(size)
+    return rows.withColumn("next_cursor", F.lit(str(end) if known > end else None).cast("string"))
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "pos", parts: int | None = None) -> DataFrame:
-    """Rows with their place from 0 in a total order, without gathering them: ranges are sorted apart and shifted by
-    the counts of those before, one number a range."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__part", "__own", "__before")
+    """Rows with their place from 0 in a total order: ranges are sorted apart and shifted by the rows before them."""
+    return _placed(df, order, name, parts)[0]
+
+
+def _placed(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    cut = ranges(df, order, parts or _range_count(df))
+    before = F.array(*[F.lit(cut.before(k)).cast("long") for k in range(len(cut.counts))])
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = df.withColumn("__range", cut.of).withColumn(name, own.cast("long") - 1 + F.get(before, F.col("__range")))
+    return out.drop("__range"), cut.total
 
 
 def cursor_chain(df: DataFrame, order: Sequence[str], key: str, size: int = PAGE_SIZE) -> DataFrame:
     """One row per page: page (from 0), n_items, first_key, last_key, next_cursor."""
-    paged = positions(df, order).withColumn("page", F.floor(F.col("pos") / size).cast("long"))
+    placed, total = _placed(df, order, "pos")
+    paged = placed.withColumn("page", F.floor(F.col("pos") / size).cast("long"))
     pages = paged.groupBy("page").agg(F.count(F.lit(1)).alias("n_items"), F.min_by(key, "pos").alias("first_key"), F.max_by(key, "pos").alias("last_key"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
     end = (F.col("page") + 1) * size
-    return pages.crossJoin(total).withColumn("next_cursor", F.when(end < F.col("__total"), end.cast("string"))).drop("__total")
+    return pages.withColumn("next_cursor", F.when(end < total, end.cast("string")))

@@ -54,6 +54,15 @@ def list_page_past_end(spark, sf_dir):
     return paging.page(table(spark, sf_dir, "orders").select(*_ORDERS), ["o_orderkey"], 999_999_999)
 
 
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS pos, count(*) OVER () AS total FROM orders)
+SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN total * 6 // 10 + 50 < total THEN CAST(total * 6 // 10 + 50 AS VARCHAR) END AS next_cursor
+FROM p WHERE pos >= total * 6 // 10 AND pos < total * 6 // 10 + 50""")
+def list_page_deep(spark, sf_dir):
+    """A page at 60 % of the table, found by counts."""
+    orders = table(spark, sf_dir, "orders").select(*_ORDERS)
+    return paging.page(orders, ["o_orderstatus", "o_orderkey"], orders.count() * 6 // 10, near=1000)
+
+
 @query("""WITH p AS (SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 50 AS page, count(*) OVER () AS total FROM part)
 SELECT page::BIGINT AS page, count(*)::BIGINT AS n_items, min(p_partkey) AS first_key, max(p_partkey) AS last_key,
        CASE WHEN (page + 1) * 50 < max(total) THEN CAST((page + 1) * 50 AS VARCHAR) END AS next_cursor
