@@ -7,6 +7,7 @@ minimisers and order, and where a hash stands for equality the operator says so.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at a time; one longer text is handled alone.
 BLOCK_BYTES = 1 << 20
+#: Longer words are hashed one by one, so that no array is as long as such a word.
+LONG_WORD = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -52,12 +55,22 @@ class Words:
     bounds: np.ndarray  # words of text i: bounds[i] .. bounds[i + 1]
 
     def hashes(self) -> np.ndarray:
-        if not len(self.data):
-            return np.zeros(0, np.uint64)
-        up, down = _grown("up", _BASE, len(self.data)), _grown("down", _INVERSE, len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts], 1)
+        """A hash of each word, the same wherever the word stands; the text is gone through in pieces."""
+        n = len(self.starts)
+        out, i = np.zeros(n, np.uint64), 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + BLOCK_BYTES, "right")))
+            lo, hi = int(self.starts[i]), int(self.ends[j - 1])
+            if hi - lo <= BLOCK_BYTES:
+                up, down = _grown("up", _BASE, hi - lo), _grown("down", _INVERSE, hi - lo)
+                total = np.zeros(hi - lo + 1, np.uint64)
+                np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+                start, end = self.starts[i:j] - lo, self.ends[i:j] - lo
+                out[i:j] = mix((total[end] - total[start]) * down[start], 1)
+            i = j
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def _binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -7,7 +7,7 @@ travels as one packed string to the bucket of its minimiser, where its windows a
 
 A minimiser with more than ``most_runs`` runs (a passage that very many documents hold) would make a bucket of
 any size. Its runs are first reduced to distinct strings with the least document of each, and the windows of those
-are dealt out one by one under a 128-bit BLAKE2 digest, which stands for the window there.
+are sorted and counted over all tasks, under a 128-bit BLAKE2 digest, which stands for the window there.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm import _text
-from tidegate.llm._scratch import small_batches, written
+from tidegate.llm import _sorted, _text
+from tidegate.llm._scratch import written
 
 WINDOW, SEED_WORDS, MOST_RUNS = 50, 8, 200
-#: Windows of hot minimisers that another string has earlier, up to which tasks look them up; more are joined.
-LOOKUP_ROWS = 1 << 17
+#: Bytes of packed strings in a batch.
+FLUSH_BYTES = 1 << 22
 
 
 def _sliding_min(a: np.ndarray, n: int) -> np.ndarray:
@@ -43,7 +43,10 @@ def _sliding_min(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def runs(words: _text.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, minimiser) of the runs of a block."""
+    """(text, first window, windows, minimiser) of the runs of a block.
+
+    A run has at most as many windows as can hold one place: where a text repeats a minimiser without end, the run is cut.
+    """
     h = words.hashes()
     n = len(h)
     if n < window:
@@ -64,7 +67,12 @@ def runs(words: _text.Words, window: int, k: int) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(mini), bool)
     new[1:] = (mini[1:] != mini[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    return text[at], place[at], np.diff(np.append(at, len(mini))), mini[at]
+    n, reach = np.diff(np.append(at, len(mini))), window - k + 1
+    pieces = -(-n // reach)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    n = np.minimum(np.repeat(n, pieces) - piece * reach, reach)
+    at = np.repeat(at, pieces) + piece * reach
+    return text[at], place[at], n, mini[at]
 
 
 _SCAN = "id long, fp long, n_words long, sha string, mini long, at int, n int"
@@ -121,9 +129,9 @@ def _packed(window: int):
                     sid = hashlib.blake2b(p, digest_size=16).digest() if r["hot"] else None
                     out.append((r["mini"], p, sid, id, fp, r["at"], r["n"], r["hot"]))
                     held += len(p)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out, held = [], 0
+                    if held > FLUSH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -176,36 +184,20 @@ def _counted(window: int):
 
 
 def _windows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                wid, sid, off, least = [], [], [], []
-                for s, p, d in zip(*(part.column(c).to_pylist() for c in ("sid", "packed", "least")), strict=True):
-                    w = p.split(b" ")
-                    n = len(w) - window + 1
-                    wid += [_wid(w[j : j + window]) for j in range(n)]
-                    sid += [s] * n
-                    off += range(n)
-                    least += [d] * n
-                yield pa.RecordBatch.from_arrays([pa.array(wid, pa.binary()), pa.array(sid, pa.binary()), pa.array(off, pa.int32()), pa.array(least, pa.int64())], names=["wid", "sid", "off", "least"])
-
-    return run
-
-
-def _looked_up(window: int, known: dict[bytes, int]):
-    """Windows of each string that another string has in an earlier document."""
+    """The windows of distinct strings, as rows to be sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, offs = [], []
-            for s, p, least in zip(*(batch.column(c).to_pylist() for c in ("sid", "packed", "least")), strict=True):
+            key, sid, off, lo, hi = [], [], [], [], []
+            for s, p, a, b in zip(*(batch.column(c).to_pylist() for c in ("sid", "packed", "lo", "hi")), strict=True):
                 w = p.split(b" ")
-                hit = [j for j in range(len(w) - window + 1) if known.get(_wid(w[j : j + window]), least) < least]
-                if hit:
-                    sid.append(s)
-                    offs.append(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(offs, pa.list_(pa.int32()))], names=["sid", "offs"])
+                n = len(w) - window + 1
+                key += [_wid(w[j : j + window]) for j in range(n)]
+                sid += [s] * n
+                off += range(n)
+                lo += [a] * n
+                hi += [b] * n
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((key, sid, off, lo, hi), _sorted.WINDOW, strict=True)], schema=_sorted.WINDOW)
 
     return run
 
@@ -214,7 +206,7 @@ def _wid(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _removed(window: int):
+def _removed(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_removed, sha, kept = [], [], []
@@ -228,8 +220,8 @@ def _removed(window: int):
                 text = b" ".join([w[i] for i in stay])
                 n_removed.append(len(w) - len(stay))
                 sha.append(hashlib.sha256(text).hexdigest())
-                kept.append(text.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(n_removed, pa.int64()), pa.array(sha), pa.array(kept)], names=["__id", "__fp", "__removed", "__sha", "__kept"])
+                kept.append(text.decode() if texts else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["__id", "__fp", "__removed", "__sha", "__kept"])
 
     return run
 
@@ -245,7 +237,6 @@ def _intervals(offs: str) -> Column:
 def covered_windows(df: DataFrame, id: str, text: str, window: int, k: int, most_runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts: id, fp, n_words, sha), (covered: id, fp, at, n: windows at .. at + n - 1) and (id, fp, blob) of the
     texts that have a run which may be shared."""
-    small_batches(df.sparkSession)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("fp"), "text")
     scan = written(docs.mapInArrow(_scanned(window, k), _SCAN), "runs")
     own = scan.where("mini IS NOT NULL").select("mini", "id", "fp", "at", "n")
@@ -261,18 +252,10 @@ def covered_windows(df: DataFrame, id: str, text: str, window: int, k: int, most
     cold = packed(False).select("mini", "packed", "id", "fp", "at", "n").repartition("mini").sortWithinPartitions("mini")
     found = cold.mapInArrow(_counted(window), "id long, fp long, at int, n int")
     hot = packed(True)
-    strings = written(hot.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("least")), "strings")
-    windows = strings.mapInArrow(_windows(window), "wid binary, sid binary, off int, least long")
+    strings = written(hot.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("lo"), F.min("id").alias("hi")), "strings")
     # a window's least document is its string's own or, where another string has the window, a smaller one
-    better = windows.groupBy("wid").agg(F.min("least").alias("d"), F.max("least").alias("m")).where("d < m").select("wid", "d")
-    better = written(better, "earlier")
-    if better.count() <= LOOKUP_ROWS:
-        known = {r.wid: r.d for r in better.toLocalIterator()}
-        earlier = strings.mapInArrow(_looked_up(window, {bytes(w): d for w, d in known.items()}), "sid binary, offs array<int>")
-    else:
-        own = windows.select(F.col("wid").alias("own"), "sid", "off", "least")
-        earlier = own.join(better, (F.col("own") == F.col("wid")) & (F.col("d") < F.col("least"))).groupBy("sid").agg(F.collect_set("off").alias("offs"))
-    occurs = hot.select("sid", "id", "fp", "at", "n").join(strings.select("sid", "least"), "sid")
+    earlier = _sorted.shared(strings.mapInArrow(_windows(window), _sorted.WINDOW_DDL)).where("lo > least").groupBy("sid").agg(F.collect_set("off").alias("offs"))
+    occurs = hot.select("sid", "id", "fp", "at", "n").join(strings.select("sid", F.col("lo").alias("least")), "sid")
     # of a string's later documents every window is covered, of its first those that are earlier elsewhere
     found = found.unionByName(occurs.where("id > least").select("id", "fp", "at", "n"))
     first = occurs.where("id = least").join(earlier, "sid").select("id", "fp", "at", F.explode(_intervals("offs")).alias("i"))
@@ -289,7 +272,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", windo
     """
     all_, covered, subset = covered_windows(df, id, text, window, k, most_runs)
     spans = covered.groupBy("id", "fp").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
-    changed = subset.join(spans, ["id", "fp"]).mapInArrow(_removed(window), "__id long, __fp long, __removed long, __sha string, __kept string")
-    changed = changed if texts else changed.drop("__kept")
+    changed = subset.join(spans, ["id", "fp"]).mapInArrow(_removed(window, texts), "__id long, __fp long, __removed long, __sha string, __kept string")
+    changed = written(changed, "changed")
     out = all_.join(changed, (F.col("id") == F.col("__id")) & (F.col("fp") == F.col("__fp")), "left")
     return out.select(F.col("id").alias(id), "n_words", F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__sha", "sha").alias("kept_sha256"), *([F.col("__kept").alias("kept_text")] if texts else []))
