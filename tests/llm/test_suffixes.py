@@ -70,9 +70,7 @@ def test_query(spark):
     compare(rows, queries.QUERIES["op7_suffixes"](spark, SF).collect(), 50, 0.99)
 
 
-@pytest.mark.parametrize("lookup", [0, 1 << 17])
-def test_two_share_more_than_a_hot_line(spark, monkeypatch, lookup):
-    monkeypatch.setattr(suffixes, "LOOKUP_ROWS", lookup, raising=False)
+def test_two_share_more_than_a_hot_line(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP_ROWS", 20)
     rng = random.Random(2)
     line, own = [f"l{i}" for i in range(30)], lambda n: [f"o{rng.random()}" for _ in range(n)]

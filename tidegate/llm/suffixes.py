@@ -5,15 +5,16 @@ some window. Two texts that share a passage of a window's length keep a suffix a
 over all texts drops suffixes whose k words occur in one document alone. The others are sorted, by what follows and by what
 stands to the left. The common lengths of neighbours in the two orders give, for each number of words to the left, the classes
 of suffixes that share these and the rest of a window to the right; a class with several documents is a match. No partner is
-left out. A start that very many have isn't brought together: the windows around it are counted by their 128-bit BLAKE2 digest,
-so that no task holds them all. What is found is exact, word for word, but for that digest.
+left out. A start that very many have isn't brought together: its suffixes, with each number of words to the left, are sorted
+over all tasks by a 128-bit BLAKE2 digest of the window that they make, so that no task holds them all, and neighbours compared
+there. What is found is exact, word for word, but for that digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm import _text
-from tidegate.llm._scratch import small_batches, written
-from tidegate.llm.superkmers import _sliding_min, _words, _zipped, runs
+from tidegate.llm import _sorted, _text
+from tidegate.llm._scratch import written
+from tidegate.llm.superkmers import FLUSH_BYTES, _sliding_min, _windows, _words, _zipped, runs
 
 WINDOW, SEED_WORDS = 50, 8
-#: Suffixes of one start that are sorted together; where more have a start, its windows are counted one by one.
+#: Suffixes of one start that are sorted together; where more have a start, they are sorted over all tasks.
 GROUP_ROWS = 2000
-#: Windows of such starts that several documents have, up to which tasks look them up; more are joined.
-LOOKUP_ROWS = 1 << 17
 #: Suffixes, of whole groups, that are compared at a time.
 BATCH_ROWS = 4000
 
@@ -73,56 +72,50 @@ def _scanned(window: int, k: int):
     return run
 
 
-def _hot_windows(hot: np.ndarray, window: int, k: int):
-    """Digest of each window whose start is among ``hot`` (sorted), with its places: one row for all that a
-    block of texts has of it."""
+_RUN = "sid binary, packed binary, id long, fp long, at int"
+
+
+def _hot_runs(window: int, k: int):
+    """The stretches of text whose windows begin their least hash at one of the text's hot starts."""
+    schema = pa.schema([("sid", pa.binary()), ("packed", pa.binary()), ("id", pa.int64()), ("fp", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _text.blocks(batch.column("text")):
-                text, first, n, mini = runs(block, window, k)
-                mini = mini.view(np.int64)
-                found = hot[np.minimum(np.searchsorted(hot, mini), len(hot) - 1)] == mini
-                text, first, n = text[found] + block.first, first[found], n[found]
-                cut = np.flatnonzero(np.diff(text, prepend=-1, append=-1)).tolist()
-                of: dict[bytes, list[int]] = {}
-                texts, places = [], []
-                for lo, hi in pairwise(cut):
-                    i = int(text[lo])
-                    w = batch.column("text")[i].as_py().encode().split()
-                    for f, m in zip(first[lo:hi].tolist(), n[lo:hi].tolist(), strict=True):
-                        for at in range(f, f + m):
-                            of.setdefault(hashlib.blake2b(b" ".join(w[at : at + window]), digest_size=16).digest(), []).append(len(places))
-                            texts.append(i)
-                            places.append(at)
-                if of:
-                    order = np.fromiter(chain.from_iterable(of.values()), np.int64, len(places))
-                    take = pa.array(np.array(texts)[order])
-                    id, fp = batch.column("id").take(take), batch.column("fp").take(take)
-                    bounds = np.cumsum([0, *map(len, of.values())])
-                    found = pa.StructArray.from_arrays([id, fp, pa.array(np.array(places, np.int32)[order])], names=["id", "fp", "at"])
-                    least, most = (f.reduceat(id.to_numpy(), bounds[:-1]) for f in (np.minimum, np.maximum))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.binary()), pa.array(least), pa.array(most), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), found)], names=["digest", "lo", "hi", "of"])
+            out, held = [], 0
+            for id, fp, blob, seeds in zip(*(batch.column(c) for c in ("id", "fp", "blob", "seeds")), strict=True):
+                w, id, fp = _words(blob.as_py()), id.as_py(), fp.as_py()
+                hot = np.array([s["seed"] for s in seeds.as_py()], np.int64)
+                for block in _text.blocks(pa.array([b" ".join(w).decode()], pa.string())):
+                    _, first, n, mini = runs(block, window, k)
+                    found = np.isin(mini.view(np.int64), hot)
+                    for at, m in zip(first[found].tolist(), n[found].tolist(), strict=True):
+                        packed = b" ".join(w[at : at + m + window - 1])
+                        out.append((hashlib.blake2b(packed, digest_size=16).digest(), packed, id, fp, at))
+                        held += len(packed)
+                        if held > FLUSH_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _looked_up(window: int, known: dict[bytes, tuple[int, int]]):
-    """Windows that several documents have, those next to each other as one."""
+def _joined(window: int):
+    """Windows of a stretch that several documents have, those next to each other as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
-            for digest, of in zip(batch.column("digest").to_pylist(), batch.column("of"), strict=True):
-                if digest in known:
-                    lo, hi = known[digest]
-                    hits += [(r["id"], r["fp"], r["at"], hi if r["id"] == lo else lo) for r in of.as_py()]
-            out = []
-            for id, fp, at, other in sorted(hits):
-                if out and out[-1][:2] == [id, fp] and at <= out[-1][2] + out[-1][3]:
-                    out[-1][3], out[-1][4] = at + window - out[-1][2], min(out[-1][4], other)
-                else:
-                    out.append([id, fp, at, window, other])
+            out: list[list] = []
+            for id, fp, at, found in zip(*(batch.column(c).to_pylist() for c in ("id", "fp", "at", "found")), strict=True):
+                last = None
+                for w in sorted(found, key=lambda w: w["off"]):
+                    other = w["most"] if id == w["least"] else w["least"]
+                    if last is not None and at + w["off"] <= last[2] + last[3]:
+                        last[3], last[4] = at + w["off"] + window - last[2], min(last[4], other)
+                    else:
+                        last = [id, fp, at + w["off"], window, other]
+                        out.append(last)
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "fp", "at", "n", "other"])
 
@@ -149,9 +142,9 @@ def _suffixes(window: int, k: int):
                     for (ahead, behind), places in alike.items():
                         out.append((s["seed"], ahead, behind, id, fp, places))
                         held += len(ahead) + len(behind)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX_ARROW, strict=True)], schema=_SUFFIX_ARROW)
-                    out, held = [], 0
+                    if held > FLUSH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX_ARROW, strict=True)], schema=_SUFFIX_ARROW)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SUFFIX_ARROW, strict=True)], schema=_SUFFIX_ARROW)
 
@@ -253,28 +246,26 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
     the smallest. Nulls, short texts and rows with a null id have none;
     rows that repeat an id and a text count once. Other columns are left out; an empty table gives an empty table.
     """
-    small_batches(df.sparkSession)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
     docs = docs.select("id", F.xxhash64("text").alias("fp"), "text")
     own = written(docs.mapInArrow(_scanned(window, k), "id long, fp long, seed long, places array<int>"), "anchors")
     shared = own.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.size("places")).alias("c")).where("lo < hi")
-    shared = written(shared.select("seed", (F.col("c") > GROUP_ROWS).alias("hot")), "starts")
-    wanted = own.join(shared.where("NOT hot"), "seed").groupBy("id", "fp").agg(F.collect_set(F.struct("seed", "places")).alias("seeds"))
+    seed = F.struct("seed", F.when(F.col("c") <= GROUP_ROWS, F.col("places")).alias("places"))
+    wanted = own.join(shared.select("seed", "c"), "seed").groupBy("id", "fp").agg(F.collect_set(seed).alias("seeds"))
     zipped = docs.mapInArrow(_zipped, "id long, fp long, blob binary")
-    subset = zipped.join(wanted, ["id", "fp"]).dropDuplicates(["id", "fp"])
-    kept = subset.mapInArrow(_suffixes(window, k), _SUFFIX).repartition("seed").sortWithinPartitions("seed", "ahead", "id")
+    texts = written(zipped.join(wanted, ["id", "fp"]).dropDuplicates(["id", "fp"]), "texts")
+
+    def having(hot: bool) -> DataFrame:
+        return texts.withColumn("seeds", F.filter("seeds", lambda s: s["places"].isNull() == hot)).where("size(seeds) > 0")
+
+    kept = having(False).mapInArrow(_suffixes(window, k), _SUFFIX).repartition("seed").sortWithinPartitions("seed", "ahead", "id")
     found = kept.mapInArrow(_compared(window, k), "id long, fp long, at int, n int, other long")
-    hot = np.sort(np.array([r.seed for r in shared.where("hot").select("seed").collect()], np.int64))
-    if len(hot):
-        windows = written(docs.mapInArrow(_hot_windows(hot, window, k), "digest binary, lo long, hi long, of array<struct<id: long, fp: long, at: int>>"), "hot")
-        several = written(windows.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"), "several")
-        if several.count() <= LOOKUP_ROWS:
-            known = {bytes(r.digest): (r.lo, r.hi) for r in several.toLocalIterator()}
-            found = found.unionByName(windows.mapInArrow(_looked_up(window, known), "id long, fp long, at int, n int, other long"))
-        else:
-            other = F.when(F.col("r.id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
-            each = windows.select("digest", "of").join(several, "digest").select("lo", "hi", F.explode("of").alias("r"))
-            found = found.unionByName(each.select("r.id", "r.fp", "r.at", F.lit(window).alias("n"), other))
+    stretches = having(True).mapInArrow(_hot_runs(window, k), _RUN)
+    strings = written(stretches.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("lo"), F.max("id").alias("hi")), "strings")
+    several = _sorted.shared(strings.mapInArrow(_windows(window), _sorted.WINDOW_DDL))
+    several = several.groupBy("sid").agg(F.collect_set(F.struct("off", "least", "most")).alias("found"))
+    hot = stretches.select("sid", "id", "fp", "at").join(several, "sid").mapInArrow(_joined(window), "id long, fp long, at int, n int, other long")
+    found = written(found.unionByName(hot), "spans")
     spans = found.groupBy("id", "fp").agg(F.collect_set(F.struct("at", "n", "other")).alias("spans")).select("id", "spans")
     out = spans.mapInArrow(_united, "id long, at long, n long, other long")
     return out.select(F.col("id").alias(id), F.col("at").alias("start_word"), F.col("n").alias("n_words"), F.col("other").alias("other_id"))
