@@ -3,9 +3,12 @@ import hashlib
 import random
 import re
 
-from tidegate.llm import pii
+import pytest
+
+from tidegate.llm import pii, queries
 
 KEY = "k"
+SF = "/root/testdata/sf0.001"
 
 
 def h(*parts):
@@ -59,10 +62,30 @@ def ip(m):
     return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
 
 
+def _months():
+    day, out = datetime.date(1900, 1, 1), []
+    while len(out) < 2392:
+        out.append(day)
+        day = (day + datetime.timedelta(31)).replace(day=1)
+    return out
+
+
+MONTHS = _months()
+LATE = [m + datetime.timedelta(d) for m in MONTHS for d in range(12, 31) if (m + datetime.timedelta(d)).month == m.month]
+PLACE = {d: i for i, d in enumerate(LATE)}
+
+
+def other_day(day):
+    if day.day <= 12:
+        n = ((day.year - 1900) * 12 + day.month - 1) * 12 + day.day - 1
+        x, y = pair(n // 184, n % 184, 156, 184, "date")
+        return MONTHS[(x * 184 + y) // 12].replace(day=(x * 184 + y) % 12 + 1)
+    x, y = pair(PLACE[day] // 210, PLACE[day] % 210, 210, 210, "date late")
+    return LATE[x * 210 + y]
+
+
 def iso(m):
-    n = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
-    x, y = pair(n // 270, n % 270, 270, 270, "dateymd-")
-    return (datetime.date(1900, 1, 1) + datetime.timedelta(x * 270 + y)).isoformat()
+    return other_day(datetime.date.fromisoformat(m)).isoformat()
 
 
 def run(spark, texts):
@@ -80,7 +103,7 @@ def test_against_brute_force(spark):
     texts, want = [None, "", "nothing here 12 and 2.0.", "a\x01b \\0 $1"], [(None, 0), ("", 0), ("nothing here 12 and 2.0.", 0), ("a\x01b \\0 $1", 0)]
     for _ in range(30):
         c, p, a = with_luhn(rng, rng.choice([13, 16, 19])), f"{rng.randint(200, 999)}{rng.randint(200, 999)}{rng.randint(0, 9999):04}", ".".join(str(rng.randint(0, 255)) for _ in range(4))
-        d = (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(72900))).isoformat()
+        d = (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(72700))).isoformat()
         local = "".join(rng.choice("abcXYZ019._") for _ in range(rng.randint(2, 12))) + "q"
         q = phone(p)
         texts.append(f"é {c}, +1 ({p[:3]}) {p[3:6]}-{p[6:]} und\n{a}. {d}; {local}@Mail7.example.com")
@@ -138,4 +161,110 @@ def test_permutation(spark):
 
 def test_empty_and_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, `a.b` string")
-    assert pii.pseudonymised(df).columns == df.columns and pii.pseudonymised(df).collect() == []
+    assert pii.pseudonymised(df, KEY).columns == df.columns and pii.pseudonymised(df, KEY).collect() == []
+    with pytest.raises(ValueError):
+        pii.pseudonymised(df, "")
+
+
+def test_a_date_in_any_notation(spark):
+    rng = random.Random(8)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(72_000)) for _ in range(150)]
+    forms = ["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"]
+    texts = [(d, f) for d in days for f in forms if f != "%d/%m/%Y" or d.day > 12]
+    got = run(spark, [d.strftime(f) for d, f in texts])
+    for i, (d, f) in enumerate(texts):
+        assert got[i][0] == other_day(d).strftime(f), (d, f)
+    slashed = sorted({d.strftime(f) for d, f in texts if "/" in f})
+    assert len({t for t, _ in run(spark, slashed).values()}) == len(slashed)
+    assert run(spark, ["2099-05-01", "1899-12-31", "31/04/2020", "0/0/2000"]) == {0: ("2099-05-01", 0), 1: ("1899-12-31", 0), 2: ("31/04/2020", 0), 3: ("0/0/2000", 0)}
+
+
+def test_late_days_are_permuted(spark):
+    some = LATE[:1500] + LATE[-1500:]
+    got = run(spark, [d.isoformat() for d in some])
+    assert [got[i][0] for i in range(len(some))] == [other_day(d).isoformat() for d in some] and len({t for t, _ in got.values()}) == len(some)
+
+
+def test_phones_abroad_and_cards_after_letters(spark):
+    c = "7536784127813050"
+    texts = ["+44 20 7946 0958", "+442079460958", "+49 (30) 123-4567", "+352 621 123 456", "+44 20 79", "+4420794609581234567", f"AB15 {c[:4]} {c[4:8]} {c[8:12]} {c[12:]}", f"DE89 3704 0044 0532 0130 00 {c}"]
+    got = run(spark, texts)
+    for i, head in ((0, "+44 "), (1, "+44"), (2, "+49 ("), (3, "+352 ")):
+        assert got[i][1] == 1 and got[i][0].startswith(head) and re.sub(r"\d", "0", got[i][0]) == re.sub(r"\d", "0", texts[i]), texts[i]
+    assert got[0][0].replace(" ", "") == got[1][0]
+    assert got[4] == (texts[4], 0) and got[5] == (texts[5], 0)
+    new = card(c)
+    assert got[6] == (f"AB15 {new[:4]} {new[4:8]} {new[8:12]} {new[12:]}", 1)
+    assert got[7][1] == 2 and got[7][0].endswith(new)
+
+
+def _dates(m):
+    for sep, orders in (("-", ["ymd"]), (".", ["dmy"]), ("/", ["mdy", "dmy"])):
+        if sep in m:
+            for order in orders:
+                parts = dict(zip(order, m.split(sep), strict=True))
+                try:
+                    day = datetime.date(*(int(parts[c]) for c in "ymd"))
+                except ValueError:
+                    continue
+                if datetime.date(1900, 1, 1) <= day < datetime.date(2099, 5, 1):
+                    new, wide = other_day(day), len(parts["m"]) == len(parts["d"]) == 2
+                    put = lambda x: f"{x:02}" if wide else str(x)
+                    return sep.join({"y": str(new.year), "m": put(new.month), "d": put(new.day)}[c] for c in order)
+    return m
+
+
+def replaced(text):
+    """(text, values replaced), for the kinds of value in the table: e-mails, phones with +1, cards, SSNs, addresses, dates."""
+    refill = lambda m, d: re.sub(r"\d", lambda _, it=iter(d): next(it), m)
+
+    def one(m):
+        v = m[0]
+        if "@" in v:
+            local, _, domain = v.partition("@")
+            return chars(local, "email") + "@" + domain
+        digits = re.sub(r"\D", "", v)
+        if v.startswith(("+1", "(")):
+            area, exchange, line = int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+            if area >= 200 and exchange >= 200:
+                return refill(v, digits[:-10] + phone(digits))
+            x, y = pair(area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange, line, 360_000, 10_000, "phone other")
+            code = x if x < 200_000 else ((x - 200_000) // 200 + 200) * 1000 + (x - 200_000) % 200
+            return refill(v, digits[:-10] + f"{code:06}{y:04}")
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", v):
+            a, g, n = (int(p) for p in v.split("-"))
+            if not a or a == 666 or a >= 900 or not g or not n:
+                return v
+            x, y = pair(a - (2 if a > 666 else 1), (g - 1) * 9999 + n - 1, 898, 99 * 9999, "ssn")
+            return f"{x + (2 if x >= 665 else 1):03}-{y // 9999 + 1:02}-{y % 9999 + 1:04}"
+        if v.count(".") == 3:
+            return ip(v) if all(int(p) < 256 and str(int(p)) == p for p in v.split(".")) else v
+        if re.fullmatch(r"\d{16}", v):
+            return card(v) if luhn(v) % 10 == 0 else v
+        return _dates(v)
+
+    kinds = [
+        r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\w|-\d)", r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?![\w/]|[.-]\d)",
+        r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)", r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?!\w|/\d)", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", r"(?<!\w)\d{16}(?!\w)",
+    ]
+    n = 0
+
+    def counted(m):
+        nonlocal n
+        new = one(m)
+        n += new != m[0]
+        return new
+
+    return re.sub("|".join(kinds), counted, text), n
+
+
+def test_query_against_plain_python(spark):
+    spark.conf.set("spark.tidegate.pseudonym.key", KEY)
+    try:
+        got = {r.doc_id: (r.text, r.n_replaced) for r in queries.QUERIES["op5_pii"](spark, SF).collect()}
+    finally:
+        spark.conf.unset("spark.tidegate.pseudonym.key")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(rows) and sum(n for _, n in got.values()) > 20
+    for r in rows:
+        assert got[r.doc_id] == replaced(r.text), r.doc_id

@@ -7,9 +7,12 @@ pseudonym is valid too and equal values get equal pseudonyms in every document:
 - IBAN with right check digits: country and letters stay, check digits are made anew
 - North American phone number, with or without +1: area and exchange codes stay valid; with +1 or brackets any three digits
   are taken as codes, and a number whose codes aren't valid is permuted among such numbers
+- other phone number, as + and 8 to 15 digits: + and country code stay
 - IPv4 address: any other address
 - social security number (area not 000, 666 or 9xx, group not 00, serial not 0000)
-- date from 1900-01-01 to 2099-08-04, as y-m-d, d.m.y or m/d/y (d/m/y where that is no date)
+- date from 1900-01-01 to 2099-04-30, as y-m-d, d.m.y or m/d/y (d/m/y where that is no date): the same date in any notation
+  becomes the same other date. Days up to the 12th are permuted among such days and later ones among later ones, so that
+  what is read as d/m/y stays so
 - e-mail address: letters and digits of the local part, the domain stays
 
 Two halves take turns: each is shifted, within its range, by a SHA-256 of the key and the other half. That
@@ -31,6 +34,7 @@ SHAPES = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": _FROM + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _TO,
     "phone": r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?<![\p{L}\p{N}+(]|\d[ .-])(?:\(\d{3}\) ?\d{3}|[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4})(?![\p{L}\p{N}]|-\d)",
+    "abroad": r"(?<![\p{L}\p{N}+])\+[2-9](?:[ .-]?(?:\(\d{1,4}\)|\d)){7,14}(?![\p{L}\p{N}]|[ .-]?\d)",
     "date": r"(?<![\p{L}\p{N}]|\d[./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\p{L}\p{N}]|[./-]\d)",
     "ssn": r"(?<![\p{L}\p{N}]|\d-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "ip": r"(?<![\p{L}\p{N}]|\d\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}]|\.\d)",
@@ -38,8 +42,10 @@ SHAPES = {
 #: Groups of digits, 13 digits or more from the first on, as far as none of the other shapes begins.
 SHAPES["card"] = _FROM + r"(?=\d(?:[ -]?\d){12})\d++" + _TO + "(?:[ -](?!" + "|".join(SHAPES[k] for k in ("email", "date", "ssn", "ip")) + r")\d++" + _TO + ")*+"
 ANY = "|".join(SHAPES.values())
-#: Days from 1900-01-01 that dates are permuted among: two halves of 270.
-_DAYS_HALF = 270
+#: Months from 1900-01 whose dates are permuted; halves of their days up to the 12th, and of the later ones.
+_MONTHS, _EARLY, _LATE = 2392, (156, 184), (210, 210)
+#: Country codes of one and of two digits; the others have three.
+_CODES = r"7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
 def _long(x: Column) -> Column:
@@ -136,15 +142,35 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
+    """New text and number of values of what looks like an IBAN: the longest valid one that ends with a group, and cards in
+    what is left."""
+
     def new(s: Column) -> Column:
         rest = _chars(F.substring(s, F.lit(5), F.length(s)), key, "iban", letters=False)
         return let(rest, lambda b: F.concat(F.substring(s, 1, 2), F.lpad((98 - _mod97(F.concat(b, F.substring(s, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
 
+    def cards(s: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(s, F.lit(SHAPES["card"]), F.lit(0)), lambda c: _card(c, key))
+        text = lambda f: F.array_join(F.transform(F.split(s, SHAPES["card"]), lambda g, i: F.concat(g, F.coalesce(F.get(f, i)["new"], F.lit("")))), "")
+        return let(found, lambda f: F.struct(text(f).alias("new"), F.aggregate(f, F.lit(0), lambda a, c: a + c["n"]).alias("n")))
+
+    def parted(p: Column) -> Column:
+        head = F.concat(_refill(p, new(F.regexp_replace(p, " ", "")), " "))
+        tail = cards(F.substring(m, F.length(p) + 1, F.length(m)))
+        return let(head, lambda h: let(tail, lambda t: F.struct(F.concat(h, t["new"]).alias("new"), ((h != p).cast("int") + t["n"]).alias("n"))))
+
     valid = lambda s: _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1
-    # the longest valid one that ends with a group: other words may follow
     parts = F.transform(F.sequence(F.size(F.split(m, " ")), F.lit(1)), lambda g: F.call_function("substring_index", m, F.lit(" "), g))
     longest = F.get(F.filter(parts, lambda p: let(F.regexp_replace(p, " ", ""), lambda s: (F.length(s) >= 12) & valid(s))), 0)
-    return let(longest, lambda p: F.when(p.isNotNull(), F.concat(_refill(p, new(F.regexp_replace(p, " ", "")), " "), F.substring(m, F.length(p) + 1, F.length(m)))).otherwise(m))
+    return let(longest, lambda p: F.when(p.isNotNull(), parted(p)).otherwise(cards(m)))
+
+
+def _abroad(m: Column, key: Column) -> Column:
+    def new(d: Column) -> Column:
+        code = F.regexp_extract(d, f"^(?:{_CODES}|...)", 0)
+        return let(code, lambda c: F.concat(c, _chars(F.substring(d, F.length(c) + 1, F.length(d)), key, "abroad")))
+
+    return let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), _refill(m, new(d))).otherwise(m))
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -183,17 +209,39 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
+    start = F.lit("1900-01-01").cast("date")
+    first = lambda month: F.add_months(start, month.cast("int"))  # noqa: E731  of a month counted from 1900-01
+    later = lambda month: F.datediff(first(month), start) - 12 * month  # noqa: E731  days after a 12th before that month
+
+    def permuted(month: Column, day: Column) -> Column:
+        """struct(month, day) of the other date."""
+
+        def early(p: Column) -> Column:
+            r = p["x"] * _EARLY[1] + p["y"]
+            return F.struct(F.floor(r / 12).alias("month"), (r % 12 + 1).alias("day"))
+
+        def late(p: Column) -> Column:
+            r = p["x"] * _LATE[1] + p["y"]
+            near = F.floor(r * _MONTHS / (_LATE[0] * _LATE[1]))  # a month off at most
+            month = F.get(F.filter(F.array(near + 1, near, near - 1), lambda c: later(c) <= r), 0)
+            return let(month, lambda c: F.struct(c.alias("month"), (r - later(c) + 13).alias("day")))
+
+        def halves(r: Column, sizes: tuple[int, int], kind: str) -> Column:
+            return _pair(F.floor(r / sizes[1]), r % sizes[1], *sizes, key, kind)
+
+        return F.when(day <= 12, let(halves(month * 12 + day - 1, _EARLY, "date"), early)).otherwise(let(halves(later(month) + day - 13, _LATE, "date late"), late))
+
     def new(parts: Column, order: str, sep: str) -> Column:
         at = {c: F.get(parts, i) for i, c in enumerate(order)}
-        day = F.to_date(F.concat_ws("-", at["y"], F.lpad(at["m"], 2, "0"), F.lpad(at["d"], 2, "0")), "yyyy-MM-dd")
-        day = F.when((at["m"].cast("int").between(1, 12)) & (at["d"].cast("int") >= 1) & (at["d"].cast("int") <= F.dayofmonth(F.last_day(F.make_date(at["y"].cast("int"), F.least(F.greatest(at["m"].cast("int"), F.lit(1)), F.lit(12)), F.lit(1))))), day)
-        n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-        p = _pair(F.floor(n / _DAYS_HALF), n % _DAYS_HALF, _DAYS_HALF, _DAYS_HALF, key, f"date{order}{sep}")
+        year, month, day = (_long(at[c]) for c in "ymd")
+        known = year.between(1900, 2099) & month.between(1, 12)
         # two digits where both day and month had two
         wide = (F.length(at["m"]) == 2) & (F.length(at["d"]) == 2)
         put = lambda x: F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-        made = let(p, lambda q: let(F.date_add(F.lit("1900-01-01").cast("date"), (q["x"] * _DAYS_HALF + q["y"]).cast("int")), lambda e: F.concat_ws(sep, *[F.year(e).cast("string") if c == "y" else put(F.month(e) if c == "m" else F.dayofmonth(e)) for c in order])))
-        return F.when((n >= 0) & (n < _DAYS_HALF * _DAYS_HALF), made)
+        shown = lambda e: F.concat_ws(sep, *[(F.floor(e["month"] / 12) + 1900).cast("string") if c == "y" else put(e["month"] % 12 + 1 if c == "m" else e["day"]) for c in order])
+        n = (year - 1900) * 12 + month - 1
+        made = let(n, lambda k: F.when((k < _MONTHS) & (day >= 1) & (day <= F.dayofmonth(F.last_day(first(k)))), let(permuted(k, day), shown)))
+        return F.when(known, made)
 
     return F.coalesce(
         F.when(m.contains("-"), let(F.split(m, "-"), lambda x: new(x, "ymd", "-"))).when(m.contains("."), let(F.split(m, r"\."), lambda x: new(x, "dmy", "."))).otherwise(let(F.split(m, "/"), lambda x: F.coalesce(new(x, "mdy", "/"), new(x, "dmy", "/")))),
@@ -210,18 +258,21 @@ def pseudonym(m: Column, key: Column) -> Column:
     one = lambda x: let(x, lambda v: F.struct(v.alias("new"), (v != m).cast("int").alias("n")))
     whole = lambda kind: m.rlike(f"^(?:{SHAPES[kind]})$")
     return (
-        F.when(m.contains("@"), one(_email(m, key))).when(m.rlike("^[A-Z]"), one(_iban(m, key))).when(whole("phone"), one(_phone(m, key))).when(whole("date"), one(_date(m, key)))
+        F.when(m.contains("@"), one(_email(m, key))).when(m.rlike("^[A-Z]"), _iban(m, key)).when(whole("phone"), one(_phone(m, key))).when(m.startswith("+"), one(_abroad(m, key))).when(whole("date"), one(_date(m, key)))
         .when(whole("ssn"), one(_ssn(m, key))).when(whole("ip"), one(_ip(m, key))).otherwise(_card(m, key))
     )
 
 
-def pseudonymised(df: DataFrame, text: str = "text", key: str = "tidegate", count: str | None = None) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``df`` with the personal values in ``text`` replaced; the rest of a text stays byte for byte.
 
     ``count`` names a column to add with the number of values replaced. A null text stays null, with 0
-    replaced; every row is handled alone, so ties, repeated rows and other columns change nothing. The key
-    is a secret of the caller: the same key links the same values across documents and runs.
+    replaced; every row is handled alone and whole, so ties, repeated rows and other columns change nothing and an empty
+    table gives an empty table. The key is a secret of the caller: the same key links the same values across documents
+    and runs, and whoever has it can turn them back.
     """
+    if not key:
+        raise ValueError("a key is needed")
     own = "__found"
     found = df.withColumn(own, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.lit(key))))
     gaps = F.split(F.col(text), ANY)

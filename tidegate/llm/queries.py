@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key in spark.tidegate.pseudonym.key; where that is unset, a public one, for trials alone."""
+    return spark.conf.get("spark.tidegate.pseudonym.key", "not a secret")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -76,7 +81,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 10 > n_words
             OR len(regexp_extract_all(text, '[!?]{2,}')) * 5 > n_words OR n_dup_lines * 2 > len(l)
-            OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR len(regexp_extract_all(text, '\p{L}[^\x20\x09-\x0D]*')) * 10 < n_words * 7
+            OR len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) * 100 > len(l) * 30
+            OR len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) * 100 > len(l) * 90) AS kept
 FROM m
 """
 
@@ -86,7 +94,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(_table(spark, sf_dir, "documents"), count="n_replaced")
+    out = pii.pseudonymised(_table(spark, sf_dir, "documents"), pseudonym_key(spark), count="n_replaced")
     return out.select("doc_id", "n_replaced", "text")
 
 
