@@ -25,6 +25,9 @@ def brute(text):
     dup = len(lines) - len(set(lines))
     chars = sum(map(len, w))
     bad = n_symbols * 10 > len(w) or len(re.findall(r"[!?]{2,}", text)) * 5 > len(w) or dup * 2 > len(lines) or chars < 2 * len(w) or chars > 20 * len(w)
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    ends, bullets = sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "…")) for x in lines), sum(x.lstrip(" \t\n\x0b\x0c\r")[:1] in tuple("-*•") for x in lines)
+    bad = bad or letters * 10 < len(w) * 7 or ends * 100 > len(lines) * 30 or bullets * 100 > len(lines) * 90
     return len(w), chars, n_symbols, dup, len(hit), base, not base and not bad
 
 
@@ -33,6 +36,9 @@ def texts():
     out = [None, "", " \t\n", "a b c", "a a a a", "x " * 70, "  é é 𝒳 \x1c", "one two three\none two three\n\n \n", "### *** !!!"]
     for _ in range(80):
         out.append(rng.choice([" ", "\n"]).join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) + rng.choice(["", "", "", "!!", "**", "\n"]) for _ in range(rng.randint(0, 200))))
+    sentence = " ".join(f"word{i}" for i in range(40))
+    out += ["\n".join(f"{sentence} {i}{end}" for i in range(9)) for end in ("...", "…  ", ".", " ....x")] + ["\n".join(f"{mark}{sentence} {i}" for i in range(9)) for mark in ("- ", " •", "x ", "")]
+    out += [" ".join([f"{i}.5" for i in range(90)] + ["word"] * 30), " ".join([f"{i}.5" for i in range(20)] + [f"w{i}" for i in range(60)])]
     return out + [" ".join(str(i % 9000) for i in range(20000))]
 
 
@@ -48,7 +54,7 @@ def test_order_changes_nothing(spark):
     want = {i for i, t in enumerate(texts()) if brute(t)[-1]}
     assert {r.doc_id for r in quality.kept_rows(df).collect()} == want
     t, w = F.coalesce("text", F.lit("")), quality.words(F.coalesce("text", F.lit("")))
-    assert {r.doc_id for r in df.where(quality.cascade(list(reversed(quality.RULES)), t, w)).collect()} == want
+    assert {r.doc_id for r in df.where(quality.cascade(list(reversed(quality.RULES)), quality.Text(t, w))).collect()} == want
 
 
 def test_empty(spark):
@@ -61,9 +67,10 @@ def test_oracle(spark):
 
 
 def test_labels(spark):
-    """Rows labelled good that the base rules pass are kept."""
+    """Of rows that the base rules pass, those labelled good are kept and those labelled bad go."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     n = quality.quality(docs).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()
     found = {(r.quality, r.base_failed, r.kept): r["count"] for r in n}
     print(found)
     assert found.get((1, False, False), 0) == 0
+    assert found.get((0, False, True), 0) == 0 and found.get((0, False, False), 0) > 20
