@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import _text
-from tidegate.llm._scratch import small_batches, written
+from tidegate.llm._scratch import written
 from tidegate.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (80, 100)
@@ -34,6 +35,8 @@ SHINGLE, THRESHOLD = 5, (80, 100)
 SKETCH_BITS, GROUP_ROWS, NEIGHBOURS = 18, 2000, 3
 #: A shingle estimated more frequent than this is dealt to several groups.
 HOT = 20_000
+#: Parts of the sketch, and how many tasks' counts of a part are summed at a time.
+SKETCH_PARTS, FAN_IN = 64, 128
 #: Rows that a task writes of classes, and of texts.
 TASK_CLASSES, TASK_BODIES = 50_000, 5_000
 
@@ -83,31 +86,48 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 
 def _scanned(n: int, lower: bool):
-    """A row for each text, with its class and parity bitmap, and at the end the task's part of the sketch."""
+    """A row for each text, with its class and parity bitmap, and at the end the task's own sketch, in parts under its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            size, fp, bits = [], [], np.zeros((batch.num_rows, 256), np.uint8)
+            size, fp, bits, slots = [], [], np.zeros((batch.num_rows, 256), np.uint8), []
             for i, s in enumerate(_sets(batch.column("text"), n, lower)):
                 size.append(len(s))
                 fp.append(_digest(s))
                 bits[i] = np.bincount((_text.mix(s, 7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                np.add.at(sketch, _slot(s), 1)
+                slots.append(_slot(s))
+            if slots:
+                sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
             packed, m = np.packbits(bits, axis=1).view(np.int64), len(size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array([_class(f) for f in fp], pa.int64()), *(pa.array(packed[:, k]) for k in range(4)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 schema=_SCAN_ARROW,
             )
-        parts = [p.tobytes() for p in np.split(sketch, 64)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(64, f.type) for f in list(_SCAN_ARROW)[:-2]), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], schema=_SCAN_ARROW)
+        parts, task = [p.tobytes() for p in np.split(sketch, SKETCH_PARTS)], np.full(SKETCH_PARTS, TaskContext.get().partitionId(), np.int64)
+        blank = [pa.nulls(SKETCH_PARTS, f.type) for f in list(_SCAN_ARROW)[2:-2]]
+        yield pa.RecordBatch.from_arrays([blank[0], pa.array(task), *blank, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=_SCAN_ARROW)
 
     return run
 
 
 def _summed(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part").slice(0, 1), "task": table.column("task").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _sketch(scan: DataFrame) -> np.ndarray:
+    """The tasks' sketches summed in a tree: no step holds more than FAN_IN of a part, however many tasks there are, and
+    the driver gets one sketch."""
+    parts = scan.where("part IS NOT NULL").select("part", F.col("key").alias("task"), "counts")
+    n = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        n = _ceil(n, FAN_IN)
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("long")).groupBy("part", "task").applyInArrow(_summed, "part int, task long, counts binary")
+        if n == 1:
+            break
+    found = sorted(parts.collect(), key=lambda r: r.part)
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in found]) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
 def _postings(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
@@ -269,16 +289,12 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     Equal rows link. A row with a null id links like any other and names a component only if none has an id. Other columns
     are left out; an empty table gives an empty table. ``keyed`` adds text_key, a 64-bit hash of the text.
     """
-    spark = df.sparkSession
-    small_batches(spark)
     bounds = Bounds(*threshold)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = docs.select("id", F.xxhash64("text").alias("key"), "text")
     scan = written(keys.mapInArrow(_scanned(n, lower), _SCAN), "sets")
     rows = scan.where("part IS NULL").select("id", "key", "n", "fp", "c", "b0", "b1", "b2", "b3")
-    # 64 rows of a fixed size, whatever the input
-    parts = scan.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
-    sketch = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = _sketch(scan)
     bitmap = [f"b{k}" for k in range(4)]
     classes = rows.where("fp IS NOT NULL").groupBy("fp", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(b).alias(b) for b in bitmap])
     # by the number of texts: few tasks and files where they are few
@@ -288,7 +304,8 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     posting = docs.select("text").mapInArrow(_postings(n, lower, bounds, sketch), "token long, c long, w long")
     met = posting.repartition(F.col("token"), group).sortWithinPartitions(F.col("token"), group, F.col("c")).mapInArrow(_met, "token long, c long, n long, pos long, hot long")
     met = written(met.join(classes.select("c", *bitmap), "c").select("token", "c", "n", "pos", "hot", *bitmap), "postings")
-    wanted = met.select("c").distinct().join(classes.select("c", "fp", "least"), "c")
+    # one text of each class that met another; its own table, so that the join with the texts is sized by it
+    wanted = written(met.select("c").distinct().join(classes.select("c", "fp", "least"), "c").coalesce(max(1, n_texts // TASK_CLASSES)), "wanted")
     bodies = docs.mapInArrow(_zipped, "id long, blob binary").join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("c", "fp", "blob").mapInArrow(_own(n, lower), "c long, blob binary")
     bodies = written(bodies.dropDuplicates(["c"]).coalesce(max(1, n_texts // TASK_BODIES)), "bodies")
 
