@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm._scratch import small_batches, written
+from tidegate.llm._scratch import batches, small_batches, written
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 1 << 16, 1 << 13, 1 << 25
 #: The format's own words.
@@ -75,39 +75,42 @@ def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "ur
     """Writes a record, with its continuations, for each row.
 
     A null payload is empty. Equal payloads of at least ``min_bytes`` bytes share one response. Rows that repeat
-    the largest id of a payload are responses all; a null id is smaller than any other. An archive takes about
-    ``archive_bytes`` of payload. Other columns are ignored; an empty table makes archives without pages.
+    the largest id of a payload are responses all; a null id is smaller than any other. Pages are dealt out to as
+    many archives as ``archive_bytes`` of payload each ask for, so an archive takes about that, and more by its longest
+    pages. Other columns are ignored; an empty table makes archives without pages.
     """
-    small_batches(df.sparkSession)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     pages = df.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    own = F.concat_ws(":", F.col("id").cast("string"), F.hex("key"))
     narrow = written(pages.select("id", "key", F.octet_length("payload").cast("long").alias("n")), "payloads")
     archives = max(1, math.ceil((narrow.agg(F.sum("n")).first()[0] or 0) / archive_bytes))
     narrow = narrow.where(F.col("n") >= min_bytes).select("id", "key")
     tops = narrow.groupBy("key").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top IS NOT NULL").drop("n")
     revisits = narrow.join(tops, "key").where("id IS NULL OR id < top").distinct()
-    revisits = revisits.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "top")
+    revisits = revisits.select(own.alias("__own"), "top")
     # revisits are a hash table a partition: page ids deal them out evenly, and the payloads need no sort
     revisits = revisits.hint("shuffle_hash")
-    wide = pages.join(revisits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("id", "url", "payload", "key", "top")
+    dealt = pages.withColumn("own", own).repartition(archives, "own")
+    wide = dealt.join(revisits, F.col("own") == F.col("__own"), "left").select("id", "url", "payload", "key", "top")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _record(b"software: tidegate\r\nformat: WARC File Format 1.1\r\n", WARC_Type="warcinfo", WARC_Record_ID="<urn:x-info>", WARC_Date=_DATE, Content_Type="application/warc-fields")
         out, held = [first], 0
-        for batch in batches:
+        for batch in pieces:
             for i, u, p, k, top in zip(*batch.columns, strict=True):
                 i, k, top = i.as_py(), k.as_py(), top.as_py()
                 for r in records(i, u.as_py(), p.as_py(), k, None if top is None else record_id(top, k), segment_bytes, chunk_bytes):
                     out.append(r)
                     held += len(r)
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out, held = [], 0
+                    if held > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     lines = wide.coalesce(archives).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    with batches(df.sparkSession):
+        lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -312,7 +315,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     payload_digest, valid, and the payload itself if asked for.
 
     ``valid`` is false where segments are missing, the total length differs, the framing is broken or the
-    stated digest is another; such records are returned all the same. Archives may be gzipped.
+    stated digest is another; such records are returned all the same. Records that repeat an identifier are returned each,
+    segmented ones as often as all their segments are there; fields that a record lacks are null, other fields are left out.
+    Archives may be gzipped; those without records give no rows. The session's Arrow batches stay small afterwards.
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
