@@ -36,6 +36,21 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
 
+def _alike(a: str, b: str) -> int:
+    """Characters that both begin with, found by halves."""
+    hi = min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    lo = 0  # the first lo characters are equal, the first hi aren't
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
 class Model:
     def __init__(self, serialized: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -162,9 +177,7 @@ class Model:
         if self.n_pairs > PAIRS_KEPT:
             self.pairs, self.n_pairs = {-1: {}}, 0
         for word in sorted(words):
-            same = 0
-            while before[: same + 1] == word[: same + 1] and same < len(word):
-                same += 1
+            same = _alike(before, word)
             del start[same + 1 :], best[same + 1 :], last[same + 1 :]
             before, i = word, len(word)
             if self.kind == BPE:
@@ -235,7 +248,10 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the piece ids of ``text``; null and empty texts have none. A column named like ``ids`` is
-    replaced. ``path`` names the model's file, which every executor has. Rows are encoded alone."""
+    replaced. ``path`` names the model's file, which every executor has. Rows are encoded alone, so ties and repeated
+    rows change nothing; an empty table gives an empty table. A text is taken whole, however long: a task holds
+    about BLOCK_CHARS characters, or one longer text, with its ids. The session's Arrow batches stay small afterwards.
+    """
     small_batches(df.sparkSession)
     schema = df.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
 
@@ -254,7 +270,9 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids``; null for null. A column named like ``text`` is replaced."""
+    """``df`` with the text of ``ids``; null for null, empty for none. A column named like ``text`` is replaced. Rows are
+    decoded alone and whole; an empty table gives an empty table. The session's Arrow batches stay small afterwards.
+    """
     small_batches(df.sparkSession)
     schema = df.drop(text).schema.add(text, "string")
 
