@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import jaccard, mixing, pieces, pii
 from tidegate.llm import quality as rules
 from tidegate.llm._scratch import written
-from tidegate.llm.queries import tokenizer_path
+from tidegate.llm.queries import pseudonym_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, pseudonym_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
