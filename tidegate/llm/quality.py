@@ -19,8 +19,8 @@ from tidegate.llm._text import SPACE
 
 #: Rows of the sample that the order is chosen on, and characters of a text that may be in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 50_000
-#: Times that a sample is gone through, at first and at most, until a rule's cost stands out.
-TIMES, MOST_TIMES = 4, 64
+#: Times that a job goes through the sample, so that what a rule costs stands out from what a job costs.
+TIMES = 12
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -133,22 +133,12 @@ def order_rules(df: DataFrame, text: str = "text", names: tuple[str, ...] = tupl
     if not sample:
         return list(names)
     local = df.sparkSession.createDataFrame(sample, "t string").coalesce(1).withColumn("w", words(F.col("t")))
-    x, idle, found = Text(F.col("t"), F.col("w")), {}, []
-
-    def again(times: int) -> DataFrame:
-        return local.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))
-
+    local = local.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+    x, found, idle = Text(F.col("t"), F.col("w")), [], _seconds(local, F.size("w") < 0)[0]
     for name in names:
-        times = TIMES
-        while True:
-            if times not in idle:
-                idle[times] = _seconds(again(times), F.size("w") < 0)[0]
-            took, n = _seconds(again(times), RULES[name](x))
-            if took > 1.5 * idle[times] or times >= MOST_TIMES:
-                break
-            times *= 4
-        cost = max(took - idle[times], idle[times] * 0.01) / (times * len(sample))
-        found.append(((n / (times * len(sample)) + 1e-4) / cost, name))
+        took, n = _seconds(local, RULES[name](x))
+        cost = max(took - idle, idle * 0.01) / (TIMES * len(sample))
+        found.append(((n / (TIMES * len(sample)) + 1e-4) / cost, name))
     return [name for _, name in sorted(found, key=lambda f: -f[0])]
 
 
