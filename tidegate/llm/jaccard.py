@@ -73,8 +73,8 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-_SCAN = "id long, key long, n long, fp binary, c long, b0 long, b1 long, b2 long, b3 long, part int, counts binary"
-_SCAN_ARROW = pa.schema([*((x, pa.int64()) for x in ("id", "key", "n")), ("fp", pa.binary()), *((x, pa.int64()) for x in ("c", "b0", "b1", "b2", "b3")), ("part", pa.int32()), ("counts", pa.binary())])
+_SCAN = "id long, key long, key2 int, n long, fp binary, c long, b0 long, b1 long, b2 long, b3 long, part int, counts binary"
+_SCAN_ARROW = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("key2", pa.int32()), ("n", pa.int64()), ("fp", pa.binary()), *((x, pa.int64()) for x in ("c", "b0", "b1", "b2", "b3")), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def _class(fp: bytes | None) -> int | None:
@@ -101,7 +101,7 @@ def _scanned(n: int, lower: bool):
                 sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
             packed, m = np.packbits(bits, axis=1).view(np.int64), len(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array([_class(f) for f in fp], pa.int64()), *(pa.array(packed[:, k]) for k in range(4)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [batch.column("id"), batch.column("key"), batch.column("key2"), pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array([_class(f) for f in fp], pa.int64()), *(pa.array(packed[:, k]) for k in range(4)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 schema=_SCAN_ARROW,
             )
         parts, task = [p.tobytes() for p in np.split(sketch, SKETCH_PARTS)], np.full(SKETCH_PARTS, TaskContext.get().partitionId(), np.int64)
@@ -231,20 +231,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         blob = [z.compress((t.as_py() or "").encode()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blob, pa.binary())], names=["id", "blob"])
-
-
-def _own(n: int, lower: bool):
-    """Texts that have the set they stand for: ids may repeat."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            texts = pa.array([unzip(b.as_py()).decode() for b in batch.column("blob")], pa.string())
-            keep = [_digest(s) == f.as_py() for s, f in zip(_sets(texts, n, lower), batch.column("fp"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("blob")], names=["c", "blob"]).filter(pa.array(keep))
-
-    return run
+        yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("key2"), pa.array(blob, pa.binary())], names=["own", "key2", "blob"])
 
 
 def _verified(n: int, lower: bool, bounds: Bounds):
@@ -291,12 +278,14 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     """
     bounds = Bounds(*threshold)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = docs.select("id", F.xxhash64("text").alias("key"), "text")
+    # a row is known by its id and text, as 96 bits of hashes; repeated rows share them
+    keys = docs.select("id", F.xxhash64("text").alias("key"), F.hash("text").alias("key2"), "text")
+    own = F.xxhash64("id", "key", "key2").alias("own")
     scan = written(keys.mapInArrow(_scanned(n, lower), _SCAN), "sets")
-    rows = scan.where("part IS NULL").select("id", "key", "n", "fp", "c", "b0", "b1", "b2", "b3")
+    rows = scan.where("part IS NULL").select("id", "key", own, "key2", "n", "fp", "c", "b0", "b1", "b2", "b3")
     sketch = _sketch(scan)
     bitmap = [f"b{k}" for k in range(4)]
-    classes = rows.where("fp IS NOT NULL").groupBy("fp", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(b).alias(b) for b in bitmap])
+    classes = rows.where("fp IS NOT NULL").groupBy("fp", "c").agg(F.min("id").alias("least"), F.min(F.struct("own", "key2")).alias("body"), F.count(F.lit(1)).alias("copies"), *[F.first(b).alias(b) for b in bitmap])
     # by the number of texts: few tasks and files where they are few
     n_texts = scan.count()
     classes = written(classes.coalesce(max(1, n_texts // TASK_CLASSES)), "classes")
@@ -304,12 +293,14 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     posting = docs.select("text").mapInArrow(_postings(n, lower, bounds, sketch), "token long, c long, w long")
     met = posting.repartition(F.col("token"), group).sortWithinPartitions(F.col("token"), group, F.col("c")).mapInArrow(_met, "token long, c long, n long, pos long, hot long")
     met = written(met.join(classes.select("c", *bitmap), "c").select("token", "c", "n", "pos", "hot", *bitmap), "postings")
-    # one text of each class that met another; its own table, so that the join with the texts is sized by it
-    wanted = written(met.select("c").distinct().join(classes.select("c", "fp", "least"), "c").coalesce(max(1, n_texts // TASK_CLASSES)), "wanted")
-    bodies = docs.mapInArrow(_zipped, "id long, blob binary").join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("c", "fp", "blob").mapInArrow(_own(n, lower), "c long, blob binary")
-    bodies = written(bodies.dropDuplicates(["c"]).coalesce(max(1, n_texts // TASK_BODIES)), "bodies")
+    # the text of one row of each class that met another; what repeats a row is dropped where the join has put it
+    wanted = written(met.select("c").distinct().join(classes.select("c", "body.own", "body.key2"), "c").coalesce(max(1, n_texts // TASK_CLASSES)), "wanted")
+    zipped = keys.select(own, "key2", "text").mapInArrow(_zipped, "own long, key2 int, blob binary")
+    bodies = zipped.join(wanted, ["own", "key2"]).dropDuplicates(["own", "key2"]).select("c", "blob")
+    bodies = written(bodies.coalesce(max(1, n_texts // TASK_BODIES)), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")  # its size decides whether it or the texts move
         a, b = (bodies.select(F.col("c").alias(f"c_{x}"), F.col("blob").alias(f"blob_{x}")) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("c_a")).join(b, F.col("b") == F.col("c_b")).select("a", "b", "blob_a", "blob_b")
         return written(both.mapInArrow(_verified(n, lower, bounds), "a long, b long, linked boolean"), "verified")
