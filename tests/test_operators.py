@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators import paging, state, usercode
+from tidegate.functions import jsonrpc
+from tidegate.operators import paging, state, status, usercode
 from tidegate.operators.state import Bucket
 
 
@@ -54,6 +55,48 @@ def test_functions_by_name():
     assert f.names() == "add|Сложить"
 
 
+def test_functions_in_sql(spark):
+    f = usercode.Functions()
+
+    @f.register("tidegate_add", "tidegate_plus")
+    def add(a, b=2):
+        return a + b
+
+    f.in_sql(spark, "TIDEGATE_ADD", "long")
+    assert [tuple(r) for r in spark.sql("SELECT tidegate_add(id), tidegate_plus(id, id) FROM range(3) ORDER BY id").collect()] == [(2, 0), (3, 2), (4, 4)]
+    with pytest.raises(LookupError):
+        f.in_sql(spark, "nothing", "long")
+
+
+def test_session_ids_differ(spark):
+    made = state.sessions_created(spark.range(200), F.lit("v"), F.current_timestamp())
+    assert made.select("session_id").distinct().count() == 200
+
+
+def test_buckets_by_any_key(spark):
+    df = spark.createDataFrame([("c3", "a", "2024-01-01"), ("c3", "b", "2024-01-01"), (None, "c", "2024-01-01"), (None, "d", "2024-01-01"), ("x", "e", "2024-01-01")], "k string, i string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    got = state.token_bucket(df, "t", "i", "k", 1.0, 0.0).collect()
+    assert {(r.key, r.id): r.allowed for r in got} == {("c3", "a"): True, ("c3", "b"): False, (None, "c"): True, (None, "d"): False, ("x", "e"): True}
+
+
+def test_answers_and_arguments(spark):
+    rows = ['{"id":"1","body":"x\\ny"}', '{"id":"1","status":5,"b":{"z":1,"a":2},"a":null}', '{"body":[1, 2]}', "[]", "{no", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string").select("i", jsonrpc.answer_body(F.col("j")).alias("b"), jsonrpc.argument(F.col("j"), "id").alias("a"), jsonrpc.parsed(F.col("j"), F.lit("none")).alias("p")).orderBy("i").collect()
+    assert [r.b for r in got][:3] == ["x\ny", '{"a":null,"b":{"a":2,"z":1}}', "[1,2]"]
+    assert [r.a for r in got] == ['"1"', '"1"', None, None, None, None] and [r.p for r in got][3:] == ["[]", "none", "none"]
+
+
+def test_runtime_status(spark):
+    steps = [(1, "start", "r1", "t1", 0, 9, ""), (2, "progress", "", "", 3, 9, "half"), (3, "failure", "", "", 0, 0, "broke"), (4, "start", "r2", "t2", 0, 5, ""), (5, "success", "", "", 0, 0, "done"), (6, "progress", "", "", 4, 5, "after")]
+    log = spark.createDataFrame([(*s, str(s[0])) for s in steps], "at int, step string, request_id string, tool string, progress int, total int, message string, updated_at string")
+    show = lambda n: tuple(status.runtime_status(log.where(F.col("at") <= n), ["at"]).first())
+    assert show(0) == (False, "", "", 0, 0, "Idle", "", "", "")
+    assert show(2) == (True, "r1", "t1", 3, 9, "half", "", "", "2")
+    assert show(3) == (False, "r1", "t1", 3, 9, "Failed.", "", "broke", "3")
+    assert show(4) == (True, "r2", "t2", 0, 5, "Started.", "", "", "4")
+    assert show(6) == (False, "r2", "t2", 4, 5, "after", "done", "", "6")
+
+
 def test_registry_keeps_the_last_valid_version(spark):
     df = spark.createDataFrame([("tools", 1, "[1]"), ("tools", 2, "{"), ("tools", 3, "{}"), ("prompts", 1, None)], "r string, v int, p string")
     assert [tuple(r) for r in state.registry_latest(df, "r", ["v"], "p").collect()] == [("tools", 1, "[1]")]

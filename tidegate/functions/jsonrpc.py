@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PROTOCOL_VERSION, PARSE_ERROR, METHOD_NOT_FOUND, INVALID_PARAMS, SERVER_ERROR = "2025-03-26", -32700, -32601, -32602, -32000
@@ -12,6 +15,18 @@ def dumped(x: Column) -> Column:
     return F.to_json(x, {"ignoreNullFields": "false"})
 
 
+@contextmanager
+def duplicate_keys(spark: SparkSession) -> Iterator[None]:
+    """Of a key that an object has twice the last value holds in expressions made within; else such an object is no JSON."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def kind(json: Column) -> Column:
     """OBJECT, ARRAY, VOID (null) or a scalar type; null where the text is no JSON."""
     return F.regexp_extract(F.schema_of_variant(F.try_parse_json(json)), "^[A-Z]+", 0)
@@ -28,6 +43,34 @@ def field(json: Column, path: str, default: str | None = None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def argument(arguments: Column, name: str) -> Column:
+    """An argument by name, as JSON; null where there is none, or arguments are no object."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(arguments), f"$.{name}", "variant"))
+
+
+def parsed(text: Column, default: Column) -> Column:
+    """The text as compact JSON with sorted keys; the default where it is empty or no JSON."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), default)
+
+
+def answer_body(json: Column, without: Sequence[str] = ("id", "status", "content_type")) -> Column:
+    """The body of an answer: a string as it is, another value as JSON; an answer without one is its own body, without the
+    fields that address it."""
+    v = F.try_parse_json(json)
+    body = F.try_variant_get(v, "$.body", "variant")
+    text = F.when(F.schema_of_variant(body) == "STRING", F.try_variant_get(v, "$.body", "string")).otherwise(F.to_json(body))
+    keys = F.array_sort(F.array_distinct(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, without)))))
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
+    pair = lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.try_variant_get(v, F.concat(F.lit("$['"), k, F.lit("']")), "variant")))
+    rest = F.concat(F.lit("{"), F.array_join(F.transform(keys, pair), ","), F.lit("}"))
+    return F.when(has_key(json, "body"), text).otherwise(rest)
+
+
+def now_millis() -> Column:
+    """The clock, in milliseconds since 1970."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def array_length(json: Column) -> Column:
     return F.coalesce(F.json_array_length(json), F.lit(0))
 
@@ -60,8 +103,13 @@ def tool_result(body: Column) -> Column:
     return wrapped(body, "content", text_result(body, F.lit(False)))
 
 
+def resource_contents(text: Column, uri: Column, mime: str | Column = "application/json") -> Column:
+    mime = F.lit(mime) if isinstance(mime, str) else mime
+    return dumped(F.struct(F.array(F.struct(mime.alias("mimeType"), text.alias("text"), uri.alias("uri"))).alias("contents")))
+
+
 def resource_result(body: Column, uri: Column) -> Column:
-    return wrapped(body, "contents", dumped(F.struct(F.array(F.struct(F.lit("text/plain").alias("mimeType"), body.alias("text"), uri.alias("uri"))).alias("contents"))))
+    return wrapped(body, "contents", resource_contents(body, uri, "text/plain"))
 
 
 def prompt_result(body: Column) -> Column:
@@ -93,11 +141,50 @@ def log_line(at: Column, text: Column, longest: int = 300) -> Column:
     return F.format_string("[%d] %s", F.unix_millis(at.cast("timestamp")), F.substring(text, 1, longest))
 
 
-def tool(name: Column, description: Column, parameters: dict[str, tuple[str, str]], required: list[str], read_only: bool = True) -> Column:
-    """A tool's definition: parameters are name -> (type, description)."""
-    properties = F.struct(*[F.struct(F.lit(d).alias("description"), F.lit(t).alias("type")).alias(p) for p, (t, d) in sorted(parameters.items())])
-    schema = F.struct(properties.alias("properties"), F.array(*map(F.lit, required)).alias("required"), F.lit("object").alias("type"))
-    return dumped(F.struct(F.struct(F.lit(read_only).alias("readOnlyHint")).alias("annotations"), description.alias("description"), schema.alias("inputSchema"), name.alias("name")))
+def schema(properties: dict[str, tuple[str, str]], required: Sequence[str]) -> Column:
+    """An object's schema: properties are name -> (type, description)."""
+    of = F.struct(*[F.struct(F.lit(d).alias("description"), F.lit(t).alias("type")).alias(p) for p, (t, d) in sorted(properties.items())])
+    return F.struct(of.alias("properties"), F.array(*map(F.lit, required)).alias("required"), F.lit("object").alias("type"))
+
+
+def annotations(read_only: bool = False, destructive: bool = False, idempotent: bool = False, open_world: bool = False) -> Column:
+    hints = {"destructiveHint": destructive, "idempotentHint": idempotent, "openWorldHint": open_world, "readOnlyHint": read_only}
+    return F.struct(*[F.lit(v).alias(k) for k, v in hints.items()])
+
+
+def tool(name: Column, description: Column, input: Column, output: Column | None = None, hints: Column | None = None) -> Column:
+    """A tool's definition; hints and the schema of its result stand only where they are given."""
+    fields = [description.alias("description"), input.alias("inputSchema"), name.alias("name")]
+    fields = ([hints.alias("annotations")] if hints is not None else []) + fields + ([output.alias("outputSchema")] if output is not None else [])
+    return dumped(F.struct(*fields))
+
+
+def tool_event(id: Column, tool: Column, arguments: Column, token: Column) -> Column:
+    """A call as the host gets it; the progress token stands only where the caller gave one."""
+
+    def of(*more: Column) -> Column:
+        return dumped(F.struct(arguments.alias("arguments"), id.alias("id"), *more, tool.alias("tool"), F.lit("tool_call").alias("type")))
+
+    return F.when(token.isNull(), of()).otherwise(of(token.alias("progressToken")))
+
+
+def resource_event(id: Column, uri: Column) -> Column:
+    return dumped(F.struct(id.alias("id"), F.lit("resource_read").alias("type"), uri.alias("uri")))
+
+
+def prompt_event(id: Column, name: Column, arguments: Column) -> Column:
+    return dumped(F.struct(arguments.alias("arguments"), id.alias("id"), name.alias("name"), F.lit("prompt_get").alias("type")))
+
+
+def forwarded(id: Column, method: Column, path: Column, body: Column, content_type: Column, params: Column) -> Column:
+    """A request of another route as the host gets it; ``params`` are (key, value) structs."""
+    sorted_ = F.map_from_entries(F.array_sort(params))
+    return dumped(F.struct(body.alias("body"), content_type.alias("content_type"), id.alias("id"), method.alias("method"), sorted_.alias("params"), path.alias("path")))
+
+
+def answer(id: Column, body: Column) -> Column:
+    """The host's answer to a call."""
+    return dumped(F.struct(body.alias("body"), id.alias("id")))
 
 
 def reply(id: Column, status: int, body: Column) -> Column:

@@ -80,13 +80,13 @@ def _range_count(df: DataFrame) -> int:
     return max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE, near: int = NEAR) -> DataFrame:
+def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE, near: int | None = None) -> DataFrame:
     """The rows of a page, in order, with next_cursor: where the next page begins, null on the last.
 
     A page that lies deep is looked for by counts: the ranges that hold it are read again, in finer ranges, until few rows
     stand before it there.
     """
-    end, left, rows, near = offset + size, offset, df, max(near, size)
+    end, left, rows, near = offset + size, offset, df, max(NEAR if near is None else near, size)
     if offset <= near:
         total = F.col("__total")
         rows = df.orderBy(*order).offset(offset).limit(size).crossJoin(df.agg(F.count(F.lit(1)).alias("__total")))

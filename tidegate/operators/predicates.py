@@ -37,6 +37,11 @@ def accepts_events(accept: Column) -> Column:
     return F.coalesce(accept, F.lit("")).contains(EVENT_STREAM)
 
 
+def stream_opening(accept: Column) -> Column:
+    """What a request to listen gets: 200, or 406 where it doesn't take event streams."""
+    return F.when(accepts_events(accept), 200).otherwise(406)
+
+
 def streams_answer(accept: Column, progress_token: Column) -> Column:
     """An answer is streamed to a client that takes event streams and gave a progress token."""
     return accepts_events(accept) & progress_token.isNotNull()
@@ -62,6 +67,11 @@ def missing(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) == ""
 
 
+def required(value: Column, parameter: str) -> Column:
+    """The error of a required parameter that is missing, else null."""
+    return F.when(missing(value), F.lit(f"Missing '{parameter}' in params"))
+
+
 def handled(name: Column, handlers: dict[str, str], kind: str) -> Column:
     """The handler of a name, by first match; else what an unknown one is answered."""
     out = F.concat(F.lit(f"Unknown {kind}: "), F.coalesce(name, F.lit("")))

@@ -29,12 +29,13 @@ class Bucket:
 
 
 def token_bucket(df: DataFrame, ts: str, id: str, key: str | None = None, most: float = MAX_TOKENS, rate: float = PER_SECOND) -> DataFrame:
-    """Rows (key, id, allowed) by one bucket, or one for each ``key``, in order of ts and id.
+    """Rows (key, id, allowed) by one bucket, or one for each ``key``, in order of ts and id. Keys and ids are of any type;
+    null is a key of its own.
 
     A bucket is a sequence by nature, so one for everybody is one task; its rows stream through in sorted order
     and only the bucket is held. Buckets by key are dealt out.
     """
-    rows = df.select((F.col(key) if key else F.lit(0)).cast("long").alias("key"), F.col(id).cast("long").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
+    rows = df.select((F.col(key) if key else F.lit(0)).alias("key"), F.col(id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bucket = None, None
@@ -44,9 +45,9 @@ def token_bucket(df: DataFrame, ts: str, id: str, key: str | None = None, most:
                 if bucket is None or k != at:
                     at, bucket = k, Bucket(most, rate)
                 out.append(bucket.allow(m))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(out)], names=["key", "id", "allowed"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(out, pa.bool_())], names=["key", "id", "allowed"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "micros", "id").mapInArrow(run, "key long, id long, allowed boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "micros", "id").mapInArrow(run, rows.drop("micros").schema.add("allowed", "boolean"))
 
 
 def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -61,6 +62,16 @@ def session_state(log: DataFrame, key: str, order: list[str], event: str, delete
     return last.select(key, F.col(event).alias("last_event"), F.col(order[0]).alias("last_activity"), (~deleted).alias("active"))
 
 
+def session_id() -> Column:
+    """A random identifier in the form of a UUID of version 4; another one whenever it is computed, so store it."""
+    return F.expr("uuid()")
+
+
+def sessions_created(requests: DataFrame, version: Column, at: Column) -> DataFrame:
+    """Requests that open a session, with the row of state that each inserts: the id goes back in the answer's header."""
+    return requests.select("*", session_id().alias("session_id"), version.alias("protocol_version"), F.lit(True).alias("initialized"), at.alias("created_at"), at.alias("last_activity"))
+
+
 def session_check(requests: DataFrame, sessions: DataFrame, sid: str) -> DataFrame:
     """Requests with http: 200 without a session id or with that of an active session, else 404."""
     active = sessions.where("active").select(F.col("sid").alias("__sid"))
@@ -78,6 +89,12 @@ def is_registry(payload: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("ARRAY"), F.lit(False))
 
 
+def replace_outcome(payload: Column, registry: str | Column) -> Column:
+    """Null where a version replaces the registry, else the error that it gets."""
+    name = F.lit(registry) if isinstance(registry, str) else registry
+    return F.when(~is_registry(payload), F.concat(F.lit("Invalid JSON array for "), name))
+
+
 def registry_latest(versions: DataFrame, registry: str, version: list[str], payload: str) -> DataFrame:
     """The last valid payload of each registry; invalid ones leave the old in place."""
     return latest(versions.where(is_registry(F.col(payload))), registry, version, [*version, payload])

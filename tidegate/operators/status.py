@@ -1,13 +1,30 @@
-"""Counts and listings of the service and of the catalog."""
+"""Counts, listings and state of the service and of the catalog."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Kinds of object in the order of the summary, and what the lines of one are called.
+KINDS = {"Catalogs": "Catalog", "Documents": "Document", "Information Registers": "InformationRegister", "Accumulation Registers": "AccumulationRegister"}
+
+
+@dataclass
+class Settings:
+    """What the service was started with."""
+
+    running: bool = True
+    port: int = 8765
+    logging_enabled: bool = False
+    log_path: str = ""
+    token: str = ""
+    version: str = "1.0"
+
 
 def one_row(**parts: DataFrame) -> DataFrame:
     """A row of counts, one for each frame."""
@@ -15,17 +32,66 @@ def one_row(**parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.crossJoin, counted)
 
 
+def service_status(settings: Settings, pending: DataFrame, tools: DataFrame, resources: DataFrame, prompts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row: the counts of open requests, definitions and sessions, and the settings, in order of name."""
+    counts = one_row(pending_requests=pending, tools_registered=tools, resources_registered=resources, prompts_registered=prompts, active_sessions=sessions)
+    known = {"running": settings.running, "port": settings.port, "logging_enabled": settings.logging_enabled, "log_path": settings.log_path, "auth_enabled": bool(settings.token), "version": settings.version}
+    return counts.withColumns({k: F.lit(v) for k, v in known.items()}).select(*sorted([*counts.columns, *known]))
+
+
+def runtime_status(log: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The runtime's state after its log, for each of ``keys`` or for all: one row of nine fields.
+
+    The log has request_id, tool, step (start, progress, success or failure; others are ignored), progress, total, message
+    and updated_at. Each field is the value of the last step that sets it, so sums are combined before the shuffle.
+    """
+    step, at = F.col("step"), F.struct(*order)
+
+    def last(value: Column, *steps: str, start: Column) -> Column:
+        return F.coalesce(F.max_by(value, F.when(step.isin(*steps), at)), start)
+
+    empty, zero = F.lit(""), F.lit(0)
+    ended = ("start", "success", "failure")
+    message = F.when(step == "start", "Started.").when(step == "progress", F.col("message")).when(step == "success", "Completed.").otherwise("Failed.")
+    fields = [
+        last(step == "start", *ended, start=F.lit(False)).alias("IsBusy"),
+        last(F.col("request_id"), "start", start=empty).alias("CurrentRequestID"),
+        last(F.col("tool"), "start", start=empty).alias("CurrentTool"),
+        last(F.when(step == "start", 0).otherwise(F.col("progress")), "start", "progress", start=zero).alias("Progress"),
+        last(F.col("total"), "start", "progress", start=zero).alias("Total"),
+        last(message, "start", "progress", "success", "failure", start=F.lit("Idle")).alias("ProgressMessage"),
+        last(F.col("message"), "success", start=empty).alias("LastResult"),
+        last(F.when(step == "failure", F.col("message")).otherwise(empty), *ended, start=empty).alias("LastError"),
+        last(F.col("updated_at"), "start", "progress", "success", "failure", start=empty).alias("UpdatedAt"),
+    ]
+    return log.groupBy(*keys).agg(*fields)
+
+
+def combined(runtime: DataFrame, component: DataFrame | None) -> DataFrame:
+    """One row of two structs, componentStatus and runtimeStatus; a service that isn't there is one that doesn't run."""
+    state = runtime.select(F.struct(*sorted(runtime.columns)).alias("runtimeStatus"))
+    if component is None:
+        return state.select(F.struct(F.lit(False).alias("running")).alias("componentStatus"), "runtimeStatus")
+    return component.select(F.struct(*sorted(component.columns)).alias("componentStatus")).crossJoin(state)
+
+
+def synonym(name: str) -> str:
+    return name.replace("_", " ").capitalize()
+
+
 def catalog_metadata(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """name, synonym, attributeCount and tabularsCount (columns that hold rows) of each table, from schemas alone."""
-    rows = [(name, name.replace("_", " ").capitalize(), len(df.schema), sum(isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) for f in df.schema)) for name, df in tables.items()]
+    rows = [(name, synonym(name), len(df.schema), sum(isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) for f in df.schema)) for name, df in tables.items()]
     return spark.createDataFrame(rows, "name string, synonym string, attributeCount int, tabularsCount int")
 
 
-def metadata_summary(metadata: DataFrame) -> DataFrame:
-    """The listing as text: a count, then a line for each object in order of name, each with its line end."""
-    line = F.concat("name", F.lit(": "), F.col("attributeCount").cast("string"), F.lit(" attributes"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return metadata.agg(F.count(F.lit(1)).alias("n"), lines.alias("body")).select(F.concat(F.lit("Tables: "), F.col("n").cast("string"), F.lit("\n"), F.col("body")).alias("summary"))
+def metadata_summary(spark: SparkSession, objects: dict[str, Sequence[str]]) -> DataFrame:
+    """The listing as text: a count of each kind, then a line for each catalog and document in the given order."""
+    kinds = [(-1, k, f"{label}: {len(objects.get(label, ()))}") for k, label in enumerate(KINDS)]
+    lines = [(k, i, f"  - {KINDS[label]}.{name} ({synonym(name)})") for k, label in enumerate(list(KINDS)[:2]) for i, name in enumerate(objects.get(label, ()))]
+    rows = spark.createDataFrame(kinds + lines, "kind int, pos int, line string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))
+    return rows.agg(F.array_join(ordered, "").alias("summary"))
 
 
 def long_task(spark: SparkSession, steps: int = 5, iterations: int = 4_000_000) -> DataFrame:

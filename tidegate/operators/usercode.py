@@ -54,3 +54,10 @@ class Functions:
         if (f := self.find(name)) is None:
             raise LookupError(f"Unknown tool: {name}")
         return f(*arguments)
+
+    def in_sql(self, spark: SparkSession, name: str, returns: str) -> None:
+        """Makes a function callable in SQL, under each name that it has; arguments with defaults may be left out there too."""
+        if (f := self.find(name)) is None:
+            raise LookupError(f"Unknown tool: {name}")
+        for known in (n for n, g in self.by_name.items() if g is f):
+            spark.udf.register(known, F.udf(f, returns, useArrow=True))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.functions import jsonrpc, urls
+from tidegate.functions import jsonrpc, prompts, urls
 from tidegate.operators import correlate, paging, predicates, state, status, usercode
 from tidegate.sources.tables import table
 
@@ -86,16 +86,41 @@ def request_ids(spark, sf_dir):
     return placed.select("event_id", F.concat(F.lit("req_"), (F.col("pos") + 1).cast("string")).alias("request_id"))
 
 
+def _listed(rows, key: str, definition, name: str):
+    """The message of one page of definitions: fifty at most."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), definition.alias("item")))), lambda x: x["item"])
+    one = rows.agg(items.alias("items"), F.max("next_cursor").alias("next"))
+    last = jsonrpc.result(F.lit(1), F.struct(F.col("items").alias(name)))
+    more = F.struct(F.col("next").alias("nextCursor"), F.col("items").alias(name)) if name > "nextCursor" else F.struct(F.col("items").alias(name), F.col("next").alias("nextCursor"))
+    return one.select(F.when(F.col("next").isNull(), last).otherwise(jsonrpc.result(F.lit(1), more)).alias("message"))
+
+
 @query("""WITH p AS (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50)
 SELECT '{"id":1,"jsonrpc":"2.0","result":{"nextCursor":"50","tools":[' ||
        string_agg('{"description":"' || o_orderstatus || '","name":"' || o_orderkey || '"}', ',' ORDER BY o_orderkey) || ']}}' AS message
 FROM p""")
 def list_tools_message(spark, sf_dir):
     rows = paging.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 0)
-    # one page: fifty rows at most
-    tool = F.struct(F.col("o_orderstatus").alias("description"), F.col("o_orderkey").cast("string").alias("name"))
-    tools = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", tool.alias("tool")))), lambda x: x["tool"])
-    return rows.agg(tools.alias("tools"), F.max("next_cursor").alias("next")).select(jsonrpc.result(F.lit(1), F.struct(F.col("next").alias("nextCursor"), F.col("tools"))).alias("message"))
+    return _listed(rows, "o_orderkey", F.struct(F.col("o_orderstatus").alias("description"), F.col("o_orderkey").cast("string").alias("name")), "tools")
+
+
+@query("""WITH p AS (SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100)
+SELECT '{"id":1,"jsonrpc":"2.0","result":{"nextCursor":"150","resources":[' ||
+       string_agg(to_json({description: source, mimeType: 'text/plain', name: lang, uri: 'doc://' || doc_id})::VARCHAR, ',' ORDER BY doc_id) || ']}}' AS message
+FROM p""")
+def list_resources_message(spark, sf_dir):
+    rows = paging.page(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["doc_id"], 100)
+    uri = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
+    return _listed(rows, "doc_id", F.struct(F.col("source").alias("description"), F.lit("text/plain").alias("mimeType"), F.col("lang").alias("name"), uri.alias("uri")), "resources")
+
+
+@query("""SELECT to_json({id: 1, jsonrpc: '2.0', result: {prompts: list({arguments: [{description: 'About what', name: 'topic', required: item_id % 2 = 0}], description: substr(text, 1, 20), name: 'p' || item_id} ORDER BY item_id)}})::VARCHAR AS message
+FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 40)""")
+def list_prompts_message(spark, sf_dir):
+    """The last page, which has no cursor."""
+    rows = paging.page(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(40), ["item_id"], 0)
+    argument = F.struct(F.lit("About what").alias("description"), F.lit("topic").alias("name"), (F.col("item_id") % 2 == 0).alias("required"))
+    return _listed(rows, "item_id", F.struct(F.array(argument).alias("arguments"), F.substring("text", 1, 20).alias("description"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name")), "prompts")
 
 
 # Admission
@@ -133,6 +158,12 @@ def accept_mode(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", predicates.accepts_events(accept).alias("accepts"), predicates.streams_answer(accept, token).alias("streams"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 200 ELSE 406 END AS http FROM events""")
+def listen_outcome(spark, sf_dir):
+    accept = F.when(F.col("event_id") % 3 == 0, F.lit("application/json, text/event-stream")).when(F.col("event_id") % 3 == 1, F.lit("application/json"))
+    return table(spark, sf_dir, "events").select("event_id", predicates.stream_opening(accept).alias("http"))
+
+
 @query("""WITH r AS (SELECT page_id, ['GET', 'POST', 'DELETE', 'OPTIONS', 'HEAD', 'TRACE'][1 + page_id % 6] AS verb,
     CASE page_id % 4 WHEN 0 THEN '/mcp' WHEN 1 THEN '/health' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path FROM pages)
 SELECT page_id, verb, path, CASE WHEN verb IN ('GET', 'HEAD') AND path = '/health' THEN 'health' WHEN verb IN ('GET', 'HEAD') AND path = '/mcp' THEN 'events'
@@ -166,6 +197,14 @@ def token_bucket_global(spark, sf_dir):
     return state.token_bucket(table(spark, sf_dir, "events"), "ts", "event_id", None, 3.0, 0.002).select(F.col("id").alias("event_id"), "allowed")
 
 
+@query(_BUCKET_SQL.format(key="'session-' || user_id", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + "SELECT k AS session_id, 'req_' || event_id AS request_id, allowed FROM b")
+def token_bucket_by_session(spark, sf_dir):
+    """Keys and ids are text here."""
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    log = table(spark, sf_dir, "events").select(text("session-", "user_id").alias("session_id"), text("req_", "event_id").alias("request_id"), "ts")
+    return state.token_bucket(log, "ts", "request_id", "session_id", 3.0, 0.00005).select(F.col("key").alias("session_id"), F.col("id").alias("request_id"), "allowed")
+
+
 @query(_BUCKET_SQL.format(key="user_id", rows="(SELECT * FROM events WHERE event_id % 5 <> 0 AND event_id % 4 <> 0)", most="CAST(2.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + """
 SELECT e.event_id, CASE WHEN e.event_id % 5 = 0 THEN 403 WHEN e.event_id % 4 = 0 THEN 401 WHEN b.allowed THEN 200 ELSE 429 END AS http
 FROM events e LEFT JOIN b ON e.event_id = b.event_id""")
@@ -234,6 +273,20 @@ def registry_changes(spark, sf_dir):
     return _versions(spark, sf_dir).where(state.is_registry(F.col("payload"))).select("conv_id", "turn", jsonrpc.changed(F.col("registry")).alias("message"))
 
 
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'Invalid JSON array for ' || registry END AS error FROM ({_VERSIONS})""")
+def registry_outcome(spark, sf_dir):
+    return _versions(spark, sf_dir).select("conv_id", "turn", state.replace_outcome(F.col("payload"), F.col("registry")).alias("error"))
+
+
+@query("""SELECT event_id, '2025-03-26' AS protocol_version, true AS initialized, ts AS created_at, ts AS last_activity, true AS well_formed FROM events WHERE event_type = 'signup'""")
+def session_create(spark, sf_dir):
+    """The identifier itself is random; its form is shown."""
+    opened = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", "ts")
+    rows = state.sessions_created(opened, F.lit(jsonrpc.PROTOCOL_VERSION), F.col("ts"))
+    form = F.col("session_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return rows.select("event_id", "protocol_version", "initialized", "created_at", "last_activity", form.alias("well_formed"))
+
+
 # Requests and answers
 
 
@@ -264,6 +317,15 @@ def response_correlation(spark, sf_dir):
     return correlate.correlated(_log(spark, sf_dir, "click", "request_id"), _log(spark, sf_dir, "purchase", "answer_id"), 3600)
 
 
+@query("""SELECT request_id, CASE WHEN outcome = 'answered' THEN 200 ELSE 504 END AS http, CASE WHEN outcome = 'answered' THEN 'answer ' || answer_id ELSE '{"error":"Timeout waiting for response"}' END AS body
+FROM (""" + ORACLES["response_correlation"] + """)""")
+def forwarded_outcome(spark, sf_dir):
+    """A forwarded request that isn't answered in time gets 504."""
+    out, answered = response_correlation(spark, sf_dir), F.col("outcome") == "answered"
+    error = jsonrpc.dumped(F.struct(F.lit("Timeout waiting for response").alias("error")))
+    return out.select("request_id", F.when(answered, 200).otherwise(504).alias("http"), F.when(answered, F.concat(F.lit("answer "), F.col("answer_id").cast("string"))).otherwise(error).alias("body"))
+
+
 @query("""SELECT r.event_id AS request_id, s.event_id AS progress_id FROM events r JOIN events s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR
 WHERE r.event_type = 'click' AND s.event_type = 'view' AND r.event_id % 2 = 0""")
 def progress_for_request(spark, sf_dir):
@@ -305,7 +367,7 @@ def fifo_delivery(spark, sf_dir):
 
 _BODY_SQL = """CASE event_id % 8 WHEN 0 THEN 'NOT A JSON' WHEN 1 THEN '{"jsonrpc":"2.0","id":' || event_id || ',"method":"tools/call","params":{"name":"' || event_type || '"}}'
   WHEN 2 THEN '{"jsonrpc":"2.0","method":"notifications/' || event_type || '"}' WHEN 3 THEN '{"jsonrpc":"2.0","id":"' || event_id || '","method":"unknown/' || event_type || '"}'
-  WHEN 4 THEN '{"jsonrpc":"2.0","id":null,"method":"unknown/method"}' WHEN 5 THEN '[1,2]' WHEN 6 THEN '{"jsonrpc":"2.0","id":1,"method":"ping"}' ELSE '' END"""
+  WHEN 4 THEN '{"jsonrpc":"2.0","id":null,"method":"unknown/method"}' WHEN 5 THEN '[1,2]' WHEN 6 THEN '{"jsonrpc":"2.0","id":1,"id":2,"method":"ping"}' ELSE '' END"""
 
 
 def _body():
@@ -313,7 +375,7 @@ def _body():
     return (
         F.when(k == 0, F.lit("NOT A JSON")).when(k == 1, F.concat(F.lit('{"jsonrpc":"2.0","id":'), e, F.lit(',"method":"tools/call","params":{"name":"'), kind, F.lit('"}}')))
         .when(k == 2, F.concat(F.lit('{"jsonrpc":"2.0","method":"notifications/'), kind, F.lit('"}'))).when(k == 3, F.concat(F.lit('{"jsonrpc":"2.0","id":"'), e, F.lit('","method":"unknown/'), kind, F.lit('"}')))
-        .when(k == 4, F.lit('{"jsonrpc":"2.0","id":null,"method":"unknown/method"}')).when(k == 5, F.lit("[1,2]")).when(k == 6, F.lit('{"jsonrpc":"2.0","id":1,"method":"ping"}')).otherwise(F.lit(""))
+        .when(k == 4, F.lit('{"jsonrpc":"2.0","id":null,"method":"unknown/method"}')).when(k == 5, F.lit("[1,2]")).when(k == 6, F.lit('{"jsonrpc":"2.0","id":1,"id":2,"method":"ping"}')).otherwise(F.lit(""))
     )
 
 
@@ -325,7 +387,8 @@ SELECT event_id, method, tool, CASE WHEN NOT ok THEN 'parse_error' WHEN method I
 def rpc_classify(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", _body().alias("body"))
     body = F.col("body")
-    rows = rows.select("event_id", F.coalesce(jsonrpc.kind(body) == "OBJECT", F.lit(False)).alias("ok"), jsonrpc.field(body, "$.method").alias("method"), jsonrpc.has_key(body, "id").alias("has_id"), jsonrpc.field(body, "$.params.name").alias("tool"))
+    with jsonrpc.duplicate_keys(spark):
+        rows = rows.select("event_id", F.coalesce(jsonrpc.kind(body) == "OBJECT", F.lit(False)).alias("ok"), jsonrpc.field(body, "$.method").alias("method"), jsonrpc.has_key(body, "id").alias("has_id"), jsonrpc.field(body, "$.params.name").alias("tool"))
     outcome = F.when(~F.col("ok"), F.lit("parse_error")).otherwise(predicates.outcome(F.col("method"), F.col("has_id")))
     code = F.when(~F.col("ok"), jsonrpc.PARSE_ERROR).when(outcome == "method_not_found", jsonrpc.METHOD_NOT_FOUND)
     return rows.select("event_id", "method", "tool", outcome.alias("outcome"), code.alias("code"))
@@ -368,26 +431,62 @@ def progress_notification(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsonrpc.progress(token, F.col("event_id") % 100, F.lit(100), note).alias("message"))
 
 
-@query("""SELECT event_id, CASE WHEN name = '' THEN to_json({error: {code: -32602, message: 'Missing required parameter: name'}, id: event_id, jsonrpc: '2.0'})::VARCHAR END AS message
-FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS name FROM events)""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN to_json({error: {code: -32602, message: 'Missing ' || chr(39) || p || chr(39) || ' in params'}, id: event_id, jsonrpc: '2.0'})::VARCHAR END AS message
+FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'uri' ELSE 'name' END AS p FROM events)""")
 def required_params(spark, sf_dir):
-    name = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.when(predicates.missing(name), jsonrpc.error(F.col("event_id"), jsonrpc.INVALID_PARAMS, F.lit("Missing required parameter: name"))).alias("message"))
+    value = F.when(F.col("event_id") % 3 != 0, F.col("event_type")).when(F.col("event_id") % 2 == 0, F.lit(""))
+    problem = F.when(F.col("event_type") == "view", predicates.required(value, "uri")).otherwise(predicates.required(value, "name"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(problem.isNotNull(), jsonrpc.error(F.col("event_id"), jsonrpc.INVALID_PARAMS, problem)).alias("message"))
 
 
-@query("""SELECT event_id, to_json({arguments: {k: event_id}, id: 'req_' || event_id, tool: event_type, type: 'tool_call'})::VARCHAR AS data FROM events""")
+@query("""SELECT event_id, CASE event_type
+WHEN 'view' THEN to_json({id: 'req_' || event_id, type: 'resource_read', uri: 'doc://' || user_id})::VARCHAR
+WHEN 'signup' THEN to_json({arguments: {k: event_id}, id: 'req_' || event_id, name: event_type, type: 'prompt_get'})::VARCHAR
+ELSE CASE WHEN event_id % 2 = 0 THEN to_json({arguments: {k: event_id}, id: 'req_' || event_id, progressToken: 't' || event_id, tool: event_type, type: 'tool_call'})::VARCHAR
+  ELSE to_json({arguments: {k: event_id}, id: 'req_' || event_id, tool: event_type, type: 'tool_call'})::VARCHAR END END AS data FROM events""")
 def host_event(spark, sf_dir):
-    data = F.struct(F.struct(F.col("event_id").alias("k")).alias("arguments"), F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("tool"), F.lit("tool_call").alias("type"))
-    return table(spark, sf_dir, "events").select("event_id", jsonrpc.dumped(data).alias("data"))
+    """Calls, reads and prompts as the host gets them."""
+    e, kind = F.col("event_id").cast("string"), F.col("event_type")
+    id, arguments = F.concat(F.lit("req_"), e), F.struct(F.col("event_id").alias("k"))
+    call = jsonrpc.tool_event(id, kind, arguments, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("t"), e)))
+    data = F.when(kind == "view", jsonrpc.resource_event(id, F.concat(F.lit("doc://"), F.col("user_id").cast("string")))).when(kind == "signup", jsonrpc.prompt_event(id, kind, arguments)).otherwise(call)
+    return table(spark, sf_dir, "events").select("event_id", data.alias("data"))
 
 
-@query("""SELECT event_id, to_json({result: event_type, value: event_id})::VARCHAR AS body FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN to_json({result: event_type, value: event_id})::VARCHAR WHEN 1 THEN 'plain "' || event_type || '"' WHEN 2 THEN to_json({k: event_id, text: event_type})::VARCHAR ELSE 'null' END AS body FROM events""")
 def strip_envelope(spark, sf_dir):
-    """The body of an answer that has none is the answer without its own fields."""
-    message = F.create_map(F.lit("id"), F.lit('"x"'), F.lit("result"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("status"), F.lit("200"), F.lit("value"), F.col("event_id").cast("string"))
-    left = F.map_entries(F.map_filter(message, lambda k, v: ~k.isin("id", "status", "content_type")))
-    parts = F.transform(F.array_sort(left), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"]))
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("body"))
+    """Answers without a body, with one that is text, and with others."""
+    e, kind, k = F.col("event_id").cast("string"), F.col("event_type"), F.col("event_id") % 4
+    message = (
+        F.when(k == 0, F.concat(F.lit('{"value":'), e, F.lit(', "status":200,"id":"x","result":"'), kind, F.lit('","content_type":"y"}')))
+        .when(k == 1, F.concat(F.lit('{"id":"x","body":"plain \\"'), kind, F.lit('\\""}'))).when(k == 2, F.concat(F.lit('{"id":"x","body":{"text":"'), kind, F.lit('", "k":'), e, F.lit("}}"))).otherwise(F.lit('{"id":"x","body":null}'))
+    )
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.answer_body(message).alias("body"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN to_json(event_type)::VARCHAR END AS argument, CASE event_id % 3 WHEN 0 THEN '{"a":[1,2],"b":"x"}' ELSE '{}' END AS parsed FROM events""")
+def arguments_read(spark, sf_dir):
+    e, kind = F.col("event_id"), F.col("event_type")
+    arguments = F.when(e % 2 == 0, F.concat(F.lit('{"topic":"'), kind, F.lit('"}'))).when(e % 3 == 0, F.lit("[1]")).otherwise(F.lit('{"x":1}'))
+    text = F.when(e % 3 == 0, F.lit('{"b": "x", "a": [1, 2]}')).when(e % 3 == 1, F.lit("{no")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.argument(arguments, "topic").alias("argument"), jsonrpc.parsed(text, F.lit("{}")).alias("parsed"))
+
+
+@query("SELECT event_id, true AS later FROM events")
+def wall_clock(spark, sf_dir):
+    """The clock itself is another at each run; it is later than the log."""
+    return table(spark, sf_dir, "events").select("event_id", (jsonrpc.now_millis() > F.unix_millis(F.col("ts").cast("timestamp"))).alias("later"))
+
+
+@query("""SELECT event_id, to_json({body: props, id: 'req_' || event_id})::VARCHAR AS message FROM events""")
+def answer_envelope(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.answer(F.concat(F.lit("req_"), F.col("event_id").cast("string")), F.col("props")).alias("message"))
+
+
+@query("""SELECT doc_id, to_json({contents: [{mimeType: CASE WHEN doc_id % 2 = 0 THEN 'application/json' ELSE 'text/' || lang END, text: source, uri: 'doc://' || doc_id}]})::VARCHAR AS message FROM documents""")
+def resource_contents(spark, sf_dir):
+    mime = F.when(F.col("doc_id") % 2 == 0, F.lit("application/json")).otherwise(F.concat(F.lit("text/"), "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", jsonrpc.resource_contents(F.col("source"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")), mime).alias("message"))
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES ('click', 'button'), ('view', 'page'), ('Purchase', 'shop')) AS v(name, handler))
@@ -406,20 +505,14 @@ def log_truncate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsonrpc.log_line(F.col("ts"), F.concat("event_type", F.lit(" "), "props"), 12).alias("line"))
 
 
-@query("""SELECT conv_id, to_json({messages: [{content: {text: 'Analyze: ' || coalesce(nullif(topic, ''), 'general overview') || chr(10) || 'Tables: 14' || chr(10), type: 'text'}, role: 'user'}]})::VARCHAR AS message
-FROM (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN role ELSE '' END AS topic FROM conversations WHERE turn = 0)""")
-def analyze_prompt(spark, sf_dir):
-    topic = F.when(F.col("conv_id") % 2 == 0, F.col("role")).otherwise(F.lit("general overview"))
-    text = F.concat(F.lit("Analyze: "), topic, F.lit(f"\nTables: {len(TABLES)}\n"))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", jsonrpc.prompt_result(text).alias("message"))
-
 
-@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN to_json({error: {code: -32602, message: 'Missing required argument: task'}, id: conv_id, jsonrpc: '2.0'})::VARCHAR
-  ELSE to_json({messages: [{content: {text: 'Write code: ' || text, type: 'text'}, role: 'user'}]})::VARCHAR END AS message FROM conversations WHERE turn = 0""")
+@query(f"""SELECT conv_id, to_json({{messages: [{{content: {{text: CASE WHEN conv_id % 3 = 0 THEN '{{"error":"{prompts.NO_TASK.replace("'", "''")}"}}'
+  ELSE '{prompts.CODE.replace("'", "''").split("{}")[0]}' || text || '{prompts.CODE.replace("'", "''").split("{}")[1]}' END, type: 'text'}}, role: 'user'}}]}})::VARCHAR AS message FROM conversations WHERE turn = 0""")
 def code_prompt(spark, sf_dir):
-    text = F.concat(F.lit("Write code: "), "text")
-    message = F.when(F.col("conv_id") % 3 == 0, jsonrpc.error(F.col("conv_id"), jsonrpc.INVALID_PARAMS, F.lit("Missing required argument: task"))).otherwise(jsonrpc.prompt_result(text))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", message.alias("message"))
+    """Without a task the host answers an error, which is wrapped like any other answer."""
+    error = jsonrpc.dumped(F.struct(F.lit(prompts.NO_TASK).alias("error")))
+    body = F.coalesce(prompts.code(F.when(F.col("conv_id") % 3 != 0, F.col("text"))), error)
+    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", jsonrpc.prompt_result(body).alias("message"))
 
 
 @query("""SELECT event_id, to_json({id: event_id, jsonrpc: '2.0', result: {capabilities: {prompts: {listChanged: true}, resources: {listChanged: true}, tools: {listChanged: true}}, protocolVersion: '2025-03-26', serverInfo: {name: 'tidegate', version: '1.0'}}})::VARCHAR AS message
@@ -430,15 +523,21 @@ def initialize_result(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", jsonrpc.result(F.col("event_id"), value).alias("message"))
 
 
-@query("""SELECT p_partkey, to_json({annotations: {readOnlyHint: true}, description: p_type, inputSchema: {properties: {expression: {description: 'What to evaluate', type: 'string'}}, required: ['expression'], type: 'object'}, name: p_name})::VARCHAR AS definition FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN to_json({annotations: {destructiveHint: false, idempotentHint: true, openWorldHint: false, readOnlyHint: true}, description: p_type,
+  inputSchema: {properties: {expression: {description: 'What to evaluate', type: 'string'}, rows: {description: 'Rows', type: 'number'}}, required: ['expression'], type: 'object'}, name: p_name,
+  outputSchema: {properties: {result: {description: 'Its value', type: 'string'}}, required: ['result'], type: 'object'}})::VARCHAR
+  ELSE to_json({description: p_type, inputSchema: {properties: {expression: {description: 'What to evaluate', type: 'string'}, rows: {description: 'Rows', type: 'number'}}, required: ['expression'], type: 'object'}, name: p_name})::VARCHAR END AS definition FROM part""")
 def tool_definitions(spark, sf_dir):
-    definition = jsonrpc.tool(F.col("p_name"), F.col("p_type"), {"expression": ("string", "What to evaluate")}, ["expression"])
-    return table(spark, sf_dir, "part").select("p_partkey", definition.alias("definition"))
+    input = jsonrpc.schema({"rows": ("number", "Rows"), "expression": ("string", "What to evaluate")}, ["expression"])
+    output = jsonrpc.schema({"result": ("string", "Its value")}, ["result"])
+    plain = jsonrpc.tool(F.col("p_name"), F.col("p_type"), input)
+    full = jsonrpc.tool(F.col("p_name"), F.col("p_type"), input, output, jsonrpc.annotations(read_only=True, idempotent=True))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, full).otherwise(plain).alias("definition"))
 
 
-@query("""SELECT page_id, to_json({body: '{"error":"Not found"}', content_type: 'application/json', id: 'req_' || page_id, status: 404})::VARCHAR AS message FROM pages""")
+@query("""SELECT page_id, to_json({body: '{"error":"Use POST /mcp for MCP requests."}', content_type: 'application/json', id: 'req_' || page_id, status: 404})::VARCHAR AS message FROM pages""")
 def legacy_reply(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", jsonrpc.reply(F.concat(F.lit("req_"), F.col("page_id").cast("string")), 404, F.lit('{"error":"Not found"}')).alias("message"))
+    return table(spark, sf_dir, "pages").select("page_id", jsonrpc.reply(F.concat(F.lit("req_"), F.col("page_id").cast("string")), 404, F.lit('{"error":"Use POST /mcp for MCP requests."}')).alias("message"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'catalogs' WHEN 'view' THEN 'documents' ELSE 'Unknown resource: ' || event_type END AS resource,
@@ -483,25 +582,37 @@ def url_decode(spark, sf_dir):
     return rows.select("s", urls.url_decode(F.col("s")).alias("decoded"))
 
 
-@query("""SELECT page_id, to_json({body: '', content_type: '', id: 'req_' || page_id, method: 'GET', path: regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)})::VARCHAR AS data FROM pages""")
+@query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS p FROM pages),
+k AS (SELECT page_id, url_decode(replace(split_part(p, '=', 1), '+', ' ')) AS key, url_decode(replace(split_part(p, '=', 2), '+', ' ')) AS value FROM q WHERE split_part(p, '=', 1) <> ''),
+o AS (SELECT page_id, string_agg(to_json(key)::VARCHAR || ':' || to_json(value)::VARCHAR, ',' ORDER BY key) AS params FROM k GROUP BY page_id)
+SELECT page_id, '{"body":' || to_json(CASE WHEN page_id % 5 IN (1, 2, 4) THEN substr(html, 1, 30) ELSE '' END)::VARCHAR || ',"content_type":"' || CASE WHEN page_id % 5 IN (1, 2, 4) THEN 'text/html' ELSE '' END
+  || '","id":"req_' || page_id || '","method":"' || ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][1 + page_id % 5] || '","params":{' || coalesce(params, '') || '},"path":' || to_json(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1))::VARCHAR || '}' AS data
+FROM pages LEFT JOIN o USING (page_id)""")
 def legacy_request(spark, sf_dir):
-    data = F.struct(F.lit("").alias("body"), F.lit("").alias("content_type"), F.concat(F.lit("req_"), F.col("page_id").cast("string")).alias("id"), F.lit("GET").alias("method"), urls.path(F.col("url")).alias("path"))
-    return table(spark, sf_dir, "pages").select("page_id", jsonrpc.dumped(data).alias("data"))
+    k = F.col("page_id") % 5
+    sends = k.isin(1, 2, 4)
+    method = F.get(F.array(*map(F.lit, ["GET", "POST", "PUT", "DELETE", "PATCH"])), k.cast("int"))
+    body, content_type = F.when(sends, F.substring("html", 1, 30)).otherwise(F.lit("")), F.when(sends, F.lit("text/html")).otherwise(F.lit(""))
+    data = jsonrpc.forwarded(F.concat(F.lit("req_"), F.col("page_id").cast("string")), method, urls.path(F.col("url")), body, content_type, urls.query_params(urls.query_string(F.col("url"))))
+    return table(spark, sf_dir, "pages").select("page_id", data.alias("data"))
 
 
 # Status
 
 
+_SETTINGS = status.Settings(logging_enabled=True, log_path="/var/log/tidegate.log", token="t")
+
+
 def _status(spark, sf_dir):
-    return status.one_row(
-        pending_requests=unanswered_requests(spark, sf_dir), tools_registered=table(spark, sf_dir, "part"), resources_registered=table(spark, sf_dir, "documents"),
-        prompts_registered=table(spark, sf_dir, "benchmark"), active_sessions=_sessions(spark, sf_dir).where("active"),
+    return status.service_status(
+        _SETTINGS, pending=unanswered_requests(spark, sf_dir), tools=table(spark, sf_dir, "part"), resources=table(spark, sf_dir, "documents"),
+        prompts=table(spark, sf_dir, "benchmark"), sessions=_sessions(spark, sf_dir).where("active"),
     )
 
 
-_STATUS_SQL = f"""SELECT (SELECT count(*) FROM ({ORACLES['unanswered_requests']})) AS pending_requests, (SELECT count(*) FROM part) AS tools_registered,
-(SELECT count(*) FROM documents) AS resources_registered, (SELECT count(*) FROM benchmark) AS prompts_registered,
-(SELECT count(*) FROM ({_SESSIONS}) WHERE last_event <> 'error') AS active_sessions"""
+_STATUS_SQL = f"""SELECT (SELECT count(*) FROM ({_SESSIONS}) WHERE last_event <> 'error') AS active_sessions, true AS auth_enabled, '/var/log/tidegate.log' AS log_path, true AS logging_enabled,
+(SELECT count(*) FROM ({ORACLES['unanswered_requests']})) AS pending_requests, 8765 AS port, (SELECT count(*) FROM benchmark) AS prompts_registered,
+(SELECT count(*) FROM documents) AS resources_registered, true AS running, (SELECT count(*) FROM part) AS tools_registered, '1.0' AS version"""
 
 
 @query(_STATUS_SQL)
@@ -511,42 +622,93 @@ def service_status(spark, sf_dir):
 
 @query("SELECT 'ok' AS status, true AS running, 8765 AS port, count(*)::BIGINT AS pending_requests FROM (" + ORACLES["unanswered_requests"] + ")")
 def health(spark, sf_dir):
-    return status.one_row(pending_requests=unanswered_requests(spark, sf_dir)).select(F.lit("ok").alias("status"), F.lit(True).alias("running"), F.lit(8765).alias("port"), "pending_requests")
+    counts = status.one_row(pending_requests=unanswered_requests(spark, sf_dir))
+    return counts.select(F.lit("ok").alias("status"), F.lit(_SETTINGS.running).alias("running"), F.lit(_SETTINGS.port).alias("port"), "pending_requests")
+
+
+def _steps(spark, sf_dir):
+    """The log as steps of the runtime."""
+    kind, e = F.col("event_type"), F.col("event_id")
+    step = F.when(kind == "click", "start").when(kind == "view", "progress").when(kind == "purchase", "success").when(kind == "error", "failure")
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", step.alias("step"), F.concat(F.lit("req_"), e.cast("string")).alias("request_id"), F.concat(F.lit("tool_"), (e % 7).cast("string")).alias("tool"),
+        (e % 100).cast("int").alias("progress"), (100 + e % 3).cast("int").alias("total"), F.col("props").alias("message"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("updated_at"))
 
 
-_RUNTIME = "SELECT user_id, max_by(event_type, (ts, event_id)) AS last_event, max_by(props, (ts, event_id)) AS progress_message FROM events GROUP BY user_id"
+def _runtime_sql(keys: str) -> str:
+    last = lambda value, kinds, empty: f"coalesce(max_by({value}, (ts, event_id)) FILTER (event_type IN ({', '.join(map(repr, kinds))})), {empty})"
+    ends, steps = ("click", "purchase", "error"), ("click", "view", "purchase", "error")
+    message = "CASE event_type WHEN 'click' THEN 'Started.' WHEN 'view' THEN props WHEN 'purchase' THEN 'Completed.' ELSE 'Failed.' END"
+    return f"""SELECT {keys} {last("event_type = 'click'", ends, "false")} AS IsBusy, {last("'req_' || event_id", ["click"], "''")} AS CurrentRequestID, {last("'tool_' || event_id % 7", ["click"], "''")} AS CurrentTool,
+{last("CASE WHEN event_type = 'click' THEN 0 ELSE event_id % 100 END", ("click", "view"), "0")}::INTEGER AS Progress, {last("100 + event_id % 3", ("click", "view"), "0")}::INTEGER AS Total, {last(message, steps, "'Idle'")} AS ProgressMessage,
+{last("props", ["purchase"], "''")} AS LastResult, {last("CASE WHEN event_type = 'error' THEN props ELSE '' END", ends, "''")} AS LastError, {last("CAST(epoch_us(ts) AS VARCHAR)", steps, "''")} AS UpdatedAt FROM events"""
 
 
-@query(f"SELECT user_id, last_event IN ('click', 'view') AS is_busy, last_event, progress_message FROM ({_RUNTIME})")
+@query(_runtime_sql("user_id,") + " GROUP BY user_id")
 def runtime_status(spark, sf_dir):
-    last = state.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
-    return last.select("user_id", F.col("event_type").isin("click", "view").alias("is_busy"), F.col("event_type").alias("last_event"), F.col("props").alias("progress_message"))
+    return status.runtime_status(_steps(spark, sf_dir), ["ts", "event_id"], ["user_id"])
+
+
+_RUNTIME_FIELDS = ("CurrentRequestID", "CurrentTool", "IsBusy", "LastError", "LastResult", "Progress", "ProgressMessage", "Total", "UpdatedAt")
+_RUNTIME_JSON = "{" + ", ".join(f"{f}: {f}" for f in _RUNTIME_FIELDS) + "}"
+_STATUS_JSON = "{" + ", ".join(f"{f}: {f}" for f in ("active_sessions", "auth_enabled", "log_path", "logging_enabled", "pending_requests", "port", "prompts_registered", "resources_registered", "running", "tools_registered", "version")) + "}"
 
 
-@query(f"""WITH s AS ({_STATUS_SQL}), r AS (SELECT count(*) FILTER (last_event IN ('click', 'view')) AS busy FROM ({_RUNTIME}))
-SELECT to_json({{active_sessions: active_sessions, busy: busy, pending_requests: pending_requests, running: true}})::VARCHAR AS message FROM s, r""")
+@query(f"WITH s AS ({_STATUS_SQL}), r AS ({_runtime_sql('')}) SELECT to_json({{componentStatus: {_STATUS_JSON}, runtimeStatus: {_RUNTIME_JSON}}})::VARCHAR AS message FROM s, r")
 def combined_status(spark, sf_dir):
-    busy = runtime_status(spark, sf_dir).agg(F.count_if("is_busy").alias("busy"))
-    both = _status(spark, sf_dir).crossJoin(busy)
-    return both.select(jsonrpc.dumped(F.struct("active_sessions", "busy", "pending_requests", F.lit(True).alias("running"))).alias("message"))
+    both = status.combined(status.runtime_status(_steps(spark, sf_dir), ["ts", "event_id"]), _status(spark, sf_dir))
+    return both.select(jsonrpc.dumped(F.struct("componentStatus", "runtimeStatus")).alias("message"))
 
 
-def _metadata(spark, sf_dir):
-    return status.catalog_metadata(spark, {name: table(spark, sf_dir, name) for name in TABLES})
+@query("""SELECT '{"componentStatus":{"running":false},"runtimeStatus":{"CurrentRequestID":"","CurrentTool":"","IsBusy":false,"LastError":"","LastResult":"","Progress":0,"ProgressMessage":"Idle","Total":0,"UpdatedAt":""}}' AS message""")
+def combined_status_stopped(spark, sf_dir):
+    """Without a component, and with a runtime that has done nothing yet."""
+    both = status.combined(status.runtime_status(_steps(spark, sf_dir).where(F.lit(False)), ["ts", "event_id"]), None)
+    return both.select(jsonrpc.dumped(F.struct("componentStatus", "runtimeStatus")).alias("message"))
 
 
-_METADATA_SQL = f"""SELECT table_name AS name, upper(table_name[1]) || table_name[2:] AS synonym, count(*)::INTEGER AS attributeCount, 0 AS tabularsCount
-FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))}) GROUP BY table_name"""
+#: The tables in the roles of catalogs, which are looked up, and of documents, which record.
+CATALOGS = "region nation customer supplier part benchmark labels embeddings".split()
+DOCUMENTS = "orders lineitem events documents pages conversations".split()
 
 
-@query(_METADATA_SQL)
+def _metadata_sql(names: list[str]) -> str:
+    return f"""SELECT table_name AS name, upper(table_name[1]) || table_name[2:] AS synonym, count(*)::INTEGER AS attributeCount, 0 AS tabularsCount
+FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, names))}) GROUP BY table_name"""
+
+
+@query(_metadata_sql(CATALOGS))
 def catalog_metadata(spark, sf_dir):
-    return _metadata(spark, sf_dir)
+    return status.catalog_metadata(spark, {name: table(spark, sf_dir, name) for name in CATALOGS})
+
+
+@query(_metadata_sql(DOCUMENTS))
+def document_metadata(spark, sf_dir):
+    return status.catalog_metadata(spark, {name: table(spark, sf_dir, name) for name in DOCUMENTS})
+
+
+def _summary(spark):
+    return status.metadata_summary(spark, {"Catalogs": CATALOGS, "Documents": DOCUMENTS, "Accumulation Registers": ["rest"]})
 
 
-@query(f"""SELECT 'Tables: ' || count(*) || chr(10) || string_agg(name || ': ' || attributeCount || ' attributes' || chr(10), '' ORDER BY name) AS summary FROM ({_METADATA_SQL})""")
+def _summary_sql() -> str:
+    names = [("Catalog", i, n) for i, n in enumerate(CATALOGS)] + [("Document", 100 + i, n) for i, n in enumerate(DOCUMENTS)]
+    values = ", ".join(f"('{kind}', {i}, '{n}')" for kind, i, n in names)
+    return f"""SELECT 'Catalogs: ' || count(*) FILTER (k = 'Catalog') || chr(10) || 'Documents: ' || count(*) FILTER (k = 'Document') || chr(10) || 'Information Registers: 0' || chr(10) || 'Accumulation Registers: 1' || chr(10)
+|| string_agg('  - ' || k || '.' || n || ' (' || upper(n[1]) || n[2:] || ')' || chr(10), '' ORDER BY i) AS summary FROM (VALUES {values}) AS v(k, i, n)"""
+
+
+@query(_summary_sql())
 def metadata_summary(spark, sf_dir):
-    return status.metadata_summary(_metadata(spark, sf_dir))
+    return _summary(spark)
+
+
+@query(f"""WITH s AS ({_summary_sql()})
+SELECT conv_id, to_json({{messages: [{{content: {{text: '{prompts.ANALYZE.replace("'", "''").split("{}")[0]}' || CASE WHEN conv_id % 2 = 0 THEN role ELSE '{prompts.GENERAL}' END || '{prompts.ANALYZE.replace("'", "''").split("{}")[1]}' || summary
+ || '{prompts.ANALYZE.replace("'", "''").split("{}")[2]}', type: 'text'}}, role: 'user'}}]}})::VARCHAR AS message FROM conversations, s WHERE turn = 0""")
+def analyze_prompt(spark, sf_dir):
+    topic = F.when(F.col("conv_id") % 2 == 0, F.col("role")).when(F.col("conv_id") % 3 == 0, F.lit(""))
+    rows = table(spark, sf_dir, "conversations").where("turn = 0").crossJoin(_summary(spark))
+    return rows.select("conv_id", jsonrpc.prompt_result(prompts.analyze(topic, F.col("summary"))).alias("message"))
 
 
 @query("SELECT s AS step, (SELECT sum(k % 97)::BIGINT FROM range(1, 4000001) AS t(k)) AS total FROM range(1, 6) AS r(s)")
