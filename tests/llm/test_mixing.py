@@ -1,6 +1,8 @@
 import collections
+import re
 
 import numpy as np
+import pytest
 
 from tidegate.llm import mixing, queries
 
@@ -9,7 +11,9 @@ SF = "/root/testdata/sf0.01"
 
 def test_targets():
     assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == [50.0, 100.0, 150.0]
-    assert mixing.targets([("a", 1), ("b", 300)]) == [3.0, 298.0] or mixing.targets([("a", 1), ("b", 300)])[0] == 3.0
+    assert mixing.targets([("a", 1), ("b", 300)]) == [3.0, 298.0]
+    # a stops at 3; of the rest c and d, by 3 and 1, would leave c above 30: it stops there, and b and d share by 2 and 1
+    assert mixing.targets([("a", 1), ("b", 500), ("c", 10), ("d", 489)]) == pytest.approx([3.0, 967 * 2 / 3, 30.0, 967 / 3])
     assert mixing.targets([("a", 0), ("b", 0)]) == [0.0, 0.0] and mixing.targets([]) == []
 
 
@@ -25,12 +29,22 @@ def test_pivot_keeps_words_and_expectation():
     assert abs(total / 4000 - p).max() < 0.05
 
 
+def shares(sizes, most=3):
+    """Targets by filling up: the level at which what the sources take, each at most its limit, adds up to all words."""
+    weight = [1 + i % 3 for i in range(len(sizes))]
+    lo, hi = 0.0, float(sum(sizes)) + 1
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(level * w, most * n) for w, n in zip(weight, sizes, strict=True)) < sum(sizes) else (lo, level)
+    return [min(hi * w, most * n) for w, n in zip(weight, sizes, strict=True)]
+
+
 def check(rows, most=3):
     by = collections.defaultdict(list)
     for r in rows:
         by[r.source].append(r)
     order = sorted(by, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    goal = mixing.targets([(s, sum(r.size for r in by[s])) for s in order])
+    goal = shares([sum(r.size for r in by[s]) for s in order])
     for s, t in zip(order, goal, strict=True):
         assert all(abs(r.target - t) < 1e-6 and r.source_size == sum(x.size for x in by[s]) for r in by[s])
         assert all(r.taken <= most * r.size for r in by[s])
@@ -38,9 +52,12 @@ def check(rows, most=3):
 
 
 def test_query(spark):
-    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs).collect()
     assert len(rows) == 1000
     check(rows)
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()}
+    assert {r.doc_id: r.size for r in rows} == words and all(r.taken == r.copies * r.size for r in rows)
     again = queries.QUERIES["op9_mixing"](spark, SF).collect()
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.llm import tokens
+from tidegate.llm import queries, tokens
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
@@ -34,5 +34,15 @@ def test_rows(spark):
     assert tokens.token_counts(df.where(F.lit(False)), PATH).collect() == []
 
 
+def test_query_against_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    t = tokenizers_of()
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids)
+        want.append((r.doc_id, len((r.text or "").encode()), n, n > 2048))
+    assert sorted(map(tuple, queries.QUERIES["op10_token_counts"](spark, sf).collect())) == sorted(want)
+
+
 def tokenizers_of():
     return tokens.tokenizer(PATH)
