@@ -5,6 +5,9 @@
 3. pii: personal values become pseudonyms
 4. mixing: documents are taken as often as the mix of sources asks, up to three times
 5. pieces: the piece ids of each document
+
+Each stage takes whole texts of any length, any column may be null, other columns of documents pass through and an empty
+table gives an empty table; what is special about nulls and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -19,23 +22,29 @@ from tidegate.llm.queries import pseudonym_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text has no words and goes. Rows are judged alone: repeated ones share their fate."""
     return rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words stay. Rows that repeat an id and a text count once; of a component without any id all stay."""
     return jaccard.without_copies(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text stays null. Every row stays, and n_chars counts the new text."""
     out = pii.pseudonymised(docs, pseudonym_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null source is one of its own. Null and empty texts are never taken; rows equal in id, text and source are taken
+    equally often."""
     return mixing.mixed_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row, in the columns doc_id, source, n_pieces and ids; a null text has no pieces."""
     out = pieces.encoded(docs.select("doc_id", "source", "text"), tokenizer_path("piece_bpe_32k.model"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
