@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import jaccard, mixing, pieces, pii, quality, suffixes, superkmers, tokens, vectors, warc
+from tidegate.llm import infill, jaccard, mixing, pagetext, pieces, pii, quality, suffixes, superkmers, tokens, vectors, warc, whitening
 from tidegate.llm._scratch import new_path
 
 
@@ -122,5 +122,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors, "op7_suffixes": op7_suffixes, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_superkmers": OP2_SQL, "op3_quality_rules": OP3_SQL}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(_table(spark, sf_dir, "documents"), output=False)
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, list_transform(range(4), lambda i: ('0x' || substr(x, (1 + 8 * i)::INT, 8))::BIGINT) AS h FROM t),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, substr(t, 1, a::INT) AS p, substr(t, (a + 1)::INT, (b - a)::INT) AS m, substr(t, (b + 1)::INT) AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc, "op2_superkmers": op2_superkmers, "op3_quality_rules": op3_quality_rules, "op4_jaccard": op4_jaccard, "op5_pii": op5_pii, "op6_near_vectors": op6_near_vectors,
+    "op7_suffixes": op7_suffixes, "op8_pieces": op8_pieces, "op9_mixing": op9_mixing, "op10_token_counts": op10_token_counts, "op11_infill": op11_infill, "op12_whitening": op12_whitening,
+    "op13_main_text": op13_main_text,
+}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_superkmers": OP2_SQL, "op3_quality_rules": OP3_SQL, "op11_infill": OP11_SQL}
