@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from same_rows import same_rows
 
 from tidegate.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TIDEGATE_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

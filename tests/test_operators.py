@@ -1,9 +1,13 @@
+import json
+
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
-from tidegate.functions import jsonrpc
+from tidegate.functions import jsonrpc, urls
 from tidegate.operators import paging, state, status, usercode
 from tidegate.operators.state import Bucket
+from tidegate.sources.tables import opened
 
 
 def allowed(most, rate, arrivals):
@@ -29,17 +33,59 @@ def test_pages(spark, n, cursor, items, next_):
 def test_deep_pages_and_positions(spark, monkeypatch):
     monkeypatch.setattr(paging, "NEAR", 10)
     assert [r.id for r in paging.page(spark.range(500), ["id"], 120, 5).collect()] == [120, 121, 122, 123, 124]
-    placed = paging.positions(spark.range(1000).select((999 - F.col("id")).alias("k")), ["k"], parts=7)
+    placed = paging.positions(spark.range(1000).select((999 - F.col("id")).alias("k")), ["k"], range_rows=150)
     assert placed.where("pos <> k").count() == 0 and placed.count() == 1000
 
 
-def test_only_queries_are_executed(spark):
-    assert usercode.execute_sql(spark, "SELECT 1 AS x").first().x == 1
-    for text in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SELECT reflect('java.lang.System', 'exit', 0)", "SET a = b", "CREATE TABLE t AS SELECT 1", "FROM x INSERT OVERWRITE TABLE y SELECT *", "import os"):
+@pytest.mark.parametrize("text", [
+    "DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a = b", "CREATE TABLE t AS SELECT 1", "FROM tidegate_rows INSERT OVERWRITE TABLE y SELECT *", "import os",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT JAVA_METHOD('java.lang.System', 'exit', 0)",
+    "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.home'))", "SELECT (SELECT max(reflect('java.lang.System', 'nanoTime')) FROM tidegate_rows)",
+    "WITH c AS (SELECT reflect('java.lang.System', 'nanoTime') AS x) SELECT * FROM c", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+    "SELECT * FROM (SELECT value FROM text.`/etc/hostname`)", "SELECT * FROM unknown", "SELECT transform(id) USING 'cat' AS x FROM tidegate_rows", "SELECT * FROM identifier('tidegate_rows')",
+    "SELECT identifier('reflect')('java.lang.System', 'nanoTime')", "SELECT input_file_name() FROM tidegate_rows", "SELECT tidegate_secret(1)", "SELECT system.builtin.reflect('java.lang.System', 'nanoTime')",
+    "EXPLAIN SELECT 1", "DESCRIBE tidegate_rows", "SHOW TABLES", "SELECT * FROM sql_keywords()", "CALL x()", "SELECT explode(array(reflect('java.lang.System', 'nanoTime')))",
+])
+def test_refused(spark, text):
+    spark.range(3).createOrReplaceTempView("tidegate_rows")
+    spark.udf.register("tidegate_secret", lambda x: x)
+    with pytest.raises((ValueError, ParseException)):
+        usercode.execute_sql(spark, text)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("SELECT 'insert' AS x", ["insert"]), ("SELECT 'reflect(' || max(id) AS x FROM tidegate_rows", ["reflect(2"]), ("VALUES (1), (2)", [1, 2]), ("TABLE tidegate_rows", [0, 1, 2]),
+    ("WITH c AS (SELECT id + 1 AS y FROM tidegate_rows) SELECT sum(y) FROM c WHERE y IN (SELECT id FROM tidegate_rows)", [3]), ("SELECT sum(id) OVER (ORDER BY id) FROM range(3) ORDER BY 1", [0, 1, 3]),
+    ("SELECT x FROM tidegate_rows LATERAL VIEW explode(array(id, 10)) t AS x WHERE id = 1 ORDER BY x", [1, 10]), ("SELECT a.id FROM tidegate_rows a JOIN tidegate_rows b ON a.id = b.id + 1 ORDER BY 1 DESC LIMIT 1", [2]),
+    ("SELECT CASE WHEN id BETWEEN 1 AND 2 THEN upper('a') ELSE CAST(id AS STRING) END FROM tidegate_rows ORDER BY id", ["0", "A", "A"]), ("SELECT id FROM tidegate_rows UNION ALL SELECT 7 ORDER BY 1", [0, 1, 2, 7]),
+    ("SELECT count(*) FROM tidegate_rows GROUP BY id % 2 HAVING count(*) > 1", [2]), ("SELECT tidegate_open(4)", [5]), ("SELECT transform(array(1, 2), x -> x + 1)[0]", [2]),
+])
+def test_executed(spark, text, want):
+    spark.range(3).createOrReplaceTempView("tidegate_rows")
+    spark.udf.register("tidegate_open", lambda x: x + 1, "int")
+    assert [r[0] for r in usercode.execute_sql(spark, text, functions=["tidegate_open"]).collect()] == want
+
+
+def test_expressions(spark):
+    rows = spark.range(2)
+    assert [r.result for r in usercode.evaluate(rows, "id * 2 + length('reflect')").orderBy("id").collect()] == ["7", "9"]
+    for text in ("java_method('java.lang.System', 'exit', 0)", "try_reflect('java.lang.System', 'nanoTime')", "(SELECT max(value) FROM text.`/etc/hostname`)", "concat('a', reflect('java.lang.System', 'nanoTime'))"):
         with pytest.raises(ValueError):
-            usercode.execute_sql(spark, text)
-    with pytest.raises(ValueError):
-        usercode.evaluate(spark.range(1), "java_method('java.lang.System', 'exit', 0)")
+            usercode.evaluate(rows, text)
+
+
+def test_names_and_surrogates(spark):
+    """Keys with quotes and dots, names as names, doubled keys, and surrogates with and without partner."""
+    opened(spark)
+    body = r"""{"id":"1","it's[":{"b":1,"a":null},"a.b":2,"a":{"b":3},"q\"":"x"}"""
+    got = spark.createDataFrame([(body,)], "j string").select(jsonrpc.answer_body(F.col("j")).alias("b"), jsonrpc.argument(F.col("j"), "a.b").alias("d"), jsonrpc.argument(F.col("j"), "it's[").alias("q"), jsonrpc.argument(F.col("j"), "none").alias("n")).first()
+    assert json.loads(got.b) == {"it's[": {"b": 1, "a": None}, "a.b": 2, "a": {"b": 3}, 'q"': "x"} and (got.d, json.loads(got.q), got.n) == ("2", {"a": None, "b": 1}, None)
+    twice = spark.createDataFrame([('{"id":1,"id":2,"x":1,"x":null}',), ("[1]",), ("{",)], "j string").select(jsonrpc.kind(F.col("j")).alias("k"), jsonrpc.has_key(F.col("j"), "x").alias("h"), jsonrpc.answer_body(F.col("j")).alias("b"), jsonrpc.field(F.col("j"), "$.id").alias("i"))
+    rows = twice.collect()
+    assert tuple(rows[0]) == ("OBJECT", True, '{"x":null}', "2") and rows[1].k == "ARRAY" and rows[2].k is None
+    texts = ["%uD83D%uDE00", "a%uD83Db", "%uDE00", "%uD83D%uD83D%uDE00x", "%uDE00%uD83D", "%u0416%D0%96", "%uD83D"]
+    decoded = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", urls.url_decode(F.col("s")).alias("d")).orderBy("i").collect()]
+    assert decoded == ["\U0001f600", "a\ufffdb", "\ufffd", "\ufffd\U0001f600x", "\ufffd\ufffd", "ЖЖ", "\ufffd"]
 
 
 def test_functions_by_name():

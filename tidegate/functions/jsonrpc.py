@@ -1,13 +1,18 @@
-"""JSON-RPC messages: tolerant reading, and envelopes with keys in sorted order and nulls kept."""
+"""JSON-RPC messages: tolerant reading, and envelopes with keys in sorted order and nulls kept.
+
+Of a key that an object has twice the last value holds in sessions that ``tidegate.sources.tables.opened`` has prepared, as every
+reader of the library does; elsewhere such an object is no JSON.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegate.functions.cursors import parsed_cursor
+
 PROTOCOL_VERSION, PARSE_ERROR, METHOD_NOT_FOUND, INVALID_PARAMS, SERVER_ERROR = "2025-03-26", -32700, -32601, -32602, -32000
 
 
@@ -15,21 +20,24 @@ def dumped(x: Column) -> Column:
     return F.to_json(x, {"ignoreNullFields": "false"})
 
 
-@contextmanager
-def duplicate_keys(spark: SparkSession) -> Iterator[None]:
-    """Of a key that an object has twice the last value holds in expressions made within; else such an object is no JSON."""
-    key = "spark.sql.variant.allowDuplicateKeys"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+def message(json: Column) -> Column:
+    """The text parsed, once for all that is read of it; null where it is no JSON."""
+    return F.try_parse_json(json)
+
+
+def kind_of(message: Column) -> Column:
+    """OBJECT, ARRAY, VOID (null) or a scalar type; null where there is no message."""
+    return F.regexp_extract(F.schema_of_variant(message), "^[A-Z]+", 0)
+
+
+def text_of(message: Column, path: str) -> Column:
+    """Text at a path of a message."""
+    return F.try_variant_get(message, path, "string")
 
 
 def kind(json: Column) -> Column:
     """OBJECT, ARRAY, VOID (null) or a scalar type; null where the text is no JSON."""
-    return F.regexp_extract(F.schema_of_variant(F.try_parse_json(json)), "^[A-Z]+", 0)
+    return kind_of(message(json))
 
 
 def has_key(json: Column, key: str) -> Column:
@@ -43,9 +51,21 @@ def field(json: Column, path: str, default: str | None = None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def fields(json: Column) -> Column:
+    """The fields of an object as a map of variants, whatever their names are; null where the text is no object."""
+    return F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+
+
 def argument(arguments: Column, name: str) -> Column:
-    """An argument by name, as JSON; null where there is none, or arguments are no object."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(arguments), f"$.{name}", "variant"))
+    """An argument by name, any name, as JSON; null where there is none, or arguments are no object."""
+    return F.to_json(F.try_element_at(fields(arguments), F.lit(name)))
+
+
+def page_of(registry: Column, cursor: Column, size: int = 50) -> Column:
+    """A page of a JSON array: items, each as JSON, and next, the cursor of what follows, null on the last page."""
+    items = F.transform(F.coalesce(F.try_variant_get(F.try_parse_json(registry), "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.to_json(x))
+    at = parsed_cursor(cursor)
+    return F.struct(F.slice(items, at + 1, F.lit(size)).alias("items"), F.when(at + size < F.size(items), (at + size).cast("string")).alias("next"))
 
 
 def parsed(text: Column, default: Column) -> Column:
@@ -59,10 +79,7 @@ def answer_body(json: Column, without: Sequence[str] = ("id", "status", "content
     v = F.try_parse_json(json)
     body = F.try_variant_get(v, "$.body", "variant")
     text = F.when(F.schema_of_variant(body) == "STRING", F.try_variant_get(v, "$.body", "string")).otherwise(F.to_json(body))
-    keys = F.array_sort(F.array_distinct(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, without)))))
-    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
-    pair = lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.try_variant_get(v, F.concat(F.lit("$['"), k, F.lit("']")), "variant")))
-    rest = F.concat(F.lit("{"), F.array_join(F.transform(keys, pair), ","), F.lit("}"))
+    rest = F.to_json(F.map_filter(fields(json), lambda k, _: ~k.isin(*without)))
     return F.when(has_key(json, "body"), text).otherwise(rest)
 
 

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RUN = r"(?:%[0-9A-Fa-f]{2})+|%u[0-9A-Fa-f]{4}"
+_RUN = r"(?:%[0-9A-Fa-f]{2})+|(?:%u[0-9A-Fa-f]{4})+"
+_HIGH, _LOW = "^[dD][89abAB]", "^[dD][c-fC-F]"
+
+
+def _units(run: Column) -> Column:
+    """Hexadecimal UTF-16 units, each surrogate without its partner replaced by U+FFFD."""
+    units = F.regexp_extract_all(run, F.lit("%u([0-9A-Fa-f]{4})"), F.lit(1))
+
+    def whole(u: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, F.get(units, i - 1)), F.get(units, i + 1)
+        lone = u.rlike(_HIGH) & ~F.coalesce(after.rlike(_LOW), F.lit(False)) | u.rlike(_LOW) & ~F.coalesce(before.rlike(_HIGH), F.lit(False))
+        return F.when(lone, F.lit("FFFD")).otherwise(u)
+
+    return F.array_join(F.transform(units, whole), "")
 
 
 def url_decode(s: Column) -> Column:
-    """%XX runs as UTF-8, %uXXXX as a UTF-16 unit, + as a space; what is malformed stays."""
+    """%XX runs as UTF-8, %uXXXX runs as UTF-16, + as a space; what is malformed stays, but that a surrogate without its partner
+    becomes U+FFFD."""
 
     def one(m: Column) -> Column:
-        wide = F.decode(F.unhex(F.substring(m, 3, 4)), "UTF-16BE")
+        wide = F.decode(F.unhex(_units(m)), "UTF-16BE")
         return F.when(m.startswith("%u"), wide).otherwise(F.coalesce(F.try_url_decode(m), m))
 
     found = F.transform(F.regexp_extract_all(s, F.lit(_RUN), F.lit(0)), one)

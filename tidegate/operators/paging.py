@@ -1,8 +1,8 @@
 """Cursor pagination and positions in a total order.
 
-No task and no driver sees all rows of a deep page or of a numbering. A bounded sample gives boundaries that cut the
-order into ranges; they are literals of the plan, so every pass over the table puts a row into the same range whatever
-columns it reads. One count a range then tells how many rows stand before it.
+No task and no driver sees all rows of a deep page or of a numbering. Positions are numbered in ranges that are sorted and written
+once. A deep page alone takes no such table: a bounded sample gives boundaries that cut the order into ranges, every pass over
+the rows reads the same boundaries from a table of one row, and one count a range tells how many rows stand before it.
 """
 
 from __future__ import annotations
@@ -10,28 +10,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegate.functions.cursors import parsed_cursor
+from tidegate.operators import scan
+
+__all__ = ["PAGE_SIZE", "cursor_chain", "page", "parsed_cursor", "positions", "ranges"]
 
 PAGE_SIZE = 50
 #: Rows before a page up to which top-k finds it in one pass; Spark's own offset gathers them. Both ways give the same rows.
 NEAR = 10_000
-#: Rows of the sample for each boundary.
-SAMPLE_FOR_EACH = 30
-
-
-def parsed_cursor(cursor: Column) -> Column:
-    """The leading integer of a cursor as an offset; 0 where there is none or it doesn't fit; never negative."""
-    return F.greatest(F.coalesce(F.regexp_extract(cursor, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)), F.lit(0))
+#: Ranges that a deep page's search cuts the order into, one pass after the other, and rows of the sample for each boundary.
+RANGES, SAMPLE_FOR_EACH = 128, 30
 
 
 @dataclass
 class Ranges:
-    """Ranges of an order: the range of a row, and the rows in each."""
+    """Ranges of an order and the rows in each: range k holds keys from cuts[k - 1], itself included, to cuts[k]."""
 
     key: Column
-    bounds: Column  # ascending; range k holds keys from bounds[k - 1], itself included, to bounds[k]
-    of: Column
+    kinds: T.StructType
+    cuts: list[tuple]
     counts: list[int]
 
     @property
@@ -43,41 +44,39 @@ class Ranges:
 
     def within(self, first: int, last: int) -> Column:
         """Whether a row is in the ranges first .. last."""
+        literal = lambda r: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, self.kinds, strict=True)])
         out = F.lit(True)
         if first:
-            out = out & (self.key >= F.get(self.bounds, first - 1))
+            out = out & (self.key >= literal(self.cuts[first - 1]))
         if last < len(self.counts) - 1:
-            out = out & (self.key < F.get(self.bounds, last))
+            out = out & (self.key < literal(self.cuts[last]))
         return out
 
 
-def ranges(df: DataFrame, order: Sequence[str], n: int) -> Ranges:
-    """At most n ranges of about equal size. The driver gets a sample of SAMPLE_FOR_EACH keys a range and a count of each."""
+def ranges(df: DataFrame, order: Sequence[str], n: int = RANGES) -> Ranges:
+    """At most n ranges of about equal size, n never growing with the rows. The driver gets a sample of SAMPLE_FOR_EACH keys a
+    range and a count of each."""
     narrow = df.select(*order)
     key = F.struct(*[F.col(c) for c in order])
     total = narrow.count()
     found = narrow.sample(min(1.0, SAMPLE_FOR_EACH * n / max(1, total)), seed=3).collect()
-    kinds = [narrow.schema[c].dataType for c in order]
-    literal = lambda r: F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order, strict=True)])
     found.sort(key=lambda r: tuple((v is not None, v != v, v) if v is not None else (False, False, 0) for v in r))
     cuts = list(dict.fromkeys(tuple(found[len(found) * i // n]) for i in range(1, n))) if found else []
-    bounds = F.sort_array(F.array(*map(literal, cuts))) if cuts else None
-    if bounds is None:
-        return Ranges(key, F.array(), F.lit(0), [total])
+    if not cuts:
+        return Ranges(key, narrow.schema, [], [total])
+    # the boundaries travel as data, not as expressions of the plan
+    rows = df.sparkSession.createDataFrame(cuts, narrow.schema)
+    bounds = F.broadcast(rows.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__bounds")))
 
     def halved(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        beyond = key >= F.get(bounds, mid)
+        beyond = key >= F.get(F.col("__bounds"), mid)
         return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(beyond, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(beyond, s["hi"]).otherwise(mid).alias("hi")))
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     of = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halved, lambda s: s["lo"])
-    counted = {r.k: r.n for r in narrow.groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Ranges(key, bounds, of, [counted.get(k, 0) for k in range(len(cuts) + 1)])
-
-
-def _range_count(df: DataFrame) -> int:
-    return max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = {r.k: r.n for r in narrow.crossJoin(bounds).groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Ranges(key, narrow.schema, cuts, [counted.get(k, 0) for k in range(len(cuts) + 1)])
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE, near: int | None = None) -> DataFrame:
@@ -93,7 +92,7 @@ def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE
         return rows.withColumn("next_cursor", F.when(total > end, F.lit(str(end)))).drop("__total")
     known: int | None = None
     while left > near:
-        cut = ranges(rows, order, _range_count(df))
+        cut = ranges(rows, order)
         known = cut.total if known is None else known
         if left >= cut.total:
             rows, left = rows.limit(0), 0
@@ -107,23 +106,18 @@ def page(df: DataFrame, order: Sequence[str], offset: int, size: int = PAGE_SIZE
     return rows.withColumn("next_cursor", F.lit(str(end) if known > end else None).cast("string"))
 
 
-def positions(df: DataFrame, order: Sequence[str], name: str = "pos", parts: int | None = None) -> DataFrame:
-    """Rows with their place from 0 in a total order: ranges are sorted apart and shifted by the rows before them."""
-    return _placed(df, order, name, parts)[0]
-
-
-def _placed(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> tuple[DataFrame, int]:
-    cut = ranges(df, order, parts or _range_count(df))
-    before = F.array(*[F.lit(cut.before(k)).cast("long") for k in range(len(cut.counts))])
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    out = df.withColumn("__range", cut.of).withColumn(name, own.cast("long") - 1 + F.get(before, F.col("__range")))
-    return out.drop("__range"), cut.total
+def positions(df: DataFrame, order: Sequence[str], name: str = "pos", range_rows: int | None = None) -> DataFrame:
+    """Rows with their place from 0 in a total order: sorted once into ranges, each shifted by the rows before it. Rows that are
+    equal in ``order`` follow each other in any order."""
+    table = scan.placed(df, order, range_rows)
+    out = table.join(scan.before(table), scan.RANGE).withColumn(name, F.col(scan.AT) + F.col("__before"))
+    return out.select(*df.columns, name)
 
 
-def cursor_chain(df: DataFrame, order: Sequence[str], key: str, size: int = PAGE_SIZE) -> DataFrame:
-    """One row per page: page (from 0), n_items, first_key, last_key, next_cursor."""
-    placed, total = _placed(df, order, "pos")
+def cursor_chain(df: DataFrame, order: Sequence[str], key: str, size: int = PAGE_SIZE, range_rows: int | None = None) -> DataFrame:
+    """One row per page: page (from 0), n_items, first_key, last_key, next_cursor, null on the last."""
+    placed = positions(df, order, "pos", range_rows)
     paged = placed.withColumn("page", F.floor(F.col("pos") / size).cast("long"))
     pages = paged.groupBy("page").agg(F.count(F.lit(1)).alias("n_items"), F.min_by(key, "pos").alias("first_key"), F.max_by(key, "pos").alias("last_key"))
-    end = (F.col("page") + 1) * size
-    return pages.withColumn("next_cursor", F.when(end < total, end.cast("string")))
+    end, total = (F.col("page") + 1) * size, df.agg(F.count(F.lit(1)).alias("__total"))
+    return pages.crossJoin(total).select("page", "n_items", "first_key", "last_key", F.when(end < F.col("__total"), end.cast("string")).alias("next_cursor"))

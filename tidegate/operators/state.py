@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegate.operators import scan
 
 #: The service's own bucket.
 MAX_TOKENS, PER_SECOND = 60.0, 20.0
@@ -50,6 +53,38 @@ def token_bucket(df: DataFrame, ts: str, id: str, key: str | None = None, most:
     return rows.repartition("key").sortWithinPartitions("key", "micros", "id").mapInArrow(run, rows.drop("micros").schema.add("allowed", "boolean"))
 
 
+def service_bucket(df: DataFrame, ts: str, id: str, most: float = MAX_TOKENS, rate: float = PER_SECOND, range_rows: int | None = None) -> DataFrame:
+    """Rows (id, allowed) by one bucket for everybody, in order of ts and id, by many tasks. A row without a time takes nothing and
+    gets null.
+
+    Tokens are whole units here (see ``ServiceBucket``): where ``token_bucket`` rounds a sum of doubles, this one is exact.
+    """
+    rows = df.select(F.col(id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
+    timed = scan.scanned(rows.where("micros IS NOT NULL"), ["micros", "id"], scan.ServiceBucket(most, rate), None, "allowed", T.BooleanType(), range_rows)
+    return timed.select("id", "allowed").unionByName(rows.where("micros IS NULL").select("id", F.lit(None).cast("boolean").alias("allowed")))
+
+
+def queue_outcome(df: DataFrame, ts: str, id: str, arrives: Column, depth: int = 100, range_rows: int | None = None) -> DataFrame:
+    """Rows (id, accepted) of a queue of at most ``depth``: where ``arrives`` is true an event is put in, unless the queue is full;
+    where it is false the host takes one, and accepted is null. In order of ts and id, by many tasks; a null time comes first."""
+    rows = df.select(F.col(id).alias("id"), F.col(ts).alias("ts"), arrives.alias("arrives"))
+    return scan.scanned(rows, ["ts", "id"], scan.BoundedQueue(depth), 0, "accepted", T.BooleanType(), range_rows).select("id", "accepted")
+
+
+def as_of(requests: DataFrame, versions: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """Requests (id, registry, at) with version: of the versions (version, registry, at) of their registry the last no later than
+    they are, by (at, version); null before the first.
+
+    Both logs are put into one order of registry and time, and the last version is carried along it, over the ends of ranges
+    too, so a registry that everybody asks for takes as many tasks as it has ranges.
+    """
+    row = lambda df, kind, id, version: df.select("registry", "at", F.lit(kind).alias("kind"), id.cast("string").alias("id"), version.cast("string").alias("own"))
+    both = row(versions, 0, F.col("version"), F.col("version")).unionByName(row(requests, 1, F.col("id"), F.lit(None))).withColumn("number", F.coalesce(F.col("own").try_cast("long"), F.lit(0)))
+    found = scan.scanned(both, ["registry", "at", "kind", "number", "id"], scan.Carried("registry", "own"), [None, None], "version", T.StringType(), range_rows)
+    kinds = requests.schema["id"].dataType, versions.schema["version"].dataType
+    return found.where("kind = 1").select(F.col("id").cast(kinds[0]).alias("id"), "registry", "at", F.col("version").cast(kinds[1]).alias("version"))
+
+
 def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each key."""
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("__last")
@@ -76,7 +111,7 @@ def session_check(requests: DataFrame, sessions: DataFrame, sid: str) -> DataFra
     """Requests with http: 200 without a session id or with that of an active session, else 404."""
     active = sessions.where("active").select(F.col("sid").alias("__sid"))
     found = requests.join(active, F.col(sid) == F.col("__sid"), "left")
-    return found.withColumn("http", F.when((F.col(sid) == "") | F.col("__sid").isNotNull(), 200).otherwise(404)).drop("__sid")
+    return found.withColumn("http", F.when((F.coalesce(F.col(sid), F.lit("")) == "") | F.col("__sid").isNotNull(), 200).otherwise(404)).drop("__sid")
 
 
 def close_outcome(sid: Column, known: Column) -> Column:

@@ -1,29 +1,123 @@
-"""SQL text and expressions from callers, and functions by name. Text is parsed by Spark, never run as Python."""
+"""SQL text and expressions from callers, and functions by name. Text is parsed by Spark, never run as Python.
+
+What a caller may say is a list of what is allowed, checked on Spark's own plan of the text and not on its letters: kinds of plan node,
+kinds of expression, functions by the group that they are documented in, and relations that the caller was given.
+"""
 
 from __future__ import annotations
 
 import inspect
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterator
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def execute_sql(spark: SparkSession, text: str) -> DataFrame:
-    """The result of one query; anything that isn't a query is refused."""
-    if not re.match(r"\s*(SELECT|WITH|VALUES|FROM|TABLE)\b", text, re.IGNORECASE) or re.search(r"\b(INSERT|OVERWRITE|TRANSFORM|REFLECT|JAVA_METHOD)\b", text, re.IGNORECASE):
-        raise ValueError("only queries are executed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if "Command" in plan.getClass().getName() or "InsertInto" in plan.toString():
-        raise ValueError("only queries are executed")
+#: Names of Spark's classes and function groups. Commands, scripts, paths, hints that name them and calls out of SQL are in none.
+NODES = frozenset(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Union Distinct Except Intersect Deduplicate SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation "
+    "UnresolvedInlineTable UnresolvedTableValuedFunction ResolvedInlineTable LocalRelation OneRowRelation UnresolvedWith UnresolvedHaving WithWindowDefinition Window Generate Pivot Unpivot Tail".split()
+)
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedStarWithColumns UnresolvedFunction UnresolvedAlias UnresolvedExtractValue UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedGenerator "
+    "UnresolvedWindowExpression UnresolvedInlineTable UnresolvedSubqueryColumnAliases MultiAlias".split()
+)
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs date_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs "
+    "string_funcs struct_funcs url_funcs variant_funcs window_funcs xml_funcs".split()
+)
+TABLE_FUNCTIONS = frozenset(["range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"])
+_EXPRESSION_PACKAGES = ("org.apache.spark.sql.catalyst.expressions.", "org.apache.spark.sql.types.")
+
+
+class Refused(ValueError):
+    """What a caller isn't allowed to say."""
+
+
+def _each(seq: JavaObject) -> Iterator[JavaObject]:
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+class _Checked:
+    """Walks a parsed plan and refuses what isn't allowed."""
+
+    def __init__(self, spark: SparkSession, functions: Collection[str] = ()):
+        self.session = spark._jsparkSession.sessionState()
+        self.jvm, self.spark = spark.sparkContext._jvm, spark
+        self.own, self.ctes = {f.lower() for f in functions}, set()
+
+    def _is(self, x: JavaObject, name: str) -> bool:
+        return bool(self.jvm.java.lang.Class.forName(name).isInstance(x))
+
+    def plan(self, node: JavaObject) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in NODES:
+            raise Refused(f"only queries are executed: {kind} is none")
+        if kind == "UnresolvedWith":
+            for pair in _each(node.cteRelations()):
+                self.ctes.add(pair._1().lower())
+            for pair in _each(node.cteRelations()):
+                self.plan(pair._2())
+        if kind == "UnresolvedRelation":
+            self.relation([str(p) for p in _each(node.multipartIdentifier())])
+        if kind == "UnresolvedTableValuedFunction":
+            name = ".".join(str(p) for p in _each(node.name()))
+            if name.lower() not in TABLE_FUNCTIONS:
+                raise Refused(f"no table function {name}")
+        if kind == "Generate":
+            self.expression(node.generator())
+        for e in _each(node.expressions()):
+            self.expression(e)
+        for child in _each(node.children()):
+            self.plan(child)
+
+    def relation(self, parts: list[str]) -> None:
+        """A name of the query itself or of the catalog; a path with the name of a format before it is in neither."""
+        if len(parts) == 1 and parts[0].lower() in self.ctes:
+            return
+        if not self.spark.catalog.tableExists(".".join("`" + p.replace("`", "``") + "`" for p in parts)):
+            raise Refused(f"no table {'.'.join(parts)}")
+
+    def expression(self, e: JavaObject) -> None:
+        name = e.getClass().getName()
+        kind = name.rpartition(".")[2]
+        if kind == "UnresolvedFunction":
+            self.function([str(p) for p in _each(e.nameParts())])
+        elif kind == "UnresolvedGenerator":
+            self.function([str(e.name().funcName())])
+        elif not (kind in EXPRESSIONS or name.startswith(_EXPRESSION_PACKAGES) and "Reflect" not in kind and not kind.startswith(("Invoke", "StaticInvoke", "NewInstance", "ScalaUDF", "PythonUDF"))):
+            raise Refused(f"no {kind} in expressions")
+        if self._is(e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            self.plan(e.plan())
+        for child in _each(e.children()):
+            self.expression(child)
+
+    def function(self, parts: list[str]) -> None:
+        name = parts[-1].lower()
+        if name in self.own and len(parts) == 1:
+            return
+        builtin = getattr(self.jvm.org.apache.spark.sql.catalyst.analysis, "FunctionRegistry").builtin()
+        identifier = self.jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+        info = builtin.lookupFunction(identifier)
+        if len(parts) > 1 or not info.isDefined() or info.get().getGroup() not in GROUPS:
+            raise Refused(f"no function {'.'.join(parts)}")
+        own = self.session.functionRegistry().lookupFunction(identifier)
+        if own.isDefined() and own.get().getClassName() != info.get().getClassName():
+            raise Refused(f"function {name} has been replaced")
+
+
+def execute_sql(spark: SparkSession, text: str, functions: Collection[str] = ()) -> DataFrame:
+    """The result of one query over tables and views that the session knows; ``functions`` names functions of the session's own
+    that it may call. Anything else is refused."""
+    _Checked(spark, functions).plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
     return spark.sql(text)
 
 
-def evaluate(df: DataFrame, expression: str, name: str = "result") -> DataFrame:
+def evaluate(df: DataFrame, expression: str, name: str = "result", functions: Collection[str] = ()) -> DataFrame:
     """``df`` with an expression's value as text."""
-    if re.search(r"\b(REFLECT|JAVA_METHOD)\b", expression, re.IGNORECASE):
-        raise ValueError("no calls out of SQL")
+    spark = df.sparkSession
+    _Checked(spark, functions).expression(spark._jsparkSession.sessionState().sqlParser().parseExpression(expression))
     return df.withColumn(name, F.expr(expression).cast("string"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import jsonrpc, prompts, urls
@@ -114,13 +114,15 @@ def list_resources_message(spark, sf_dir):
     return _listed(rows, "doc_id", F.struct(F.col("source").alias("description"), F.lit("text/plain").alias("mimeType"), F.col("lang").alias("name"), uri.alias("uri")), "resources")
 
 
-@query("""SELECT to_json({id: 1, jsonrpc: '2.0', result: {prompts: list({arguments: [{description: 'About what', name: 'topic', required: item_id % 2 = 0}], description: substr(text, 1, 20), name: 'p' || item_id} ORDER BY item_id)}})::VARCHAR AS message
-FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 40)""")
+@query("""WITH p AS (SELECT *, (row_number() OVER (ORDER BY item_id) - 1) // 50 AS page FROM benchmark)
+SELECT to_json({id: 1, jsonrpc: '2.0', result: {prompts: list({arguments: [{description: 'About what', name: 'topic', required: item_id % 2 = 0}], description: text, name: 'p' || item_id} ORDER BY item_id)}})::VARCHAR AS message
+FROM p WHERE page = (SELECT max(page) FROM p)""")
 def list_prompts_message(spark, sf_dir):
-    """The last page, which has no cursor."""
-    rows = paging.page(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(40), ["item_id"], 0)
+    """The last page of the whole registry, which has no cursor."""
+    prompts_ = table(spark, sf_dir, "benchmark")
+    rows = paging.page(prompts_, ["item_id"], (prompts_.count() - 1) // paging.PAGE_SIZE * paging.PAGE_SIZE)
     argument = F.struct(F.lit("About what").alias("description"), F.lit("topic").alias("name"), (F.col("item_id") % 2 == 0).alias("required"))
-    return _listed(rows, "item_id", F.struct(F.array(argument).alias("arguments"), F.substring("text", 1, 20).alias("description"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name")), "prompts")
+    return _listed(rows, "item_id", F.struct(F.array(argument).alias("arguments"), F.col("text").alias("description"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name")), "prompts")
 
 
 # Admission
@@ -194,7 +196,18 @@ def token_bucket_by_user(spark, sf_dir):
 
 @query(_BUCKET_SQL.format(key="0", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.002 AS DOUBLE)") + "SELECT event_id, allowed FROM b")
 def token_bucket_global(spark, sf_dir):
-    return state.token_bucket(table(spark, sf_dir, "events"), "ts", "event_id", None, 3.0, 0.002).select(F.col("id").alias("event_id"), "allowed")
+    return state.service_bucket(table(spark, sf_dir, "events"), "ts", "event_id", 3.0, 0.002).select(F.col("id").alias("event_id"), "allowed")
+
+
+@query("""WITH RECURSIVE q AS (SELECT event_id, event_type IN ('click', 'view', 'purchase') AS arrives, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT n, event_id, CASE WHEN arrives THEN 1 ELSE 0 END AS waiting, CASE WHEN arrives THEN true END AS accepted FROM q WHERE n = 1
+  UNION ALL
+  SELECT q.n, q.event_id, CASE WHEN q.arrives THEN least(b.waiting + 1, 100) ELSE greatest(b.waiting - 1, 0) END, CASE WHEN q.arrives THEN b.waiting < 100 END FROM b JOIN q ON q.n = b.n + 1)
+SELECT event_id, accepted FROM b""")
+def queue_outcome(spark, sf_dir):
+    """Events for the host wait in a queue of 100, which it takes from one at a time; what finds the queue full is refused."""
+    arrives = F.col("event_type").isin("click", "view", "purchase")
+    return state.queue_outcome(table(spark, sf_dir, "events"), "ts", "event_id", arrives).select(F.col("id").alias("event_id"), "accepted")
 
 
 @query(_BUCKET_SQL.format(key="'session-' || user_id", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + "SELECT k AS session_id, 'req_' || event_id AS request_id, allowed FROM b")
@@ -278,6 +291,26 @@ def registry_outcome(spark, sf_dir):
     return _versions(spark, sf_dir).select("conv_id", "turn", state.replace_outcome(F.col("payload"), F.col("registry")).alias("error"))
 
 
+_LISTED_SQL = """WITH v AS (SELECT event_id AS version, CASE WHEN user_id % 2 = 0 THEN 'tools' ELSE 'prompts' END AS registry, ts, 40 + event_id % 30 AS n FROM events WHERE event_type = 'signup' AND event_id % 3 <> 1),
+r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'tools' ELSE 'prompts' END AS registry, CASE WHEN event_id % 4 < 2 THEN 0 ELSE 50 END AS o, ts FROM events WHERE event_type = 'view'),
+j AS (SELECT r.event_id, r.registry, v.version, coalesce(v.n, 0) AS n, o FROM r ASOF LEFT JOIN v ON r.registry = v.registry AND r.ts >= v.ts)
+SELECT event_id, registry, version, greatest(0, least(50, n - o))::INTEGER AS n_items, CASE WHEN n > o THEN '{"name":"t' || (o + 1) || '"}' END AS first_item, CASE WHEN o + 50 < n THEN CAST(o + 50 AS VARCHAR) END AS next_cursor FROM j"""
+
+
+@query(_LISTED_SQL)
+def list_as_of(spark, sf_dir):
+    """A page of the registry as it is when the list is asked for; a version that is no array replaces nothing."""
+    events, e = table(spark, sf_dir, "events"), F.col("event_id")
+    items = F.to_json(F.transform(F.sequence(F.lit(1), (40 + e % 30).cast("int")), lambda i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("name"))))
+    versions = events.where("event_type = 'signup'").select(e.alias("version"), F.when(F.col("user_id") % 2 == 0, "tools").otherwise("prompts").alias("registry"), F.col("ts").alias("at"), F.when(e % 3 == 1, F.lit('[{"name"')).otherwise(items).alias("payload"))
+    valid = versions.where(state.is_registry(F.col("payload")))
+    asked = events.where("event_type = 'view'").select(e.alias("id"), F.when(e % 2 == 0, "tools").otherwise("prompts").alias("registry"), F.col("ts").alias("at"))
+    seen = state.as_of(asked, valid.select("version", "registry", "at")).join(valid.select("version", "payload"), "version", "left")
+    page = jsonrpc.page_of(F.coalesce("payload", F.lit("[]")), F.when(F.col("id") % 4 < 2, F.lit("")).otherwise(F.lit("50")))
+    out = seen.withColumn("page", page)
+    return out.select(F.col("id").alias("event_id"), "registry", "version", F.size("page.items").alias("n_items"), F.get("page.items", F.lit(0)).alias("first_item"), F.col("page.next").alias("next_cursor"))
+
+
 @query("""SELECT event_id, '2025-03-26' AS protocol_version, true AS initialized, ts AS created_at, ts AS last_activity, true AS well_formed FROM events WHERE event_type = 'signup'""")
 def session_create(spark, sf_dir):
     """The identifier itself is random; its form is shown."""
@@ -362,6 +395,49 @@ def fifo_delivery(spark, sf_dir):
     return correlate.delivery_order(_fanned(spark, sf_dir)).select("stream_id", "message_id", "seq")
 
 
+@query("""WITH s AS (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ts + INTERVAL 30 DAY ELSE ts + INTERVAL 2 HOUR END AS closed FROM events WHERE event_type = 'signup')
+SELECT s.event_id AS stream_id, count(*)::BIGINT AS n_messages, min(m.event_id) AS least_id, max(m.event_id) AS greatest_id FROM s JOIN events m ON m.ts >= s.ts AND (closed IS NULL OR m.ts < closed)
+WHERE m.event_type = 'error' GROUP BY s.event_id""")
+def fanout_open_streams(spark, sf_dir):
+    """Streams that are open for hours, for a month, and still."""
+    events, e = table(spark, sf_dir, "events"), F.col("event_id")
+    messages = events.where("event_type = 'error'").select(e.alias("message_id"), F.col("ts").alias("at"))
+    closed = F.when(e % 3 == 1, F.col("ts") + F.expr("INTERVAL 30 DAYS")).when(e % 3 == 2, F.col("ts") + F.expr("INTERVAL 2 HOURS"))
+    streams = events.where("event_type = 'signup'").select(e.alias("stream_id"), F.col("ts").alias("opened"), closed.alias("closed"))
+    sent = correlate.fanned_out(messages, streams, 3600)
+    return sent.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_messages"), F.min("message_id").alias("least_id"), F.max("message_id").alias("greatest_id"))
+
+
+@query("""WITH l AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS request_id FROM events),
+m AS (SELECT request_id, event_id, ts, event_type FROM l WHERE request_id IS NOT NULL AND event_type IN ('click', 'view', 'purchase')),
+a AS (SELECT request_id, min(ts) AS answered FROM m WHERE event_type = 'purchase' GROUP BY request_id),
+g AS (SELECT request_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY request_id ORDER BY ts, event_id) AS gap FROM m),
+d AS (SELECT request_id, min(ts) AS lost FROM g WHERE gap > 21600000000 GROUP BY request_id)
+SELECT m.request_id, m.event_id AS progress_id FROM m LEFT JOIN a ON a.request_id = m.request_id LEFT JOIN d ON d.request_id = m.request_id
+WHERE m.event_type = 'view' AND (answered IS NULL OR m.ts < answered) AND (lost IS NULL OR m.ts < lost)""")
+def progress_until_answer(spark, sf_dir):
+    """A user's views and purchases belong to the last click before them; progress after the answer, or after six silent hours, is lost."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    log = table(spark, sf_dir, "events").withColumn("request_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)).where("request_id IS NOT NULL")
+    of = lambda kind, id: log.where(F.col("event_type") == kind).select("request_id", F.col("event_id").alias(id), F.col("ts").alias("at"))
+    out = correlate.progress_until_answer(of("click", "own_id"), of("view", "progress_id"), of("purchase", "answer_id"), 6 * 3600)
+    return out.select("request_id", "progress_id")
+
+
+@query("""WITH s AS (SELECT event_id AS stream_id, ts AS opened, ts + INTERVAL 30 MINUTE AS closed FROM events WHERE event_type = 'signup'),
+b AS (SELECT DISTINCT stream_id, m.ts AS sent FROM s JOIN events m ON m.ts >= opened AND m.ts < closed WHERE m.event_type = 'error'),
+e AS (SELECT stream_id, opened AS since, 0 AS k FROM s UNION ALL SELECT stream_id, sent, 1 FROM b),
+g AS (SELECT e.*, closed, lead(since) OVER (PARTITION BY stream_id ORDER BY since, k) AS following FROM e JOIN s USING (stream_id)),
+c AS (SELECT stream_id, since, unnest(range(1, CASE WHEN following IS NULL THEN (epoch_us(closed) - epoch_us(since)) // 30000000 + 1 ELSE (epoch_us(following) - epoch_us(since) + 29999999) // 30000000 END)) AS k FROM g)
+SELECT stream_id, since + to_seconds(k * 30) AS sent_at, false AS after_batch FROM c UNION ALL SELECT stream_id, sent, true FROM b""")
+def keepalive_restarts(spark, sf_dir):
+    """Each batch of messages is followed by a comment, and waiting begins anew."""
+    events = table(spark, sf_dir, "events")
+    streams = events.where("event_type = 'signup'").select(F.col("event_id").alias("stream_id"), F.col("ts").alias("opened"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("closed"))
+    messages = events.where("event_type = 'error'").select(F.col("event_id").alias("message_id"), F.col("ts").alias("at"))
+    return correlate.keepalives_between(streams, correlate.fanned_out(messages, streams, 1800)).withColumnRenamed("at", "sent_at")
+
+
 # Messages
 
 
@@ -387,8 +463,8 @@ SELECT event_id, method, tool, CASE WHEN NOT ok THEN 'parse_error' WHEN method I
 def rpc_classify(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", _body().alias("body"))
     body = F.col("body")
-    with jsonrpc.duplicate_keys(spark):
-        rows = rows.select("event_id", F.coalesce(jsonrpc.kind(body) == "OBJECT", F.lit(False)).alias("ok"), jsonrpc.field(body, "$.method").alias("method"), jsonrpc.has_key(body, "id").alias("has_id"), jsonrpc.field(body, "$.params.name").alias("tool"))
+    rows = rows.select("event_id", jsonrpc.message(body).alias("m"), jsonrpc.has_key(body, "id").alias("has_id"))
+    rows = rows.select("event_id", F.coalesce(jsonrpc.kind_of(F.col("m")) == "OBJECT", F.lit(False)).alias("ok"), jsonrpc.text_of(F.col("m"), "$.method").alias("method"), "has_id", jsonrpc.text_of(F.col("m"), "$.params.name").alias("tool"))
     outcome = F.when(~F.col("ok"), F.lit("parse_error")).otherwise(predicates.outcome(F.col("method"), F.col("has_id")))
     code = F.when(~F.col("ok"), jsonrpc.PARSE_ERROR).when(outcome == "method_not_found", jsonrpc.METHOD_NOT_FOUND)
     return rows.select("event_id", "method", "tool", outcome.alias("outcome"), code.alias("code"))
@@ -585,14 +661,14 @@ def url_decode(spark, sf_dir):
 @query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS p FROM pages),
 k AS (SELECT page_id, url_decode(replace(split_part(p, '=', 1), '+', ' ')) AS key, url_decode(replace(split_part(p, '=', 2), '+', ' ')) AS value FROM q WHERE split_part(p, '=', 1) <> ''),
 o AS (SELECT page_id, string_agg(to_json(key)::VARCHAR || ':' || to_json(value)::VARCHAR, ',' ORDER BY key) AS params FROM k GROUP BY page_id)
-SELECT page_id, '{"body":' || to_json(CASE WHEN page_id % 5 IN (1, 2, 4) THEN substr(html, 1, 30) ELSE '' END)::VARCHAR || ',"content_type":"' || CASE WHEN page_id % 5 IN (1, 2, 4) THEN 'text/html' ELSE '' END
+SELECT page_id, '{"body":' || to_json(CASE WHEN page_id % 5 IN (1, 2, 4) THEN html ELSE '' END)::VARCHAR || ',"content_type":"' || CASE WHEN page_id % 5 IN (1, 2, 4) THEN 'text/html' ELSE '' END
   || '","id":"req_' || page_id || '","method":"' || ['GET', 'POST', 'PUT', 'DELETE', 'PATCH'][1 + page_id % 5] || '","params":{' || coalesce(params, '') || '},"path":' || to_json(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1))::VARCHAR || '}' AS data
 FROM pages LEFT JOIN o USING (page_id)""")
 def legacy_request(spark, sf_dir):
     k = F.col("page_id") % 5
     sends = k.isin(1, 2, 4)
     method = F.get(F.array(*map(F.lit, ["GET", "POST", "PUT", "DELETE", "PATCH"])), k.cast("int"))
-    body, content_type = F.when(sends, F.substring("html", 1, 30)).otherwise(F.lit("")), F.when(sends, F.lit("text/html")).otherwise(F.lit(""))
+    body, content_type = F.when(sends, F.col("html")).otherwise(F.lit("")), F.when(sends, F.lit("text/html")).otherwise(F.lit(""))
     data = jsonrpc.forwarded(F.concat(F.lit("req_"), F.col("page_id").cast("string")), method, urls.path(F.col("url")), body, content_type, urls.query_params(urls.query_string(F.col("url"))))
     return table(spark, sf_dir, "pages").select("page_id", data.alias("data"))
 
