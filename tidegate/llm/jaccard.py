@@ -131,25 +131,26 @@ def _sketch(scan: DataFrame) -> np.ndarray:
 
 
 def _postings(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
-    """(shingle, class, group << 56 | set size << 28 | place) of the prefixes; a task sends each class once."""
+    """(shingle, class, set size << 28 | place, group) of the prefixes; a task sends each class once. A shingle has a group for each HOT
+    of its estimated texts, and one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            token, c, word = [], [], []
+            token, c, word, hot = [], [], [], []
             for s in _sets(batch.column("text"), n, lower):
                 if not len(s) or (own := _class(_digest(s))) in seen:
                     continue
                 seen.add(own)
                 often = sketch[_slot(s)]
                 first = np.lexsort((s, often))[: bounds.probe(len(s))]
-                groups = np.minimum(often[first] // HOT, 100)
-                group = np.where(groups > 0, 1 + own % np.maximum(groups, 1), 0)
+                groups = often[first] // HOT
+                hot.append(np.where(groups > 0, 1 + own % np.maximum(groups, 1), 0))
                 token.append(s[first].view(np.int64))
                 c.append(np.full(len(first), own))
-                word.append(group << 56 | len(s) << 28 | np.arange(len(first)))
+                word.append(len(s) << 28 | np.arange(len(first)))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, c, word)], names=["token", "c", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, c, word, hot)], names=["token", "c", "w", "hot"])
 
     return run
 
@@ -161,25 +162,25 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token, c, w = (batch.column(k).to_numpy() for k in ("token", "c", "w"))
+        token, c, w, hot = (batch.column(k).to_numpy() for k in ("token", "c", "w", "hot"))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-        token, c, w = token[new], c[new], w[new]
+        token, c, w, hot = token[new], c[new], w[new], hot[new]
         same = token[1:] == token[:-1]
-        keep = w >> 56 > 0
+        keep = hot > 0
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= stays
-        held, stays = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (token, c, w)], names=["token", "c", "w"]), bool(keep[-1])
+        held, stays = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (token, c, w, hot)], names=["token", "c", "w", "hot"]), bool(keep[-1])
         k = np.flatnonzero(keep[:-1])
-        yield _posting_batch(token[k], c[k], w[k])
+        yield _posting_batch(token[k], c[k], w[k], hot[k])
     if held is not None and stays:
-        yield _posting_batch(*(held.column(k).to_numpy() for k in ("token", "c", "w")))
+        yield _posting_batch(*(held.column(k).to_numpy() for k in ("token", "c", "w", "hot")))
 
 
-def _posting_batch(token: np.ndarray, c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+def _posting_batch(token: np.ndarray, c: np.ndarray, w: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
     low = (1 << 28) - 1
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, c, w >> 28 & low, w & low, w >> 56)], names=["token", "c", "n", "pos", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (token, c, w >> 28, w & low, hot)], names=["token", "c", "n", "pos", "hot"])
 
 
 def _distance(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -289,9 +290,8 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHIN
     # by the number of texts: few tasks and files where they are few
     n_texts = scan.count()
     classes = written(classes.coalesce(max(1, n_texts // TASK_CLASSES)), "classes")
-    group = F.shiftright("w", 56)
-    posting = docs.select("text").mapInArrow(_postings(n, lower, bounds, sketch), "token long, c long, w long")
-    met = posting.repartition(F.col("token"), group).sortWithinPartitions(F.col("token"), group, F.col("c")).mapInArrow(_met, "token long, c long, n long, pos long, hot long")
+    posting = docs.select("text").mapInArrow(_postings(n, lower, bounds, sketch), "token long, c long, w long, hot long")
+    met = posting.repartition("token", "hot").sortWithinPartitions("token", "hot", "c").mapInArrow(_met, "token long, c long, n long, pos long, hot long")
     met = written(met.join(classes.select("c", *bitmap), "c").select("token", "c", "n", "pos", "hot", *bitmap), "postings")
     # the text of one row of each class that met another; what repeats a row is dropped where the join has put it
     wanted = written(met.select("c").distinct().join(classes.select("c", "body.own", "body.key2"), "c").coalesce(max(1, n_texts // TASK_CLASSES)), "wanted")

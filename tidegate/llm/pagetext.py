@@ -398,7 +398,9 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     schema = source.drop("html").schema.add("sid", "binary")
     for name, kind in (("article", T.StringType()), ("open", T.StringType()), ("number", T.IntegerType())):
         schema = schema.add(name, T.ArrayType(kind))
-    known = source.mapInArrow(_read, schema).join(flags, F.col("sid") == F.col("__sid"), "left")
+    # pages with nothing outside the article have no stream: each gets a key of its own, so that they don't meet in one task
+    key = F.coalesce("sid", F.to_binary(F.hex(F.xxhash64("__id", "__url")), F.lit("hex")))
+    known = source.mapInArrow(_read, schema).withColumn("sid", key).join(flags, F.col("sid") == F.col("__sid"), "left")
     unique = F.filter("open", lambda _, i: ~F.coalesce(F.array_contains(F.col("covered"), F.get("number", i)), F.lit(False)))
     text: Column = F.array_join(F.concat("article", unique), "\n\n")
     out = known.select(F.col("__id").alias(id), F.col("__url").alias(url), text.alias("text"), F.coalesce("words", F.lit(0)).cast("long").alias("n_repeated"))

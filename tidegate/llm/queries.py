@@ -20,8 +20,14 @@ def tokenizer_path(name: str) -> str:
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    """The key in spark.tidegate.pseudonym.key; where that is unset, a public one, for trials alone."""
-    return spark.conf.get("spark.tidegate.pseudonym.key", "not a secret")
+    """The key in spark.tidegate.pseudonym.key; where that is unset, a public one in local mode, for trials alone, and an error on a
+    cluster: whoever has this text could undo those pseudonyms."""
+    key = spark.conf.get("spark.tidegate.pseudonym.key", None)
+    if not key:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.tidegate.pseudonym.key has to hold the key of the pseudonyms")
+        key = "not a secret"
+    return key
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm import _sorted, _text
@@ -110,7 +110,7 @@ def _joined(window: int):
             for id, fp, at, found in zip(*(batch.column(c).to_pylist() for c in ("id", "fp", "at", "found")), strict=True):
                 last = None
                 for w in sorted(found, key=lambda w: w["off"]):
-                    other = w["most"] if id == w["least"] else w["least"]
+                    other = w["second"] if id == w["least"] else w["least"]
                     if last is not None and at + w["off"] <= last[2] + last[3]:
                         last[3], last[4] = at + w["off"] + window - last[2], min(last[4], other)
                     else:
@@ -242,8 +242,7 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
     """One row per repeated passage of a document: id, start_word (from 0), n_words, other_id.
 
     A passage is a maximal span of words made of matches, each of at least ``window`` words, with documents of other
-    ids; other_id is the smallest id among those, but in a start that very many have the largest for the document with
-    the smallest. Nulls, short texts and rows with a null id have none;
+    ids; other_id is the smallest id among those. Nulls, short texts and rows with a null id have none;
     rows that repeat an id and a text count once. Other columns are left out; an empty table gives an empty table.
     """
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
@@ -261,9 +260,12 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", win
     kept = having(False).mapInArrow(_suffixes(window, k), _SUFFIX).repartition("seed").sortWithinPartitions("seed", "ahead", "id")
     found = kept.mapInArrow(_compared(window, k), "id long, fp long, at int, n int, other long")
     stretches = having(True).mapInArrow(_hot_runs(window, k), _RUN)
-    strings = written(stretches.groupBy("sid").agg(F.first("packed").alias("packed"), F.min("id").alias("lo"), F.max("id").alias("hi")), "strings")
+    # the two least documents of a string; the limit is applied before the shuffle too
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("id"))
+    two = stretches.select("sid", "id").distinct().withColumn("rank", rank).where("rank <= 2").groupBy("sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    strings = written(stretches.groupBy("sid").agg(F.first("packed").alias("packed")).join(two, "sid"), "strings")
     several = _sorted.shared(strings.mapInArrow(_windows(window), _sorted.WINDOW_DDL))
-    several = several.groupBy("sid").agg(F.collect_set(F.struct("off", "least", "most")).alias("found"))
+    several = several.groupBy("sid").agg(F.collect_set(F.struct("off", "least", "second")).alias("found"))
     hot = stretches.select("sid", "id", "fp", "at").join(several, "sid").mapInArrow(_joined(window), "id long, fp long, at int, n int, other long")
     found = written(found.unionByName(hot), "spans")
     spans = found.groupBy("id", "fp").agg(F.collect_set(F.struct("at", "n", "other")).alias("spans")).select("id", "spans")
