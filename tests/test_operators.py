@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 
 from tidegate.functions import jsonrpc, urls
@@ -114,6 +114,31 @@ def test_functions_in_sql(spark):
         f.in_sql(spark, "nothing", "long")
 
 
+def test_handlers_as_tables(spark):
+    f = usercode.Functions()
+
+    @f.register("tidegate_count", "tidegate_zaehle")
+    def count(n, by=1):
+        for k in range(0, n, by):
+            yield k
+        return "done"
+
+    @f.register("tidegate_plain")
+    def plain(x=None):
+        return x
+
+    for name in ("tidegate_count", "TIDEGATE_PLAIN"):
+        f.as_table(spark, name)
+    rows = lambda text: [tuple(r) for r in spark.sql(text).collect()]
+    assert rows("SELECT * FROM tidegate_zaehle(3, 2)") == [(1, "progress", "0"), (2, "progress", "2"), (3, "answer", "done")]
+    assert rows("SELECT * FROM tidegate_plain()") == [(1, "answer", None)] and rows("SELECT * FROM tidegate_plain('x')") == [(1, "answer", "x")]
+    assert rows("SELECT id, sum(h.step) FROM range(3) r, LATERAL tidegate_count(CAST(r.id AS INT)) h GROUP BY id ORDER BY id") == [(0, 1), (1, 3), (2, 6)]
+    with pytest.raises(AnalysisException):
+        spark.sql("SELECT * FROM tidegate_count(1, 2, 3)")
+    with pytest.raises(LookupError):
+        f.as_table(spark, "nothing")
+
+
 def test_session_ids_differ(spark):
     made = state.sessions_created(spark.range(200), F.lit("v"), F.current_timestamp())
     assert made.select("session_id").distinct().count() == 200

@@ -83,6 +83,21 @@ def answer_body(json: Column, without: Sequence[str] = ("id", "status", "content
     return F.when(has_key(json, "body"), text).otherwise(rest)
 
 
+#: What the host is told of an answer that can't be taken.
+INVALID_ANSWER, ANSWER_WITHOUT_ID = "Invalid JSON in SendResponse", "Missing 'id' in SendResponse JSON"
+
+
+def sent_answer(json: Column) -> Column:
+    """An answer of the host as id, http (200 unless it says so), content_type (JSON unless it says so) and body; only error where it is no
+    object or has no id."""
+    m = message(json)
+    whole, id = F.coalesce(kind_of(m) == "OBJECT", F.lit(False)), F.coalesce(text_of(m, "$.id"), F.lit(""))
+    error = F.when(~whole, F.lit(INVALID_ANSWER)).when(id == "", F.lit(ANSWER_WITHOUT_ID))
+    good = lambda x: F.when(error.isNull(), x)
+    status = F.coalesce(F.try_variant_get(m, "$.status", "int"), F.lit(200))
+    return F.struct(good(id).alias("id"), good(status).alias("http"), good(F.coalesce(text_of(m, "$.content_type"), F.lit("application/json"))).alias("content_type"), good(answer_body(json)).alias("body"), error.alias("error"))
+
+
 def now_millis() -> Column:
     """The clock, in milliseconds since 1970."""
     return F.unix_millis(F.current_timestamp())

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The topic where none is given, and the error where no task is.
 GENERAL, NO_TASK = "general overview", "Parameter 'task' is required."
-ANALYZE = "Analyse the data of this system on the topic: {}.\n\nWhat it holds:\n{}\n\nQuery it with 'evaluate' and 'execute', and give findings that can be acted on."
-CODE = "Write readable code with comments for this task: {}.\n\nRules:\n- names that tell what a thing is\n- errors are handled where they can occur\n\nTry it with 'execute', and single expressions with 'evaluate'."
+#: Templates where the caller brings none.
+ANALYZE, CODE = "Topic: {}. Objects:\n{}\n", "Task: {}."
 
 
 def filled(template: str, *values: Column) -> Column:
@@ -17,12 +17,12 @@ def filled(template: str, *values: Column) -> Column:
     return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))))
 
 
-def analyze(topic: Column, summary: Column) -> Column:
+def analyze(topic: Column, summary: Column, template: str = ANALYZE) -> Column:
     """Takes the general topic where the topic is missing or empty."""
     given = F.coalesce(topic, F.lit(""))
-    return filled(ANALYZE, F.when(given == "", F.lit(GENERAL)).otherwise(given), summary)
+    return filled(template, F.when(given == "", F.lit(GENERAL)).otherwise(given), summary)
 
 
-def code(task: Column) -> Column:
+def code(task: Column, template: str = CODE) -> Column:
     """Null without a task."""
-    return F.when(F.coalesce(task, F.lit("")) != "", filled(CODE, task))
+    return F.when(F.coalesce(task, F.lit("")) != "", filled(template, task))

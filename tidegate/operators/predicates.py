@@ -62,6 +62,17 @@ def outcome(method: Column, has_id: Column) -> Column:
     return F.when(method.isin(*METHODS), method).when(~has_id, F.lit("notification")).otherwise(F.lit("method_not_found"))
 
 
+def rated(verb: Column) -> Column:
+    """Whether requests of this verb take from the bucket."""
+    return verb == "POST"
+
+
+def guarded(verb: Column, local: Column, known: Column) -> Column:
+    """What refuses a request before its rate is looked at: 403 for its origin, then 401 for its token; null where nothing does. A session
+    is closed without either."""
+    return F.when(verb == "DELETE", F.lit(None).cast("int")).when(~local, 403).when(~known, 401)
+
+
 def missing(value: Column) -> Column:
     """A required parameter that is absent or empty."""
     return F.coalesce(value, F.lit("")) == ""

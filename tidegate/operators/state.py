@@ -85,6 +85,21 @@ def as_of(requests: DataFrame, versions: DataFrame, range_rows: int | None = Non
     return found.where("kind = 1").select(F.col("id").cast(kinds[0]).alias("id"), "registry", "at", F.col("version").cast(kinds[1]).alias("version"))
 
 
+def session_outcomes(log: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """(id, http) of a log (session_id, at, id, verb) of creations, deletions and requests, each by the state that its session has when it comes,
+    in order of at and id: 200 for a creation and where the session is open, else 404.
+
+    Without a session id a request passes and a deletion is 400. The state is carried along the sorted log, so a session with very many
+    rows takes as many tasks as it has ranges.
+    """
+    rows = log.select("session_id", "at", "id", "verb")
+    free = F.coalesce("session_id", F.lit("")) == ""
+    own = F.when(F.col("verb") == "create", "open").when(F.col("verb") == "delete", "closed")
+    found = scan.scanned(rows.where(~free).withColumn("own", own), ["session_id", "at", "id"], scan.Carried("session_id", "own", before=True), [None, None], "state", T.StringType(), range_rows)
+    judged = found.select("id", F.when((F.col("verb") == "create") | F.coalesce(F.col("state") == "open", F.lit(False)), 200).otherwise(404).alias("http"))
+    return judged.unionByName(rows.where(free).select("id", F.when(F.col("verb") == "delete", 400).otherwise(200).alias("http")))
+
+
 def latest(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each key."""
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("__last")

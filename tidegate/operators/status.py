@@ -85,16 +85,20 @@ def catalog_metadata(spark: SparkSession, tables: dict[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, "name string, synonym string, attributeCount int, tabularsCount int")
 
 
-def metadata_summary(spark: SparkSession, objects: dict[str, Sequence[str]]) -> DataFrame:
-    """The listing as text: a count of each kind, then a line for each catalog and document in the given order."""
-    kinds = [(-1, k, f"{label}: {len(objects.get(label, ()))}") for k, label in enumerate(KINDS)]
-    lines = [(k, i, f"  - {KINDS[label]}.{name} ({synonym(name)})") for k, label in enumerate(list(KINDS)[:2]) for i, name in enumerate(objects.get(label, ()))]
-    rows = spark.createDataFrame(kinds + lines, "kind int, pos int, line string")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))
-    return rows.agg(F.array_join(ordered, "").alias("summary"))
-
-
-def long_task(spark: SparkSession, steps: int = 5, iterations: int = 4_000_000) -> DataFrame:
-    """step, total: the sum of k mod 97 over 1 .. iterations, once for each step; both at least 1."""
-    one = spark.range(1, max(1, iterations) + 1).agg(F.sum(F.col("id") % 97).alias("total"))
-    return spark.range(1, max(1, steps) + 1).select(F.col("id").alias("step")).crossJoin(one)
+def metadata_summary(objects: DataFrame) -> DataFrame:
+    """The listing of objects (kind, pos, name) as one text: a count of each kind, then a line for each catalog and document in order of pos. Other
+    kinds are ignored. It is one text, so one task puts its lines together."""
+    labels = list(KINDS)
+    number = F.array_position(F.array(*map(F.lit, labels)), F.col("kind")) - 1
+    own = F.get(F.array(*map(F.lit, KINDS.values())), number.cast("int"))
+    spaced = F.replace(F.col("name"), F.lit("_"), F.lit(" "))
+    title = F.concat(F.upper(F.substring(spaced, 1, 1)), F.lower(F.substring(spaced, 2, 1 << 30)))
+    lines = objects.where(F.col("kind").isin(*labels)).select(number.alias("k"), "pos", F.concat(F.lit("  - "), own, F.lit("."), "name", F.lit(" ("), title, F.lit(")\n")).alias("line"))
+    counts = [F.concat(F.lit(f"{label}: "), F.count_if(F.col("k") == k).cast("string"), F.lit("\n")) for k, label in enumerate(labels)]
+    listed = F.array_sort(F.collect_list(F.when(F.col("k") < 2, F.struct("k", "pos", "line"))))
+    return lines.agg(F.concat(*counts, F.array_join(F.transform(listed, lambda x: x["line"]), "")).alias("summary"))
+
+
+def long_task(df: DataFrame, step: str, value: str) -> DataFrame:
+    """step, total: the sum of a column's values mod 97 in each step."""
+    return df.groupBy(F.col(step).alias("step")).agg(F.sum(F.col(value) % 97).alias("total"))

@@ -12,6 +12,9 @@ from collections.abc import Callable, Collection, Iterator
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeResult
 
 #: Names of Spark's classes and function groups. Commands, scripts, paths, hints that name them and calls out of SQL are in none.
 NODES = frozenset(
@@ -155,3 +158,36 @@ class Functions:
             raise LookupError(f"Unknown tool: {name}")
         for known in (n for n, g in self.by_name.items() if g is f):
             spark.udf.register(known, F.udf(f, returns, useArrow=True))
+
+    def as_table(self, spark: SparkSession, name: str) -> None:
+        """Makes a handler a table function in SQL, under each name that it has, with rows (step, kind, value): a generator's yields are its progress,
+        what it returns is its answer; any other function's value is its answer. Values are texts; arguments may be left out where they have
+        defaults, and a wrong number of them is found when the query is analysed."""
+        if (f := self.find(name)) is None:
+            raise LookupError(f"Unknown tool: {name}")
+        names = [n for n, g in self.by_name.items() if g is f]
+        parameters = inspect.signature(f).parameters.values()
+        least, most = sum(p.default is p.empty for p in parameters), len(parameters)
+
+        class Handled:
+            @staticmethod
+            def analyze(*arguments) -> AnalyzeResult:
+                if not least <= len(arguments) <= most:
+                    raise ValueError(f"{names[0]} takes {least} to {most} arguments")
+                return AnalyzeResult(T.StructType().add("step", T.IntegerType()).add("kind", T.StringType()).add("value", T.StringType()))
+
+            def eval(self, *arguments):
+                made, step = f(*arguments), 0
+                if inspect.isgenerator(made):
+                    while True:
+                        try:
+                            value = next(made)
+                        except StopIteration as end:
+                            made = end.value
+                            break
+                        step += 1
+                        yield step, "progress", None if value is None else str(value)
+                yield step + 1, "answer", None if made is None else str(made)
+
+        for known in names:
+            spark.udtf.register(known, udtf(Handled))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import jsonrpc, prompts, urls
 from tidegate.operators import correlate, paging, predicates, state, status, usercode
 from tidegate.sources.tables import table
+from tidegate.streaming import service
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,13 +72,19 @@ def list_cursor_chain(spark, sf_dir):
     return paging.cursor_chain(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "p_partkey")
 
 
-_CURSORS = ["50", "", "invalid", "-5", "10abc", " 7", "99999999999", "+5", "\t12", "3.9"]
+_CURSOR_SQL = """CASE event_id % 9 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN event_type WHEN 3 THEN '-' || event_id WHEN 4 THEN event_id || event_type WHEN 5 THEN ' ' || event_id
+  WHEN 6 THEN '9999999999' || event_id WHEN 7 THEN chr(9) || '+' || event_id ELSE event_id || '.9' END"""
 
 
-@query("""SELECT c AS cursor, greatest(coalesce(try_cast(regexp_extract(c, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER), 0), 0) AS cursor_offset
-FROM (VALUES ('50'), (''), ('invalid'), ('-5'), ('10abc'), (' 7'), ('99999999999'), ('+5'), (chr(9) || '12'), ('3.9')) AS v(c)""")
+@query(f"""SELECT event_id, c AS cursor, greatest(coalesce(try_cast(regexp_extract(c, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER), 0), 0) AS cursor_offset FROM (SELECT event_id, {_CURSOR_SQL} AS c FROM events)""")
 def cursor_parse(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in _CURSORS], "cursor string").select("cursor", paging.parsed_cursor(F.col("cursor")).alias("cursor_offset"))
+    """Cursors that clients make up: numbers, words, both, signs, white space, too large, none."""
+    e, kind, k = F.col("event_id").cast("string"), F.col("event_type"), F.col("event_id") % 9
+    cursor = (
+        F.when(k == 0, e).when(k == 1, F.lit("")).when(k == 2, kind).when(k == 3, F.concat(F.lit("-"), e)).when(k == 4, F.concat(e, kind)).when(k == 5, F.concat(F.lit(" "), e))
+        .when(k == 6, F.concat(F.lit("9999999999"), e)).when(k == 7, F.concat(F.lit("\t+"), e)).otherwise(F.concat(e, F.lit(".9")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", cursor.alias("cursor"), paging.parsed_cursor(cursor).alias("cursor_offset"))
 
 
 @query("SELECT event_id, 'req_' || row_number() OVER (ORDER BY ts, event_id) AS request_id FROM events")
@@ -130,10 +137,7 @@ def list_prompts_message(spark, sf_dir):
 
 _ORIGIN_SQL = """(coalesce(o, '') = '' OR contains(o, '://localhost') OR contains(o, '://127.0.0.1') OR contains(o, '://[::1]')
  OR starts_with(o, 'vscode-webview://') OR starts_with(o, 'vscode-file://'))"""
-_ORIGINS = [
-    "", "http://localhost", "http://localhost:3000", "http://localhost:8888", "https://localhost", "http://127.0.0.1", "http://127.0.0.1:5173", "http://[::1]", "http://[::1]:9090",
-    "vscode-webview://extid", "vscode-file://vscode-app/something", "http://evil.example.com", "http://attacker.local", "https://google.com", "http://192.168.1.1:8888", "http://localhost.evil.example",
-]
+_HOSTS = ["http://localhost", "https://localhost:", "http://127.0.0.1:", "http://[::1]:", "vscode-webview://", "vscode-file://vscode-app/", "http://localhost.evil.example/", "http://192.168.1.1:", "http://attacker.local/", "https://google.com/", "x-vscode-webview://", ""]
 
 
 @query(f"SELECT page_id, url, {_ORIGIN_SQL} AS allowed FROM (SELECT page_id, url, url AS o FROM pages)")
@@ -141,9 +145,12 @@ def origin_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", predicates.allowed_origin(F.col("url")).alias("allowed"))
 
 
-@query(f"SELECT o AS origin, {_ORIGIN_SQL} AS allowed FROM (VALUES {', '.join(f'({o!r})' for o in _ORIGINS)}, (NULL)) AS v(o)")
+@query(f"""SELECT page_id, o AS origin, {_ORIGIN_SQL} AS allowed FROM (SELECT page_id, CASE WHEN page_id % 13 < 12 THEN {_HOSTS!r}[1 + page_id % 13] || CASE WHEN page_id % 13 BETWEEN 1 AND 10 THEN CAST(page_id AS VARCHAR) ELSE '' END END AS o FROM pages)""")
 def origin_cases(spark, sf_dir):
-    return spark.createDataFrame([(o,) for o in [*_ORIGINS, None]], "origin string").select("origin", predicates.allowed_origin(F.col("origin")).alias("allowed"))
+    """Local hosts with ports, editors' schemes, what only looks like them, none and null."""
+    k = F.col("page_id") % 13
+    origin = F.concat(F.get(F.array(*map(F.lit, _HOSTS)), k.cast("int")), F.when(k.between(1, 10), F.col("page_id").cast("string")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", origin.alias("origin")).withColumn("allowed", predicates.allowed_origin(F.col("origin")))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Bearer click' WHEN 1 THEN 'Bearer ' || event_type WHEN 2 THEN 'bearer click' ELSE '' END = 'Bearer click' AS authorized FROM events""")
@@ -231,6 +238,24 @@ def admission_chain(spark, sf_dir):
     return out.select("event_id", F.when(~F.col("local"), 403).when(~F.col("known"), 401).when(F.col("allowed"), 200).otherwise(429).alias("http"))
 
 
+_GUARDED = "SELECT * FROM events WHERE event_id % 3 = 0 AND event_id % 5 <> 0 AND event_id % 4 <> 0"
+
+
+@query(_BUCKET_SQL.format(key="user_id", rows=f"({_GUARDED})", most="CAST(2.0 AS DOUBLE)", rate="CAST(0.00005 AS DOUBLE)") + """
+SELECT e.event_id, ['POST', 'GET', 'DELETE'][1 + e.event_id % 3] AS verb, CASE WHEN e.event_id % 3 = 2 THEN 200 WHEN e.event_id % 5 = 0 THEN 403 WHEN e.event_id % 4 = 0 THEN 401 WHEN e.event_id % 3 = 1 OR b.allowed THEN 200 ELSE 429 END AS http
+FROM events e LEFT JOIN b ON e.event_id = b.event_id""")
+def guard_chains(spark, sf_dir):
+    """Calls pass origin, token and rate, listening passes origin and token, and closing none of them."""
+    e = F.col("event_id")
+    origin = F.when(e % 5 == 0, F.lit("http://evil.example.com")).otherwise(F.lit("http://localhost"))
+    header = F.when(e % 4 == 0, F.lit("")).otherwise(F.lit("Bearer t"))
+    verb = F.get(F.array(*map(F.lit, ["POST", "GET", "DELETE"])), (e % 3).cast("int"))
+    asked = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", verb.alias("verb"), predicates.guarded(verb, predicates.allowed_origin(origin), predicates.authorized(header, "t")).alias("refused"))
+    passed = state.token_bucket(asked.where(predicates.rated(F.col("verb")) & F.col("refused").isNull()), "ts", "event_id", "user_id", 2.0, 0.00005)
+    out = asked.join(passed, e == F.col("id"), "left")
+    return out.select("event_id", "verb", F.coalesce("refused", F.when(F.col("allowed") | F.col("allowed").isNull(), 200).otherwise(429)).alias("http"))
+
+
 # Sessions and registries
 
 
@@ -265,6 +290,15 @@ def session_close(spark, sf_dir):
     return known.select("event_id", state.close_outcome(F.col("sid").cast("string"), F.col("user_id").isNotNull()).alias("http"))
 
 
+@query("""WITH s AS (SELECT event_id, event_type, last_value(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM events WHERE event_id % 10 <> 0)
+SELECT event_id, CASE WHEN event_type = 'signup' OR open = 1 THEN 200 ELSE 404 END AS http FROM s UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 400 ELSE 200 END FROM events WHERE event_id % 10 = 0""")
+def session_outcomes(spark, sf_dir):
+    """Each request by the state that its session has at that time: opened by signup, deleted by error; every tenth comes without a session."""
+    verb = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("request")
+    log = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 != 0, F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 == 0, F.when(verb == "create", "request").otherwise(verb)).otherwise(verb).alias("verb"))
+    return state.session_outcomes(log).select(F.col("id").alias("event_id"), "http")
+
+
 _VERSIONS = """SELECT role AS registry, conv_id, turn, CASE turn % 3 WHEN 0 THEN '[{"name":"t' || conv_id || '"},{"name":"u"}]' WHEN 1 THEN '{"name":"t' || conv_id || '"}' ELSE '[{"name"' END AS payload FROM conversations"""
 
 
@@ -339,6 +373,12 @@ def orphan_responses(spark, sf_dir):
     return _turns(spark, sf_dir, "assistant").select("conv_id", "turn").join(requests, ["conv_id", "turn"], "left_anti")
 
 
+@query("""SELECT event_id AS answer_id FROM events s WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'click' AND r.user_id = s.user_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR)""")
+def orphan_answers(spark, sf_dir):
+    """Answers that find no request: none was made in the hour before."""
+    return correlate.orphans(_log(spark, sf_dir, "click", "request_id"), _log(spark, sf_dir, "purchase", "answer_id"), 3600)
+
+
 def _log(spark, sf_dir, kind, id):
     return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("event_id").alias(id), F.col("ts").alias("at"))
 
@@ -470,6 +510,29 @@ def rpc_classify(spark, sf_dir):
     return rows.select("event_id", "method", "tool", outcome.alias("outcome"), code.alias("code"))
 
 
+_SERVED_SQL = f"""WITH b AS (SELECT event_id, event_type, {_BODY_SQL} AS body, event_id % 9 = 0 AS far, event_id % 7 = 0 AS unknown FROM events)
+SELECT event_id, CASE WHEN far OR unknown OR event_id % 8 IN (0, 3, 4, 5, 7) THEN 'errors' WHEN event_id % 8 = 1 THEN 'events' ELSE 'answers' END AS sink, CASE WHEN far THEN 403 WHEN unknown THEN 401 ELSE 200 END AS http,
+CASE WHEN NOT far AND NOT unknown AND event_id % 8 = 1 THEN 'ToolCall' END AS event,
+CASE WHEN far THEN '{{"error":"Forbidden: invalid Origin"}}' WHEN unknown THEN '{{"error":"Unauthorized"}}' WHEN event_id % 8 IN (0, 5, 7) THEN '{{"error":{{"code":-32700,"message":"Parse error"}},"id":null,"jsonrpc":"2.0"}}'
+  WHEN event_id % 8 = 1 THEN to_json({{arguments: json('{{}}'), id: CAST(event_id AS VARCHAR), tool: event_type, type: 'tool_call'}})::VARCHAR WHEN event_id % 8 = 6 THEN '{{"id":2,"jsonrpc":"2.0","result":{{}}}}'
+  WHEN event_id % 8 = 3 THEN to_json({{error: {{code: -32601, message: 'Method not found: unknown/' || event_type}}, id: CAST(event_id AS VARCHAR), jsonrpc: '2.0'}})::VARCHAR
+  WHEN event_id % 8 = 4 THEN '{{"error":{{"code":-32601,"message":"Method not found: unknown/method"}},"id":null,"jsonrpc":"2.0"}}' END AS message FROM b"""
+
+
+def received(log):
+    """The log as messages of clients near and far, known and unknown."""
+    e = F.col("event_id")
+    origin = F.when(e % 9 == 0, F.lit("http://evil.example.com")).otherwise(F.lit("http://localhost:3000"))
+    return log.select(e.alias("request_id"), F.col("ts").alias("at"), origin.alias("origin"), F.when(e % 7 != 0, F.lit("Bearer t")).alias("authorization"), F.lit("application/json").alias("accept"), F.lit("").alias("session_id"), _body().alias("body"))
+
+
+@query(_SERVED_SQL)
+def served_messages(spark, sf_dir):
+    """From receipt to what goes out: answers, events for the host, and errors."""
+    out = service.judged(received(table(spark, sf_dir, "events")), "t")
+    return out.select(F.col("request_id").alias("event_id"), "sink", "http", "event", "message")
+
+
 @query("""SELECT event_id, to_json({error: {code: -32601, message: 'Method not found: ' || event_type}, id: event_id, jsonrpc: '2.0'})::VARCHAR AS message FROM events""")
 def rpc_error_envelope(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsonrpc.error(F.col("event_id"), jsonrpc.METHOD_NOT_FOUND, F.concat(F.lit("Method not found: "), "event_type")).alias("message"))
@@ -540,6 +603,20 @@ def strip_envelope(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsonrpc.answer_body(message).alias("body"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'req_' || event_id END AS id, CASE event_id % 5 WHEN 0 THEN 200 + event_id % 300 WHEN 1 THEN 200 WHEN 2 THEN 503 END::INTEGER AS http,
+CASE event_id % 5 WHEN 0 THEN 'text/' || event_type WHEN 1 THEN 'application/json' WHEN 2 THEN 'application/json' END AS content_type, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN '{"k":' || event_id || '}' WHEN 2 THEN '{"value":1}' END AS body,
+CASE event_id % 5 WHEN 3 THEN 'Invalid JSON in SendResponse' WHEN 4 THEN 'Missing ''id'' in SendResponse JSON' END AS error FROM events""")
+def answer_fields(spark, sf_dir):
+    """What the host sends as an answer: its own status and type, their defaults, no JSON, no id."""
+    e, kind, k = F.col("event_id").cast("string"), F.col("event_type"), F.col("event_id") % 5
+    sent = (
+        F.when(k == 0, F.concat(F.lit('{"id":"req_'), e, F.lit('","status":'), (200 + F.col("event_id") % 300).cast("string"), F.lit(',"content_type":"text/'), kind, F.lit('","body":"'), kind, F.lit('"}')))
+        .when(k == 1, F.concat(F.lit('{"id":"req_'), e, F.lit('","body":{"k":'), e, F.lit("}}"))).when(k == 2, F.concat(F.lit('{"id":"req_'), e, F.lit('","value":1,"status":503}')))
+        .when(k == 3, F.concat(F.lit("{no "), kind)).otherwise(F.when(F.col("event_id") % 2 == 0, F.lit('{"id":"","body":"x"}')).otherwise(F.lit('{"body":"x"}')))
+    )
+    return table(spark, sf_dir, "events").select("event_id", jsonrpc.sent_answer(sent).alias("a")).select("event_id", "a.id", "a.http", "a.content_type", "a.body", "a.error")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN to_json(event_type)::VARCHAR END AS argument, CASE event_id % 3 WHEN 0 THEN '{"a":[1,2],"b":"x"}' ELSE '{}' END AS parsed FROM events""")
 def arguments_read(spark, sf_dir):
     e, kind = F.col("event_id"), F.col("event_type")
@@ -652,10 +729,11 @@ def query_params(spark, sf_dir):
     return rows.select("page_id", "p.key", "p.value")
 
 
-@query("""SELECT s, d AS decoded FROM (VALUES ('a%20b', 'a b'), ('a+b', 'a b'), ('100%', '100%'), ('%zz', '%zz'), ('%D0%96', 'Ж'), ('%u0416x', 'Жx'), ('', ''), ('a%2Bb', 'a+b')) AS v(s, d)""")
+@query("SELECT conv_id, turn, text || ' 100% %zz Ж😀�' AS decoded FROM conversations")
 def url_decode(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in ["a%20b", "a+b", "100%", "%zz", "%D0%96", "%u0416x", "", "a%2Bb"]], "s string")
-    return rows.select("s", urls.url_decode(F.col("s")).alias("decoded"))
+    """Whole texts, percent-encoded, with what is malformed and with UTF-16 units, one of them without its partner."""
+    encoded = F.concat(F.url_encode("text"), F.lit("+100%+%zz+%u0416%uD83D%uDE00%uD83D"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", urls.url_decode(encoded).alias("decoded"))
 
 
 @query("""WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS p FROM pages),
@@ -737,8 +815,8 @@ def combined_status(spark, sf_dir):
 
 @query("""SELECT '{"componentStatus":{"running":false},"runtimeStatus":{"CurrentRequestID":"","CurrentTool":"","IsBusy":false,"LastError":"","LastResult":"","Progress":0,"ProgressMessage":"Idle","Total":0,"UpdatedAt":""}}' AS message""")
 def combined_status_stopped(spark, sf_dir):
-    """Without a component, and with a runtime that has done nothing yet."""
-    both = status.combined(status.runtime_status(_steps(spark, sf_dir).where(F.lit(False)), ["ts", "event_id"]), None)
+    """Without a component, and with a runtime whose log holds nothing that it knows."""
+    both = status.combined(status.runtime_status(_steps(spark, sf_dir).where("step IS NULL"), ["ts", "event_id"]), None)
     return both.select(jsonrpc.dumped(F.struct("componentStatus", "runtimeStatus")).alias("message"))
 
 
@@ -762,34 +840,37 @@ def document_metadata(spark, sf_dir):
     return status.catalog_metadata(spark, {name: table(spark, sf_dir, name) for name in DOCUMENTS})
 
 
-def _summary(spark):
-    return status.metadata_summary(spark, {"Catalogs": CATALOGS, "Documents": DOCUMENTS, "Accumulation Registers": ["rest"]})
+def _summary(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(F.lit("Catalogs").alias("kind"), F.col("r_regionkey").alias("pos"), F.col("r_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").select(F.lit("Documents").alias("kind"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
+    return status.metadata_summary(regions.unionByName(nations))
 
 
-def _summary_sql() -> str:
-    names = [("Catalog", i, n) for i, n in enumerate(CATALOGS)] + [("Document", 100 + i, n) for i, n in enumerate(DOCUMENTS)]
-    values = ", ".join(f"('{kind}', {i}, '{n}')" for kind, i, n in names)
-    return f"""SELECT 'Catalogs: ' || count(*) FILTER (k = 'Catalog') || chr(10) || 'Documents: ' || count(*) FILTER (k = 'Document') || chr(10) || 'Information Registers: 0' || chr(10) || 'Accumulation Registers: 1' || chr(10)
-|| string_agg('  - ' || k || '.' || n || ' (' || upper(n[1]) || n[2:] || ')' || chr(10), '' ORDER BY i) AS summary FROM (VALUES {values}) AS v(k, i, n)"""
+_SYNONYM = "upper(replace(n, '_', ' ')[1]) || lower(replace(n, '_', ' ')[2:])"
+_SUMMARY_SQL = f"""SELECT 'Catalogs: ' || count(*) FILTER (k = 0) || chr(10) || 'Documents: ' || count(*) FILTER (k = 1) || chr(10) || 'Information Registers: 0' || chr(10) || 'Accumulation Registers: 0' || chr(10)
+|| string_agg('  - ' || ['Catalog', 'Document'][k + 1] || '.' || n || ' (' || {_SYNONYM} || ')' || chr(10), '' ORDER BY k, i) AS summary
+FROM (SELECT 0 AS k, r_regionkey AS i, r_name AS n FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation)"""
 
 
-@query(_summary_sql())
+@query(_SUMMARY_SQL)
 def metadata_summary(spark, sf_dir):
-    return _summary(spark)
+    """Regions in the role of catalogs, nations in that of documents."""
+    return _summary(spark, sf_dir)
 
 
-@query(f"""WITH s AS ({_summary_sql()})
+@query(f"""WITH s AS ({_SUMMARY_SQL})
 SELECT conv_id, to_json({{messages: [{{content: {{text: '{prompts.ANALYZE.replace("'", "''").split("{}")[0]}' || CASE WHEN conv_id % 2 = 0 THEN role ELSE '{prompts.GENERAL}' END || '{prompts.ANALYZE.replace("'", "''").split("{}")[1]}' || summary
  || '{prompts.ANALYZE.replace("'", "''").split("{}")[2]}', type: 'text'}}, role: 'user'}}]}})::VARCHAR AS message FROM conversations, s WHERE turn = 0""")
 def analyze_prompt(spark, sf_dir):
     topic = F.when(F.col("conv_id") % 2 == 0, F.col("role")).when(F.col("conv_id") % 3 == 0, F.lit(""))
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").crossJoin(_summary(spark))
+    rows = table(spark, sf_dir, "conversations").where("turn = 0").crossJoin(_summary(spark, sf_dir))
     return rows.select("conv_id", jsonrpc.prompt_result(prompts.analyze(topic, F.col("summary"))).alias("message"))
 
 
-@query("SELECT s AS step, (SELECT sum(k % 97)::BIGINT FROM range(1, 4000001) AS t(k)) AS total FROM range(1, 6) AS r(s)")
+@query("SELECT l_linenumber AS step, sum(l_orderkey % 97)::BIGINT AS total FROM lineitem GROUP BY l_linenumber")
 def long_task_sum(spark, sf_dir):
-    return status.long_task(spark)
+    """A task in steps over all lines, a step for each line number."""
+    return status.long_task(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_orderkey")
 
 
 # Caller's code
@@ -801,6 +882,25 @@ def execute_sql(spark, sf_dir):
     return usercode.execute_sql(spark, "SELECT event_type, count(*) AS n FROM tidegate_events GROUP BY event_type")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, text, 1 + length(text) % 3 AS n FROM conversations)
+SELECT conv_id, turn, k::INTEGER AS step, 'progress' AS kind, CAST(length(text) * k // n AS VARCHAR) AS value FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM c)
+UNION ALL SELECT conv_id, turn, n::INTEGER + 1, 'answer', reverse(text) FROM c""")
+def handler_steps(spark, sf_dir):
+    """A handler as a table function: a row for each step of its progress, and one for its answer."""
+    tools = usercode.Functions()
+
+    @tools.register("tidegate_backwards")
+    def backwards(text):
+        steps = 1 + len(text) % 3
+        for k in range(1, steps + 1):
+            yield len(text) * k // steps
+        return text[::-1]
+
+    tools.as_table(spark, "tidegate_backwards")
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("tidegate_conversations")
+    return spark.sql("SELECT conv_id, turn, h.step, h.kind, h.value FROM tidegate_conversations, LATERAL tidegate_backwards(text) h")
+
+
 @query("SELECT event_id, CAST(event_id * 2 + 1 AS VARCHAR) AS result FROM events")
 def evaluate_expr(spark, sf_dir):
     return usercode.evaluate(table(spark, sf_dir, "events").select("event_id"), "event_id * 2 + 1")

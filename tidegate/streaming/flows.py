@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegate.functions import jsonrpc
+from tidegate.operators import correlate
 from tidegate.operators.state import Bucket, is_registry
+from tidegate.sources.tables import opened
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def received(spark: SparkSession, path: str) -> DataFrame:
     """Messages as they come, one a row of Parquet files."""
-    return spark.readStream.schema("request_id string, at timestamp, origin string, authorization string, accept string, session_id string, body string").parquet(path)
+    return opened(spark).readStream.schema("request_id string, at timestamp, origin string, authorization string, accept string, session_id string, body string").parquet(path)
 
 
 def correlated(requests: DataFrame, answers: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
@@ -94,11 +96,8 @@ def changes(versions: DataFrame, registry: str, payload: str) -> DataFrame:
 
 
 def fanned_out(messages: DataFrame, streams: DataFrame) -> DataFrame:
-    """Streamed messages (message_id, at) with the open streams of a table (stream_id, opened, closed), by the hour."""
-    hour = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 3_600_000_000)
-    open_ = streams.withColumn("__hour", F.explode(F.sequence(hour(F.col("opened")), hour(F.col("closed")))))
-    sent = messages.withColumn("__hour", hour(F.col("at")))
-    return sent.join(open_, ["__hour"]).where((F.col("at") >= F.col("opened")) & (F.col("at") < F.col("closed"))).select("stream_id", "message_id", "at")
+    """Streamed messages (message_id, at) with the open streams of a table (stream_id, opened, closed), null ``closed`` being open still."""
+    return correlate.fanned_out(messages, streams, 3600)
 
 
 def logged(lines: DataFrame, path: str, checkpoint: str):
