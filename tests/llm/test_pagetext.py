@@ -30,6 +30,15 @@ def test_other_regions():
     assert texts('<article><p class="ad">x<p>y</article>') == ["y"]
 
 
+def test_names_of_boilerplate():
+    inside = "<article><p>text</p><div class='{}'>other</div></article>"
+    for name in ("ad", "box-ads", "adBox_1 advert", "commentlist", "post-comments", "sidebar2", "cookiebar", "topnav", "shareThis share", "related-posts", "newsletterSignup", "NOTICE", "siteFooter"):
+        assert texts(inside.format(name)) == ["text"], name
+    for name in ("lead", "article-header", "no-sidebar", "has-ads", "shadow", "address", "download", "heading", "navy"):
+        assert texts(inside.format(name)) == ["text", "other"], name
+    assert texts("<div class='page-header'>Site</div><div class=content>text</div>") == ["text"]
+
+
 def test_broken_markup():
     assert texts("<article><p>a < b && c &lt;i&gt; &#233;&#x20AC;&unknown; <b>d</article>") == ["a < b && c <i> é€&unknown; d"]
     assert texts("<article>open <p>end") == ["open", "end"] and texts("<article>x<script>never closed <p>y") == ["x"]

@@ -268,3 +268,20 @@ def test_query_against_plain_python(spark):
     assert len(got) == len(rows) and sum(n for _, n in got.values()) > 20
     for r in rows:
         assert got[r.doc_id] == replaced(r.text), r.doc_id
+
+
+class _Session:
+    """What pseudonym_key reads of a session."""
+
+    def __init__(self, master, key=None):
+        self.conf, self.sparkContext, self.master, self.key = self, self, master, key
+
+    def get(self, name, default):
+        return self.key if self.key is not None else default
+
+
+def test_the_public_key_is_for_local_mode_alone():
+    assert queries.pseudonym_key(_Session("local[4]")) == "not a secret" and queries.pseudonym_key(_Session("yarn", "x")) == "x"
+    for master in ("yarn", "spark://h:7077", "k8s://h"):
+        with pytest.raises(ValueError):
+            queries.pseudonym_key(_Session(master))

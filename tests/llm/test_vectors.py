@@ -87,6 +87,23 @@ def test_query(spark):
     assert have == brute([r.vec_id for r in rows], [r.embedding for r in rows])
 
 
+def test_query_on_a_table_with_links(spark, tmp_path):
+    """The given embeddings hold no link; this table does: copies, chains, a crowd, and vectors that link with nothing."""
+    rng = np.random.default_rng(21)
+    vs = []
+    for _ in range(25):
+        b = rng.standard_normal(64)
+        vs += [(b + rng.standard_normal(64) * 0.2 * k / 3).astype(np.float32).tolist() for k in range(rng.integers(1, 6))]
+    step = rng.standard_normal(64)
+    vs += [(b := rng.standard_normal(64)).astype(np.float32).tolist()] + [(b := b + 0.045 * np.linalg.norm(b) * step / 2).astype(np.float32).tolist() for _ in range(12)]
+    vs += [vs[0]] * 40 + [None, [0.0] * 64, [float("nan")] * 64] + [rng.standard_normal(64).astype(np.float32).tolist() for _ in range(120)]
+    rows = [(i * 13 % 1009, v, i % 5) for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    have = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op6_near_vectors"](spark, str(tmp_path)).collect()), key=repr)
+    want = brute([i for i, _, _ in rows], [v for _, v, _ in rows])
+    assert have == want and sum(r[1] > 0 for r in want) > 80 and sum(not r[3] for r in want) > 60
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (5, 3), (None, 1)]
     out = dict((r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())

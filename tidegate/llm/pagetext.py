@@ -44,8 +44,10 @@ WORDS = frozenset(
     "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations trending popular comment comments disqus respond reply replies pagination pager toolbar widget skip paywall".split()
 )
+BEGINNINGS = ("comment", "sidebar", "cookie", "advert", "footer", "newsletter", "breadcrumb", "sponsor", "subscri")
+ENDS = ("nav", "menu", "footer", "sidebar", "comments", "banner", "popup", "modal")
 #: What only a page, not an article, has at its head.
-PAGE_HEAD = frozenset(["header"])
+PAGE_HEAD = ("header",)
 CONTENT = frozenset("articlebody entrycontent postcontent articlecontent maincontent postbody storybody content article".split())
 EXEMPT = frozenset("html body article main".split())
 #: An end tag is implied where one of the first begins inside an open one, up to the nearest of the last.
@@ -107,6 +109,10 @@ class Page:
         return [b for b in self.blocks if b[1] < best or best <= OPEN]
 
 
+def _tells_boilerplate(part: str, ends: tuple[str, ...]) -> bool:
+    return part in WORDS or part.startswith(BEGINNINGS) or part.endswith(ends)
+
+
 def _element(name: str, attributes: dict[str, str], parent: Element) -> Element:
     mark, level = parent.mark, parent.level
     role = attributes.get("role", "").strip().lower()
@@ -122,9 +128,9 @@ def _element(name: str, attributes: dict[str, str], parent: Element) -> Element:
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         mark = STRONG
     names = list(_words(attributes.get("class", ""))) + list(_words(attributes.get("id", "")))
-    if name not in EXEMPT or region and {"comment", "comments", "reply"} & {w for parts in names for w in parts}:
-        bad = WORDS | PAGE_HEAD if level < INSIDE else WORDS
-        if any(bad & set(parts) for parts in names):
+    if name not in EXEMPT or region and any(w.startswith(("comment", "reply")) for parts in names for w in parts):
+        ends = ENDS + PAGE_HEAD if level < INSIDE else ENDS
+        if any(_tells_boilerplate(w, ends) for parts in names for w in parts):
             mark = max(mark, WEAK)
     content = any("".join(parts) in CONTENT for parts in names) or attributes.get("itemprop", "").lower() == "articlebody"
     return Element(name, mark, parent.hidden or name in HIDDEN, max(level, region, INSIDE if content and mark == NONE else OPEN))
