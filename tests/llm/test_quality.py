@@ -74,3 +74,23 @@ def test_labels(spark):
     print(found)
     assert found.get((1, False, False), 0) == 0
     assert found.get((0, False, True), 0) == 0 and found.get((0, False, False), 0) > 20
+
+
+def test_the_sample_is_from_all_over_a_table(spark, tmp_path):
+    """A table sorted by source, in many files: every source is in the sample, and nothing is lost to its order."""
+    path, i = str(tmp_path / "t"), F.col("id")
+    rows = spark.range(4000).select(i.alias("doc_id"), F.concat(F.lit("source "), F.floor(i / 400).cast("string"), F.lit(" "), F.repeat(F.concat(i.cast("string"), F.lit(" ")), 20)).alias("text"))
+    rows.repartitionByRange(80, "doc_id").write.parquet(path)
+    found = quality.sampled(spark.read.parquet(path), rows=200)
+    assert len(found) > 100 and {r.t.split()[1] for r in found} == {str(k) for k in range(10)}
+    derived = spark.read.parquet(path).withColumn("text", F.upper("text")).unionByName(spark.read.parquet(path))
+    assert len(quality.sampled(derived, rows=50)) == 50
+    assert quality.sampled(spark.read.parquet(path).where("doc_id < 0")) == []
+
+
+def test_cheap_rules_that_reject_come_first(spark):
+    sentence = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(i, f"{i} {sentence} !! ?! " + "!! " * 1500) for i in range(60)], "doc_id long, text string")
+    # all texts are shouted and none repeats its words, which costs by far the most to tell
+    order = quality.order_rules(df, names=("repeated_words", "bullet_lines", "shouting"))
+    assert order[0] == "shouting" and set(order) == {"repeated_words", "bullet_lines", "shouting"}

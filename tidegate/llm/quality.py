@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from tidegate.llm._text import SPACE
 
 #: Rows of the sample that the order is chosen on, and characters of a text that may be in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 50_000
+#: Files, spread over all of a table, that the sample is drawn from.
+SAMPLE_FILES = 32
 #: Times that a job goes through the sample, so that what a rule costs stands out from what a job costs.
 TIMES = 12
 
@@ -120,16 +123,28 @@ def _seconds(df: DataFrame, rejects: Column) -> tuple[float, int]:
     return best, n
 
 
+def sampled(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list:
+    """At most ``rows`` texts of at most SAMPLE_CHARS characters, drawn alike from all rows of SAMPLE_FILES files that lie evenly among the
+    table's files, or of the whole frame where it isn't a table's. A few times as many are drawn and shuffled, and the first are taken."""
+    some, files = df, sorted(df.inputFiles())
+    if len(files) > SAMPLE_FILES:
+        try:
+            picked = [files[len(files) * i // SAMPLE_FILES] for i in range(SAMPLE_FILES)]
+            some = df.where(F.col("_metadata.file_path").isin(picked))
+        except AnalysisException:
+            pass  # a frame of several tables, or of none
+    n = some.count() or (some := df).count()
+    source = some.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.char_length("t") <= SAMPLE_CHARS)
+    return source.sample(min(1.0, 4 * rows / max(1, n)), seed=11).orderBy(F.rand(11)).limit(rows).collect()
+
+
 def order_rules(df: DataFrame, text: str = "text", names: tuple[str, ...] = tuple(RULES), rows: int = SAMPLE_ROWS) -> list[str]:
     """Names by measured rejection per cost, best first.
 
-    The sample is at most ``rows`` rows, a hundredth of those read to fill it; of a small table its first rows; longer texts
-    than SAMPLE_CHARS aren't sampled. An empty table keeps the given order.
+    The sample is at most ``rows`` rows from all over the table; longer texts than SAMPLE_CHARS aren't sampled. An empty table keeps
+    the given order.
     """
-    source = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.char_length("t") <= SAMPLE_CHARS)
-    sample = source.sample(0.01, seed=11).limit(rows).collect()
-    if len(sample) < rows // 8:
-        sample = source.limit(rows).collect()
+    sample = sampled(df, text, rows)
     if not sample:
         return list(names)
     local = df.sparkSession.createDataFrame(sample, "t string").coalesce(1).withColumn("w", words(F.col("t")))
