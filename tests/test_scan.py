@@ -62,6 +62,23 @@ def test_queue_by_ranges(moves, depth, cuts):
     assert by_ranges(scan.BoundedQueue(depth), 0, pa.table({"arrives": pa.array(moves, pa.bool_())}), sorted(min(c, len(moves)) for c in cuts)) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2, 5]), st.sampled_from([0, 1, 400, 2500])), max_size=50), st.lists(st.integers(0, 50), max_size=7))
+def test_keys_by_ranges(moves, cuts):
+    moves, t, rows = sorted(moves, key=lambda m: (m[0] is not None, m[0] or 0)), 0, []
+    for k, gap in moves:
+        t = t + gap if rows and rows[-1][0] == k else gap
+        rows.append((k, t))
+    table, cuts = pa.table({"key": pa.array([k for k, _ in rows], pa.int64()), "micros": pa.array([t for _, t in rows], pa.int64())}), sorted(min(c, len(rows)) for c in cuts)
+    want, numbers = [], []
+    for key in dict.fromkeys(k for k, _ in rows):
+        own = [t for k, t in rows if k == key]
+        want += in_order(own, 2.0, 1000.0)
+        numbers += range(1, len(own) + 1)
+    assert by_ranges(scan.Keyed(scan.ServiceBucket(2.0, 1000.0), "key"), None, table, cuts) == want
+    assert by_ranges(scan.Keyed(scan.Numbered(), "key"), None, table, cuts) == numbers
+
+
 def test_maps_stay_small_in_every_regime():
     """An overloaded bucket is never full, an idle one always, one in balance hovers: pieces stay few in each."""
     rng = random.Random(1)
@@ -89,6 +106,20 @@ def test_bucket_over_200_ranges(spark):
     assert {True, False} == set(got.values())
 
 
+def test_one_key_has_most_rows(spark):
+    rng, rows, t = random.Random(8), [], 0
+    for i in range(5000):
+        t += rng.choice([10, 30_000, 90_000])
+        rows.append((i, "hot" if rng.random() < 0.7 else rng.choice([None, "a", "b"]), t))
+    df = spark.createDataFrame(rows, "id long, k string, t long").withColumn("ts", F.timestamp_micros("t"))
+    got = {r.id: r.allowed for r in state.service_bucket(df, "ts", "id", 5.0, 15.0, range_rows=90, key="k").collect()}
+    for key in ("hot", None, "a", "b"):
+        own = [(i, t) for i, k, t in rows if k == key]
+        assert [got[i] for i, _ in own] == in_order([t for _, t in own], 5.0, 15.0)
+    numbers = state.numbered(df, "k", ["t", "id"], "n", range_rows=70).collect()
+    assert len(numbers) == 5000 and all(sorted(r.n for r in numbers if r.k == k) == list(range(1, 1 + sum(x == k for _, x, _ in rows))) for k in ("hot", None, "a", "b"))
+
+
 def test_queue_over_ranges(spark):
     rng = random.Random(3)
     moves = [(i, rng.random() < (0.8 if i % 2000 < 900 else 0.2)) for i in range(6000)]

@@ -206,6 +206,20 @@ def token_bucket_global(spark, sf_dir):
     return state.service_bucket(table(spark, sf_dir, "events"), "ts", "event_id", 3.0, 0.002).select(F.col("id").alias("event_id"), "allowed")
 
 
+@query(_BUCKET_SQL.format(key="user_id % 3", rows="events", most="CAST(3.0 AS DOUBLE)", rate="CAST(0.0007 AS DOUBLE)") + "SELECT k AS tenant, event_id, allowed FROM b")
+def token_bucket_by_tenant(spark, sf_dir):
+    """Three buckets, each with a third of all rows, and none bound to a task."""
+    log = table(spark, sf_dir, "events").withColumn("tenant", F.col("user_id") % 3)
+    out = state.service_bucket(log, "ts", "event_id", 3.0, 0.0007, key="tenant")
+    return out.select(F.col("key").alias("tenant"), F.col("id").alias("event_id"), "allowed")
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS seq FROM documents")
+def delivery_numbers(spark, sf_dir):
+    """Messages of each source, one of which has very many, numbered in order."""
+    return state.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"], "seq")
+
+
 @query("""WITH RECURSIVE q AS (SELECT event_id, event_type IN ('click', 'view', 'purchase') AS arrives, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
 b AS (SELECT n, event_id, CASE WHEN arrives THEN 1 ELSE 0 END AS waiting, CASE WHEN arrives THEN true END AS accepted FROM q WHERE n = 1
   UNION ALL
