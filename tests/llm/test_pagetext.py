@@ -25,6 +25,7 @@ def test_what_an_article_leaves_out():
 def test_other_regions():
     assert texts("<main><div class=breadcrumbs>x > y</div><p>text</p></main><div>other</div>") == ["text"]
     assert texts('<div id="entry-content"><p>text</p><p style="display: none">gone</p></div><div>other</div>') == ["text"]
+    assert texts('<div class="post"><p>text</p><div class="share">x</div></div><div>other</div>') == ["text"]
     assert texts('<div role="main"><p>text</p></div>') == ["text"] and texts("<div>nothing named</div>") == []
     assert texts("<article>one</article><aside><article>teaser</article></aside><article>two</article>") == ["one", "two"]
     assert texts('<article><p class="ad">x<p>y</article>') == ["y"]

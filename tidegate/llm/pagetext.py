@@ -48,7 +48,7 @@ BEGINNINGS = ("comment", "sidebar", "cookie", "advert", "footer", "newsletter",
 ENDS = ("nav", "menu", "footer", "sidebar", "comments", "banner", "popup", "modal")
 #: What only a page, not an article, has at its head.
 PAGE_HEAD = ("header",)
-CONTENT = frozenset("articlebody entrycontent postcontent articlecontent maincontent postbody storybody content article".split())
+CONTENT = frozenset("post entry story articlebody articletext entrycontent postcontent articlecontent maincontent postbody storybody content article".split())
 EXEMPT = frozenset("html body article main".split())
 #: An end tag is implied where one of the first begins inside an open one, up to the nearest of the last.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select", "datalist"))}
