@@ -75,6 +75,11 @@ def combined(runtime: DataFrame, component: DataFrame | None) -> DataFrame:
     return component.select(F.struct(*sorted(component.columns)).alias("componentStatus")).crossJoin(state)
 
 
+def names(df: DataFrame, name: str) -> DataFrame:
+    """One row: the distinct names, sorted and joined by |. It is one text, so one task puts them together."""
+    return df.select(name).distinct().agg(F.array_join(F.sort_array(F.collect_list(name)), "|").alias("names"))
+
+
 def synonym(name: str) -> str:
     return name.replace("_", " ").capitalize()
 

@@ -421,6 +421,16 @@ def progress_for_request(spark, sf_dir):
     return correlate.within(asked, _log(spark, sf_dir, "view", "answer_id"), 3600, "inner").select("request_id", F.col("answer_id").alias("progress_id"))
 
 
+@query("""WITH z AS (SELECT max(ts) - INTERVAL 12 HOUR AS stop FROM events), p AS (SELECT r.event_id AS request_id, r.ts AS asked, s.event_id AS answer_id, s.ts FROM (SELECT * FROM events, z WHERE event_type = 'click' AND ts <= stop) r
+  LEFT JOIN (SELECT * FROM events, z WHERE event_type = 'purchase' AND ts <= stop) s ON r.user_id = s.user_id AND s.ts BETWEEN r.ts AND r.ts + INTERVAL 6 HOUR),
+o AS (SELECT request_id, min_by(answer_id, (ts, answer_id)) AS answer_id, CASE WHEN min(answer_id) IS NOT NULL THEN 'answered' WHEN min(asked) + INTERVAL 6 HOUR >= (SELECT stop FROM z) THEN 'shutdown' ELSE 'timeout' END AS outcome FROM p GROUP BY request_id)
+SELECT request_id, answer_id, outcome, CASE outcome WHEN 'answered' THEN 200 WHEN 'timeout' THEN 504 ELSE CASE WHEN request_id % 2 = 1 THEN 503 END END AS http FROM o""")
+def drained_requests(spark, sf_dir):
+    """The service stops half a day before the log ends; requests with even ids wait for a stream."""
+    stop = table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 12 HOURS")).alias("at"))
+    return correlate.at_stop(_log(spark, sf_dir, "click", "request_id"), _log(spark, sf_dir, "purchase", "answer_id"), 6 * 3600, stop, F.col("request_id") % 2 == 0)
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
 SELECT user_id, session_no::BIGINT AS session_no, min(ts) AS started, max(ts) AS ended, count(*)::BIGINT AS n FROM s GROUP BY user_id, session_no""")
@@ -714,6 +724,11 @@ def resource_prompt_dispatch(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", predicates.handled(kind, {"click": "catalogs", "view": "documents"}, "resource").alias("resource"), predicates.handled(kind, {"purchase": "analyze", "signup": "code"}, "prompt").alias("prompt"))
 
 
+@query("SELECT string_agg(p_brand, '|' ORDER BY p_brand) AS names FROM (SELECT DISTINCT p_brand FROM part)")
+def component_names(spark, sf_dir):
+    return status.names(table(spark, sf_dir, "part"), "p_brand")
+
+
 @query("""SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view', 'purchase', 'signup') GROUP BY event_type""")
 def event_dispatch(spark, sf_dir):
     """Only events of the one known source, and of the four known kinds, are taken."""
@@ -896,6 +911,21 @@ def execute_sql(spark, sf_dir):
     return usercode.execute_sql(spark, "SELECT event_type, count(*) AS n FROM tidegate_events GROUP BY event_type")
 
 
+@query("SELECT conv_id, turn, substr(text, 1, 5) AS short, substr(text, 1, 1 + turn::INTEGER % 3) AS shorter FROM conversations")
+def function_calls(spark, sf_dir):
+    """A caller's function in SQL, by each of its names, with and without an argument that has a default."""
+    tools = usercode.Functions()
+
+    @tools.register("tidegate_shortened", "tidegate_gekuerzt")
+    def shortened(text, n=5):
+        return text[:n]
+
+    tools.in_sql(spark, "TIDEGATE_SHORTENED", "string")
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("tidegate_conversations")
+    text = "SELECT conv_id, turn, tidegate_shortened(text) AS short, tidegate_gekuerzt(text, 1 + CAST(turn AS INT) % 3) AS shorter FROM tidegate_conversations"
+    return usercode.execute_sql(spark, text, functions=tools.by_name)
+
+
 @query("""WITH c AS (SELECT conv_id, turn, text, 1 + length(text) % 3 AS n FROM conversations)
 SELECT conv_id, turn, k::INTEGER AS step, 'progress' AS kind, CAST(length(text) * k // n AS VARCHAR) AS value FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM c)
 UNION ALL SELECT conv_id, turn, n::INTEGER + 1, 'answer', reverse(text) FROM c""")
