@@ -132,14 +132,16 @@ def test_service_from_end_to_end(spark, tmp_path):
     schema = "request_id long, at timestamp, origin string, authorization string, accept string, session_id string, body string"
     log, path = Log(spark, tmp_path / "log", schema), str(tmp_path / "served")
     registries = {"tools": '[{"name":"a"},{"name":"b"}]'}
-    for k in range(3):
-        log.add(received.where(F.col("request_id") % 3 == k))
-    lists = [(10_000 + k, at(k), None, "Bearer t", "", "", body) for k, body in enumerate(['{"id":1,"method":"tools/list"}', '{"id":2,"method":"prompts/list"}', '{"id":3,"method":"initialize"}', '{"id":4,"method":"resources/read"}', '{"id":5,"method":"prompts/get","params":{"name":"x","arguments":{"a":[1]}}}', '{"id":6,"method":"tools/call","params":{"name":"y","_meta":{"progressToken":7}}}', None, '{"id":"p","method":"notifications/initialized"}'])]
+    thirds = [received.where((F.col("at") >= F.lit(a)) & (F.col("at") < F.lit(b))) for a, b in ((DAY0, at(10 * 86400)), (at(10 * 86400), at(20 * 86400)), (at(20 * 86400), at(40 * 86400)))]
+    for part in thirds:
+        log.add(part)
+    lists = [(10_000 + k, at(50 * 86400 + 2000 * k), None, "Bearer t", "", "s" if k == 7 else "x" if k in (8, 9) else "", body) for k, body in enumerate(['{"id":1,"method":"tools/list"}', '{"id":2,"method":"prompts/list"}', '{"id":3,"method":"initialize"}', '{"id":4,"method":"resources/read"}', '{"id":5,"method":"prompts/get","params":{"name":"x","arguments":{"a":[1]}}}', '{"id":6,"method":"tools/call","params":{"name":"y","_meta":{"progressToken":7}}}', None, '{"id":"p","method":"notifications/initialized"}', '{"id":1,"method":"ping"}', '{"id":1,"method":"initialize"}'])]
     log.add(lists)
-    service.serve(log.stream, path, str(tmp_path / "cp"), "t", registries=registries).awaitTermination(240)
+    more = {"registries": registries, "bucket": (3.0, 0.0005), "sessions": spark.createDataFrame([("s",)], "session_id string")}
+    service.serve(log.stream, path, str(tmp_path / "cp"), "t", **more).awaitTermination(240)
     read = lambda: {s: sorted((r.request_id, r.http, r.event, r.message) for r in spark.read.parquet(f"{path}/{s}").collect()) for s in service.SINKS}
     got = read()
-    batch = service.judged(log.table, "t", registries=registries).collect()
+    batch = service.judged(log.table, "t", **more).collect()
     key = lambda r: (r.request_id, r.http, r.event, r.message)
     assert got == {s: sorted((key(r) for r in batch if r.sink == s), key=lambda t: t[0]) for s in service.SINKS}
     assert all(got.values()) and sum(map(len, got.values())) == events.count() + len(lists)
@@ -149,7 +151,9 @@ def test_service_from_end_to_end(spark, tmp_path):
     assert said[10_003] == ("errors", '{"error":{"code":-32602,"message":"Missing \'uri\' in params"},"id":4,"jsonrpc":"2.0"}')
     assert said[10_004] == ("events", '{"arguments":{"a":[1]},"id":"10004","name":"x","type":"prompt_get"}')
     assert said[10_005] == ("events", '{"arguments":{},"id":"10005","progressToken":7,"tool":"y","type":"tool_call"}')
-    assert said[10_006][0] == "errors" and said[10_007] == ("answers", None)
+    assert said[10_006][0] == "errors" and said[10_007] == ("answers", None) and said[10_008] == ("errors", '{"error":"Session not found"}') and said[10_009][0] == "answers"
+    # the bucket's state goes on from batch to batch
+    assert {r.http for r in batch} == {200, 401, 403, 404, 429} and all(any(r.http == 429 for r in spark.read.parquet(f"{path}/errors/batch={k}").collect()) for k in range(3))
     # the third batch comes again
-    service.write_batch(received.where(F.col("request_id") % 3 == 2), 2, path, "t", registries=registries)
+    service.write_batch(thirds[2], 2, path, "t", **more)
     assert read() == got

@@ -53,15 +53,16 @@ def token_bucket(df: DataFrame, ts: str, id: str, key: str | None = None, most:
     return rows.repartition("key").sortWithinPartitions("key", "micros", "id").mapInArrow(run, rows.drop("micros").schema.add("allowed", "boolean"))
 
 
-def service_bucket(df: DataFrame, ts: str, id: str, most: float = MAX_TOKENS, rate: float = PER_SECOND, range_rows: int | None = None, key: str | None = None) -> DataFrame:
+def service_bucket(df: DataFrame, ts: str, id: str, most: float = MAX_TOKENS, rate: float = PER_SECOND, range_rows: int | None = None, key: str | None = None, start: list | None = None, end: list | None = None) -> DataFrame:
     """Rows (id, allowed) by one bucket for everybody, or (key, id, allowed) by one for each ``key``, in order of ts and id, by many tasks,
     whatever share of the rows one key has. A row without a time takes nothing and gets null; a null key is one of its own.
 
-    Tokens are whole units here (see ``ServiceBucket``): where ``token_bucket`` rounds a sum of doubles, this one is exact.
+    Tokens are whole units here (see ``ServiceBucket``): where ``token_bucket`` rounds a sum of doubles, this one is exact. ``start`` is the
+    state that an earlier batch has put into its ``end``; by key there is none.
     """
     rows = df.select(*([F.col(key).alias("key")] if key else []), F.col(id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
     bucket, by = scan.ServiceBucket(most, rate), ["key"] if key else []
-    timed = scan.scanned(rows.where("micros IS NOT NULL"), [*by, "micros", "id"], scan.Keyed(bucket, "key") if key else bucket, None, "allowed", T.BooleanType(), range_rows)
+    timed = scan.scanned(rows.where("micros IS NOT NULL"), [*by, "micros", "id"], scan.Keyed(bucket, "key") if key else bucket, start, "allowed", T.BooleanType(), range_rows, end)
     return timed.select(*by, "id", "allowed").unionByName(rows.where("micros IS NULL").select(*by, "id", F.lit(None).cast("boolean").alias("allowed")))
 
 

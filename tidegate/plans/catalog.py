@@ -537,7 +537,7 @@ def rpc_classify(spark, sf_dir):
 _SERVED_SQL = f"""WITH b AS (SELECT event_id, event_type, {_BODY_SQL} AS body, event_id % 9 = 0 AS far, event_id % 7 = 0 AS unknown FROM events)
 SELECT event_id, CASE WHEN far OR unknown OR event_id % 8 IN (0, 3, 4, 5, 7) THEN 'errors' WHEN event_id % 8 = 1 THEN 'events' ELSE 'answers' END AS sink, CASE WHEN far THEN 403 WHEN unknown THEN 401 ELSE 200 END AS http,
 CASE WHEN NOT far AND NOT unknown AND event_id % 8 = 1 THEN 'ToolCall' END AS event,
-CASE WHEN far THEN '{{"error":"Forbidden: invalid Origin"}}' WHEN unknown THEN '{{"error":"Unauthorized"}}' WHEN event_id % 8 IN (0, 5, 7) THEN '{{"error":{{"code":-32700,"message":"Parse error"}},"id":null,"jsonrpc":"2.0"}}'
+CASE WHEN far THEN '{{"error":"Forbidden: invalid Origin"}}' WHEN unknown THEN '{{"error":{{"code":-32000,"message":"Unauthorized: invalid or missing Bearer token"}},"id":null,"jsonrpc":"2.0"}}' WHEN event_id % 8 IN (0, 5, 7) THEN '{{"error":{{"code":-32700,"message":"Parse error"}},"id":null,"jsonrpc":"2.0"}}'
   WHEN event_id % 8 = 1 THEN to_json({{arguments: json('{{}}'), id: CAST(event_id AS VARCHAR), tool: event_type, type: 'tool_call'}})::VARCHAR WHEN event_id % 8 = 6 THEN '{{"id":2,"jsonrpc":"2.0","result":{{}}}}'
   WHEN event_id % 8 = 3 THEN to_json({{error: {{code: -32601, message: 'Method not found: unknown/' || event_type}}, id: CAST(event_id AS VARCHAR), jsonrpc: '2.0'}})::VARCHAR
   WHEN event_id % 8 = 4 THEN '{{"error":{{"code":-32601,"message":"Method not found: unknown/method"}},"id":null,"jsonrpc":"2.0"}}' END AS message FROM b"""
