@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm import _text
+from tidegate.llm import _text, _worker
 from tidegate.llm._scratch import written
 from tidegate.llm.components import components
 
@@ -89,6 +89,7 @@ def _scanned(n: int, lower: bool):
     """A row for each text, with its class and parity bitmap, and at the end the task's own sketch, in parts under its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.begins("jaccard")
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             size, fp, bits, slots = [], [], np.zeros((batch.num_rows, 256), np.uint8), []
@@ -107,6 +108,7 @@ def _scanned(n: int, lower: bool):
         parts, task = [p.tobytes() for p in np.split(sketch, SKETCH_PARTS)], np.full(SKETCH_PARTS, TaskContext.get().partitionId(), np.int64)
         blank = [pa.nulls(SKETCH_PARTS, f.type) for f in list(_SCAN_ARROW)[2:-2]]
         yield pa.RecordBatch.from_arrays([blank[0], pa.array(task), *blank, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=_SCAN_ARROW)
+        _worker.ends()
 
     return run
 
@@ -136,6 +138,7 @@ def _postings(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        _worker.begins("jaccard")
         for batch in batches:
             token, c, word, hot = [], [], [], []
             for s in _sets(batch.column("text"), n, lower):
@@ -151,6 +154,7 @@ def _postings(n: int, lower: bool, bounds: Bounds, sketch: np.ndarray):
                 word.append(len(s) << 28 | np.arange(len(first)))
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, c, word, hot)], names=["token", "c", "w", "hot"])
+        _worker.ends()
 
     return run
 
@@ -220,6 +224,7 @@ def _likely(bounds: Bounds):
             token = t.column("token").to_numpy()
             first = max(int(np.searchsorted(token == token[-1], True)), len(token) - GROUP_ROWS)
             tail = t.slice(first).combine_chunks()
+        _worker.ends()
 
     return run
 
@@ -238,6 +243,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(n: int, lower: bool, bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, last, mine = zstandard.ZstdDecompressor().decompress, None, None
+        _worker.begins("jaccard")
         for batch in batches:
             out = []
             theirs = _sets(pa.array([unzip(x.as_py()).decode() for x in batch.column("blob_b")], pa.string()), n, lower)
@@ -247,6 +253,7 @@ def _verified(n: int, lower: bool, bounds: Bounds):
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 out.append(bounds.den * both >= bounds.num * (len(mine) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "linked"])
+        _worker.ends()
 
     return run
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidegate.llm import _worker
 from tidegate.llm._scratch import small_batches
 
 MARK = "▁"
@@ -235,6 +236,9 @@ def model(path: str) -> Model:
         return Model(f.read())
 
 
+_worker.keeps(model.cache_clear)
+
+
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     lo, held = 0, 0
     for i, n in enumerate(sizes):
@@ -256,6 +260,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
     schema = df.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.begins("pieces")
         m = model(path)
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -265,6 +270,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
                 part = table.slice(lo, hi - lo)
                 part = part.drop_columns([ids]) if ids in part.column_names else part
                 yield from part.append_column(ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))).combine_chunks().to_batches()
+        _worker.ends()
 
     return df.mapInArrow(run, schema)
 
@@ -277,6 +283,7 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -
     schema = df.drop(text).schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker.begins("pieces")
         m = model(path)
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -285,5 +292,6 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -
             out = [None if x is None else m.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in (s if s.is_valid else None for s in lists)]
             table = table.drop_columns([text]) if text in table.column_names else table
             yield from table.append_column(text, pa.array(out, pa.string())).combine_chunks().to_batches()
+        _worker.ends()
 
     return df.mapInArrow(run, schema)
