@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 #: The topic where none is given, and the error where no task is.
 GENERAL, NO_TASK = "general overview", "Parameter 'task' is required."
 #: Templates where the caller brings none.
-ANALYZE, CODE = "Topic: {}. Objects:\n{}\n", "Task: {}."
+ANALYZE = "Topic: {}. Objects:\n{}\n"
+CODE = (
+    "Task: {}.\n\nAnswer as an experienced developer of this platform, with code that solves the task. What is expected of it:\n"
+    "- failures are caught where they may arise\n- whatever runs on the server stands apart from what runs on the client\n"
+    "- components are called asynchronously, with callbacks\n- comments say why the business needs a step\n- variables are named after what they hold\n\n"
+    "Tools at hand: 'evaluate' for a single expression, 'execute' for a whole draft, whose value is what it leaves in Result."
+)
 
 
 def filled(template: str, *values: Column) -> Column:
