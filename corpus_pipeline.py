@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import jaccard, mixing, pieces, pii
 from tidegate.llm import quality as rules
 from tidegate.llm._scratch import written
-from tidegate.llm.queries import pseudonym_key, tokenizer_path
+from tidegate.llm.queries import query_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null text stays null. Every row stays, and n_chars counts the new text."""
-    out = pii.pseudonymised(docs, pseudonym_key(spark))
+    out = pii.pseudonymised(docs, query_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

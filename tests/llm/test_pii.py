@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from tidegate.llm import pii, queries
 
 KEY = "k"
@@ -285,3 +286,23 @@ def test_the_public_key_is_for_local_mode_alone():
     for master in ("yarn", "spark://h:7077", "k8s://h"):
         with pytest.raises(ValueError):
             queries.pseudonym_key(_Session(master))
+
+
+@pytest.mark.filterwarnings("ignore:spark.tidegate.pseudonym.key")
+def test_on_a_cluster_without_a_key_the_queries_draw_one_for_the_application(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "write to ann.lee@example.org", "en", "web", 28)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(queries, "_table", lambda *_: rows)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://h:7077")
+    first, again = (queries.QUERIES["op5_pii"](spark, "").collect()[0] for _ in range(2))
+    assert first.n_replaced == 1 and first.text.endswith("@example.org") and first == again
+    assert corpus_pipeline.personal(spark, rows, "").collect()[0].text == first.text != _text(rows, "not a secret")
+
+
+def _text(rows, key):
+    return pii.pseudonymised(rows, key).collect()[0].text
+
+
+def test_a_domain_of_very_many_parts(spark):
+    text = "x1@a" + ".b" * 20_000
+    got = pii.pseudonymised(spark.createDataFrame([(1, f"to {text}, so")], "doc_id long, text string"), KEY, count="n").collect()[0]
+    assert got.n == 1 and got.text == f"to {chars('x1', 'email')}@{text[3:]}, so"

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from tidegate.llm.quality import let
 
 ROUNDS = 8
-#: The shapes looked for. A number must not touch a letter or a digit.
+#: The shapes looked for. A number must not touch a letter or a digit. What repeats without bound is possessive,
+#: or each repetition would take a frame of the JVM's stack, whose overflow ends an executor.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FROM, _TO = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 SHAPES = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": _FROM + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _TO,
     "phone": r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?<![\p{L}\p{N}+(]|\d[ .-])(?:\(\d{3}\) ?\d{3}|[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4})(?![\p{L}\p{N}]|-\d)",
     "abroad": r"(?<![\p{L}\p{N}+])\+[2-9](?:[ .-]?(?:\(\d{1,4}\)|\d)){7,14}(?![\p{L}\p{N}]|[ .-]?\d)",
@@ -41,7 +42,8 @@ SHAPES = {
 }
 #: Groups of digits, 13 digits or more from the first on, as far as none of the other shapes begins.
 SHAPES["card"] = _FROM + r"(?=\d(?:[ -]?\d){12})\d++" + _TO + "(?:[ -](?!" + "|".join(SHAPES[k] for k in ("email", "date", "ssn", "ip")) + r")\d++" + _TO + ")*+"
-ANY = "|".join(SHAPES.values())
+#: No shape begins after an ASCII letter or digit, nor with another character than these: most places are told by that alone.
+ANY = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+(-])(?:" + "|".join(SHAPES.values()) + ")"
 #: Months from 1900-01 whose dates are permuted; halves of their days up to the 12th, and of the later ones.
 _MONTHS, _EARLY, _LATE = 2392, (156, 184), (210, 210)
 #: Country codes of one and of two digits; the others have three.
