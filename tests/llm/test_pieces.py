@@ -72,3 +72,11 @@ def test_query(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.ids == m.library.encode(texts[r.doc_id]) and r.n_pieces == len(r.ids) and r.round_trip
+
+
+def test_blocks_are_a_million_characters_at_most():
+    # four million took 90 MB more of each worker, and the pipeline over an executor's memory at 0.6 GB
+    sizes = [100_000] * 60 + [3_000_000] + [100_000] * 5
+    parts = list(pieces._slices(sizes, pieces.BLOCK_CHARS))
+    assert [i for lo, hi in parts for i in range(lo, hi)] == list(range(len(sizes)))
+    assert all(hi - lo == 1 or sum(sizes[lo:hi]) <= 1 << 20 for lo, hi in parts)

@@ -29,7 +29,7 @@ from tidegate.llm._scratch import small_batches
 
 MARK = "▁"
 #: Characters of text handled at a time; words and piece pairs remembered by a worker.
-BLOCK_CHARS, WORDS_KEPT, PAIRS_KEPT = 1 << 22, 300_000, 400_000
+BLOCK_CHARS, WORDS_KEPT, PAIRS_KEPT = 1 << 20, 300_000, 400_000
 #: Kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
